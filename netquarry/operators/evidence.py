@@ -28,8 +28,8 @@ def match_texts(texts: DataFrame, rules: DataFrame, ja4_rules: DataFrame) -> Dat
     starts = distinct.where("rule_table = 'ja4'").join(small(ja4_rules), F.col("value").startswith(F.col("match")))
     columns = ["value", "rule_table", "rule", F.col("conclusion").alias("concluded"), "weight", "spec"]
     hits = plain.select(*columns).unionByName(starts.select(*columns))
-    joined = seen.join(hits, (seen["value"] == hits["value"]) & (seen["conclusion"] == hits["rule_table"]))
-    return joined.select("ip", F.col("key").alias("signal"), seen["value"], F.col("concluded").alias("conclusion"), "weight", "spec", (F.col("at") * 1_000 + F.col("rule")).alias("ord"))
+    joined = seen.withColumnRenamed("conclusion", "rule_table").join(hits, ["value", "rule_table"])
+    return joined.select("ip", F.col("key").alias("signal"), "value", F.col("concluded").alias("conclusion"), "weight", "spec", (F.col("at") * 1_000 + F.col("rule")).alias("ord"))
 
 
 def vendors(macs: DataFrame, registry: DataFrame, curated: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ ord orders the facts of one event; all facts come from one pass over the events.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.functions import access, ja4, names, net
+from netquarry.functions import ja4, names, net
 
 SCHEMA = "ip string, fact string, key string, value string, conclusion string, weight double, spec int, ord int"
 EXECUTABLE = (".exe", ".dll", ".ps1", ".scr", ".bat", ".jar", ".vbs")
@@ -41,12 +43,28 @@ CIP_DEVICE_TYPES = {
     0x2A: "CIP modbus device", 0x2B: "CIP modbus translator", 0x2C: "Safety analog I/O device", 0x32: "ControlNet physical layer component",
 }
 
-V, SRC, DEST = F.col("record"), F.col("src_ip"), F.col("dest_ip")
-HERE, THERE = F.col("src_private"), F.col("dest_private")
+
+def _src() -> Column:
+    return F.col("src_ip")
+
+
+def _dest() -> Column:
+    return F.col("dest_ip")
+
+
+def _here() -> Column:
+    """Whether the source is a local address."""
+    return F.col("src_private")
 
 
-def _str(*paths: str) -> Column:
-    return access.first_text(V, *paths)
+def _there() -> Column:
+    """Whether the destination is a local address."""
+    return F.col("dest_private")
+
+
+def _local() -> Column:
+    """The local end of an event, the source first; null if neither is."""
+    return F.when(_here(), _src()).when(_there(), _dest())
 
 
 def fact(when: Column, ip: Column, kind: str, value: Column | str = "", key: Column | str = "", conclusion: Column | str = "", weight: float | Column = 0.0, spec: int = 1, ord: int = 0) -> Column:
@@ -88,16 +106,16 @@ def client_fingerprint(when: Column, ip: Column, print_: Column) -> list[Column]
 
 
 def server(protocol: str, weight: float) -> list[Column]:
-    return [fact(THERE, DEST, "protocol", protocol), note(THERE, DEST, "service", protocol, "class=server", weight)]
+    return [fact(_there(), _dest(), "protocol", protocol), note(_there(), _dest(), "service", protocol, "class=server", weight)]
 
 
 def dhcp() -> list[Column]:
-    told = _str("dhcp.assigned_ip", "dhcp.client_ip")
-    ip = F.when(told.isin("", "0.0.0.0"), SRC).otherwise(told)
-    local, host, vendor = net.is_private(ip), _str("dhcp.hostname"), _str("dhcp.vendor_class_identifier", "dhcp.vendor_class")
+    told, host, vendor = F.col("dhcp.told"), F.col("dhcp.host"), F.col("dhcp.vendor")
+    alone = told.isin("", "0.0.0.0")
+    ip, local = F.when(alone, _src()).otherwise(told), F.when(alone, _here()).otherwise(F.col("told_private"))
     return [
         fact(local, ip, "device"),
-        given(local, ip, "mac", F.lower(_str("dhcp.client_mac"))),
+        given(local, ip, "mac", F.lower(F.col("dhcp.mac"))),
         given(local, ip, "hostname", host),
         matched(local, ip, "dhcp.hostname", host, "hostname_prefix"),
         matched(local, ip, "dhcp.vendor_class", vendor, "dhcp_vendor_class"),
@@ -107,206 +125,198 @@ def dhcp() -> list[Column]:
 
 def arp() -> list[Column]:
     out = []
-    for ip, mac in ((_str("arp.src_ip", "arp.sender_ip"), _str("arp.src_mac", "arp.sender_mac")), (_str("arp.dest_ip", "arp.target_ip"), _str("arp.dest_mac", "arp.target_mac"))):
-        known = net.is_private(ip) & (mac != "") & ~mac.startswith("00:00:00:00:00:00")
+    for side in ("src", "dest"):
+        ip, mac = F.col(f"arp.{side}_ip"), F.col(f"arp.{side}_mac")
+        known = F.col(f"arp_{side}_private") & (mac != "") & ~mac.startswith("00:00:00:00:00:00")
         out += [fact(known, ip, "device"), fact(known, ip, "mac", F.lower(mac))]
     return out
 
 
-def named_addresses() -> Column:
-    """Addresses and names in DNS answers, the flat form first: an array of facts."""
-    items = F.coalesce(F.try_variant_get(V, "$.dns.answers", "array<variant>"), F.array().cast("array<variant>"))
-    flat = F.struct(access.text(V, "dns.rdata").alias("ip"), access.text(V, "dns.rrname").alias("name"))
-    pairs = F.concat(F.array(flat), F.transform(items, lambda a: F.struct(access.text(a, "rdata").alias("ip"), access.text(a, "rrname").alias("name"))))
-    good = F.filter(pairs, lambda p: net.is_private(p["ip"]) & (p["name"] != ""))
+def dns() -> Column:
+    """Addresses and names in answers: an array of facts."""
     per = lambda p: F.array(fact(F.lit(True), p["ip"], "device"), fact(F.lit(True), p["ip"], "hostname", p["name"]), fact(F.lit(True), p["ip"], "text", p["name"], "dns.name", "hostname_prefix"))
-    return F.flatten(F.transform(good, per))
+    return F.flatten(F.transform("dns.names", per))
 
 
 def doh2() -> list[Column]:
-    return [fact(HERE, SRC, "protocol", "dns-over-https"), finding(HERE, SRC, "dns-over-https", "LOW")]
+    return [fact(_here(), _src(), "protocol", "dns-over-https"), finding(_here(), _src(), "dns-over-https", "LOW")]
 
 
 def http() -> list[Column]:
-    agent, banner, host = _str("http.http_user_agent", "http.user_agent"), _str("http.http_server", "http.server"), _str("http.hostname")
+    agent, banner, host = F.col("http.agent"), F.col("http.banner"), F.col("http.host")
     old = F.coalesce(*[F.when(F.lower(agent).contains(m), F.lit(n)) for m, n in END_OF_LIFE.items()])
     return [
-        matched(HERE, SRC, "http.user_agent", agent, "user_agent"),
-        matched(HERE, SRC, "http.user_agent", agent, "user_agent_class", 1),
-        finding(HERE & old.isNotNull(), SRC, "end-of-life-os", "HIGH", old),
-        matched(THERE, DEST, "http.server", banner, "dhcp_vendor_class_secondary"),
-        matched(THERE, DEST, "http.server", banner, "server_banner", 1),
-        note(THERE & (banner != ""), DEST, "http.server", banner, "class=server", 0.3, ord=2_000),
-        given(THERE & ~host.contains(":"), DEST, "hostname", host),
+        matched(_here(), _src(), "http.user_agent", agent, "user_agent"),
+        matched(_here(), _src(), "http.user_agent", agent, "user_agent_class", 1),
+        finding(_here() & old.isNotNull(), _src(), "end-of-life-os", "HIGH", old),
+        matched(_there(), _dest(), "http.server", banner, "dhcp_vendor_class_secondary"),
+        matched(_there(), _dest(), "http.server", banner, "server_banner", 1),
+        note(_there() & (banner != ""), _dest(), "http.server", banner, "class=server", 0.3, ord=2_000),
+        given(_there() & ~host.contains(":"), _dest(), "hostname", host),
     ]
 
 
 def tls() -> list[Column]:
-    subject, issuer, end, version = _str("tls.subject"), _str("tls.issuerdn"), _str("tls.notafter", "tls.not_after"), _str("tls.version")
-    cert, said = THERE & (subject != ""), F.upper(F.trim(version))
+    subject, issuer, end, version = (F.col(f"tls.{f}") for f in ("subject", "issuer", "end", "version"))
+    cert, said = _there() & (subject != ""), F.upper(F.trim(version))
     return [
-        given(HERE, SRC, "ja3", _str("tls.ja3.hash")),
-        *client_fingerprint(HERE, SRC, _str("tls.ja4", "tls.ja4.hash")),
-        given(cert, DEST, "hostname", names.common_name(subject)),
-        note(cert, DEST, "tls.subject", subject, "class=server", 0.4),
-        fact(cert, DEST, "cert", F.to_json(F.struct(subject.alias("subject"), issuer.alias("issuer"), end.alias("not_after"), version.alias("version")))),
-        finding(cert & (subject == issuer), DEST, "self-signed-cert", "LOW"),
-        given(THERE, DEST, "hostname", _str("tls.sni")),
-        finding(THERE & said.isin("SSLV2", "SSLV3"), DEST, "obsolete-ssl", "CRITICAL", version),
-        finding(THERE & said.isin("TLS 1.0", "TLSV1", "TLS 1.1", "TLSV1.1"), DEST, "weak-tls", "MEDIUM", version),
+        given(_here(), _src(), "ja3", F.col("tls.ja3")),
+        *client_fingerprint(_here(), _src(), F.col("tls.ja4")),
+        given(cert, _dest(), "hostname", names.common_name(subject)),
+        note(cert, _dest(), "tls.subject", subject, "class=server", 0.4),
+        fact(cert, _dest(), "cert", F.to_json(F.struct(subject.alias("subject"), issuer.alias("issuer"), end.alias("not_after"), version.alias("version")))),
+        finding(cert & (subject == issuer), _dest(), "self-signed-cert", "LOW"),
+        given(_there(), _dest(), "hostname", F.col("tls.sni")),
+        finding(_there() & said.isin("SSLV2", "SSLV3"), _dest(), "obsolete-ssl", "CRITICAL", version),
+        finding(_there() & said.isin("TLS 1.0", "TLSV1", "TLS 1.1", "TLSV1.1"), _dest(), "weak-tls", "MEDIUM", version),
     ]
 
 
 def quic() -> list[Column]:
-    name = _str("quic.sni", "quic.server_name")
+    name = F.col("quic.sni")
     return [
-        fact(HERE, SRC, "protocol", "quic"),
-        *client_fingerprint(HERE, SRC, _str("quic.ja4")),
-        given(HERE, SRC, "ja3", _str("quic.ja3.hash")),
-        matched(HERE, SRC, "quic.ua", _str("quic.ua"), "user_agent"),
-        given(THERE, DEST, "hostname", name),
-        note(THERE & (name != ""), DEST, "quic.sni", name, "class=server", 0.3),
+        fact(_here(), _src(), "protocol", "quic"),
+        *client_fingerprint(_here(), _src(), F.col("quic.ja4")),
+        given(_here(), _src(), "ja3", F.col("quic.ja3")),
+        matched(_here(), _src(), "quic.ua", F.col("quic.agent"), "user_agent"),
+        given(_there(), _dest(), "hostname", name),
+        note(_there() & (name != ""), _dest(), "quic.sni", name, "class=server", 0.3),
     ]
 
 
 def ssh() -> list[Column]:
-    banner, version = _str("ssh.server.software_version", "ssh.server.software"), _str("ssh.server.proto_version")
+    banner, version = F.col("ssh.server"), F.col("ssh.version")
     return [
-        matched(THERE, DEST, "ssh.server.banner", banner, "ssh_banner"),
-        note(THERE & (banner != ""), DEST, "ssh.server.banner", banner, "class=server", 0.3, ord=2_000),
-        finding(THERE & version.isin("1.0", "1.99"), DEST, "ssh-v1", "HIGH"),
-        matched(HERE, SRC, "ssh.client.banner", _str("ssh.client.software_version", "ssh.client.software"), "ssh_banner"),
+        matched(_there(), _dest(), "ssh.server.banner", banner, "ssh_banner"),
+        note(_there() & (banner != ""), _dest(), "ssh.server.banner", banner, "class=server", 0.3, ord=2_000),
+        finding(_there() & version.isin("1.0", "1.99"), _dest(), "ssh-v1", "HIGH"),
+        matched(_here(), _src(), "ssh.client.banner", F.col("ssh.client"), "ssh_banner"),
     ]
 
 
 def rdp() -> list[Column]:
-    build = _str("rdp.client.build")
+    build = F.col("rdp.build")
     return [
-        note(HERE, SRC, "rdp", "RDP client", "os=Windows", 0.6),
-        given(HERE, SRC, "hostname", _str("rdp.client.client_name", "rdp.client.hostname")),
-        note(HERE & (build != ""), SRC, "rdp.client.build", build, "class=workstation", 0.4),
-        note(THERE, DEST, "rdp", "RDP service", "os=Windows", 0.7),
-        note(THERE, DEST, "rdp", "RDP service", "class=server", 0.4),
-        given(THERE, DEST, "hostname", names.common_name(_str("rdp.tls.subject"))),
+        note(_here(), _src(), "rdp", "RDP client", "os=Windows", 0.6),
+        given(_here(), _src(), "hostname", F.col("rdp.client")),
+        note(_here() & (build != ""), _src(), "rdp.client.build", build, "class=workstation", 0.4),
+        note(_there(), _dest(), "rdp", "RDP service", "os=Windows", 0.7),
+        note(_there(), _dest(), "rdp", "RDP service", "class=server", 0.4),
+        given(_there(), _dest(), "hostname", names.common_name(F.col("rdp.subject"))),
     ]
 
 
 def snmp() -> list[Column]:
-    described, version = _str("snmp.sysdescr", "snmp.sys_descr"), _str("snmp.version")
-    said = THERE & (described != "")
+    described, version = F.col("snmp.described"), F.col("snmp.version")
+    said = _there() & (described != "")
     return [
-        note(THERE, DEST, "snmp", "SNMP agent", "class=network", 0.6),
-        given(THERE, DEST, "model", described),
-        matched(THERE, DEST, "snmp.sysDescr", described, "dhcp_vendor_class"),
-        matched(THERE, DEST, "snmp.sysDescr", described, "server_banner", 1),
-        note(said, DEST, "snmp.sysDescr", described, F.concat(F.lit("vendor="), names.first_word(described)), 0.8, 2, 2_000),
-        finding(THERE & version.isin("1", "2", "2c"), DEST, "snmp-v1v2", "LOW", version),
+        note(_there(), _dest(), "snmp", "SNMP agent", "class=network", 0.6),
+        given(_there(), _dest(), "model", described),
+        matched(_there(), _dest(), "snmp.sysDescr", described, "dhcp_vendor_class"),
+        matched(_there(), _dest(), "snmp.sysDescr", described, "server_banner", 1),
+        note(said, _dest(), "snmp.sysDescr", described, F.concat(F.lit("vendor="), names.first_word(described)), 0.8, 2, 2_000),
+        finding(_there() & version.isin("1", "2", "2c"), _dest(), "snmp-v1v2", "LOW", version),
     ]
 
 
 def communities() -> Column:
     """A finding for each default community string: an array of facts."""
-    bad = F.filter(F.transform(access.texts(V, "snmp.community"), lambda c: F.lower(c)), lambda c: c.isin("public", "private") & THERE)
-    return F.transform(bad, lambda c: fact(F.lit(True), DEST, "finding", c, "default-snmp-community", "HIGH"))
+    return F.transform("snmp.defaults", lambda c: fact(_there(), _dest(), "finding", c, "default-snmp-community", "HIGH"))
 
 
 def rfb() -> list[Column]:
-    kind = F.lower(_str("rfb.authentication.security_type_name", "rfb.security_type_name"))
-    return [fact(THERE, DEST, "protocol", "vnc"), note(THERE, DEST, "rfb", "VNC server", "class=server", 0.5), finding(THERE & kind.contains("none"), DEST, "vnc-no-auth", "CRITICAL")]
+    kind = F.lower("rfb.security")
+    return [fact(_there(), _dest(), "protocol", "vnc"), note(_there(), _dest(), "rfb", "VNC server", "class=server", 0.5), finding(_there() & kind.contains("none"), _dest(), "vnc-no-auth", "CRITICAL")]
 
 
 def smb() -> list[Column]:
-    dialect = _str("smb.dialect")
+    dialect = F.col("smb.dialect")
     return [
-        note(HERE, SRC, "smb", "SMB client", "os=Windows", 0.4),
-        given(HERE, SRC, "hostname", _str("smb.ntlmssp.host")),
-        given(HERE, SRC, "user", F.lower(_str("smb.ntlmssp.user"))),
-        note(THERE, DEST, "smb", "SMB service", "class=server", 0.4),
-        given(THERE, DEST, "share", _str("smb.share")),
-        finding(THERE & (dialect.startswith("1.") | (dialect == "NT LM 0.12")), DEST, "smbv1", "HIGH"),
+        note(_here(), _src(), "smb", "SMB client", "os=Windows", 0.4),
+        given(_here(), _src(), "hostname", F.col("smb.host")),
+        given(_here(), _src(), "user", F.lower("smb.user")),
+        note(_there(), _dest(), "smb", "SMB service", "class=server", 0.4),
+        given(_there(), _dest(), "share", F.col("smb.share")),
+        finding(_there() & (dialect.startswith("1.") | (dialect == "NT LM 0.12")), _dest(), "smbv1", "HIGH"),
     ]
 
 
 def krb5() -> list[Column]:
-    name, cipher = _str("krb5.cname"), F.lower(_str("krb5.encryption"))
-    person = HERE & (name != "") & ~name.endswith("$")
+    name, cipher = F.col("krb5.name"), F.lower("krb5.cipher")
+    person = _here() & (name != "") & ~name.endswith("$")
     return [
-        fact(person, SRC, "user", F.lower(name)),
-        note(person, SRC, "krb5.cname", name, "class=workstation", 0.4),
-        note(HERE, SRC, "krb5", "Kerberos client", "os=Windows", 0.3),
-        note(THERE, DEST, "krb5", "Kerberos service", "class=server", 0.8),
-        finding(cipher.contains("rc4") | cipher.contains("des"), DEST, "weak-kerberos", "MEDIUM", cipher),
+        fact(person, _src(), "user", F.lower(name)),
+        note(person, _src(), "krb5.cname", name, "class=workstation", 0.4),
+        note(_here(), _src(), "krb5", "Kerberos client", "os=Windows", 0.3),
+        note(_there(), _dest(), "krb5", "Kerberos service", "class=server", 0.8),
+        finding(cipher.contains("rc4") | cipher.contains("des"), _dest(), "weak-kerberos", "MEDIUM", cipher),
     ]
 
 
 def ldap() -> list[Column]:
-    return [fact(THERE, DEST, "protocol", "ldap"), note(THERE, DEST, "ldap", "LDAP service", "class=server", 0.7), given(HERE, SRC, "user", F.lower(_str("ldap.request.bind_request.name", "ldap.bind.name")))]
+    return [fact(_there(), _dest(), "protocol", "ldap"), note(_there(), _dest(), "ldap", "LDAP service", "class=server", 0.7), given(_here(), _src(), "user", F.lower("ldap.name"))]
 
 
 def dcerpc() -> list[Column]:
-    return [note(THERE, DEST, "dcerpc", "DCERPC service", "os=Windows", 0.6), note(THERE, DEST, "dcerpc", "DCERPC service", "class=server", 0.5), note(HERE, SRC, "dcerpc", "DCERPC client", "os=Windows", 0.4)]
+    return [note(_there(), _dest(), "dcerpc", "DCERPC service", "os=Windows", 0.6), note(_there(), _dest(), "dcerpc", "DCERPC service", "class=server", 0.5), note(_here(), _src(), "dcerpc", "DCERPC client", "os=Windows", 0.4)]
 
 
 def nfs() -> list[Column]:
-    return [note(THERE, DEST, "nfs", "NFS export", "class=nas", 0.7), given(THERE, DEST, "share", _str("nfs.filename", "nfs.export"))]
+    return [note(_there(), _dest(), "nfs", "NFS export", "class=nas", 0.7), given(_there(), _dest(), "share", F.col("nfs.share"))]
 
 
 def smtp() -> list[Column]:
-    return [fact(THERE, DEST, "protocol", "smtp"), note(THERE, DEST, "smtp", "SMTP service", "class=server", 0.7), given(THERE, DEST, "hostname", _str("smtp.helo")), fact(HERE, SRC, "protocol", "smtp")]
+    return [fact(_there(), _dest(), "protocol", "smtp"), note(_there(), _dest(), "smtp", "SMTP service", "class=server", 0.7), given(_there(), _dest(), "hostname", F.col("smtp.helo")), fact(_here(), _src(), "protocol", "smtp")]
 
 
 def sip() -> list[Column]:
-    agent, out = _str("sip.user_agent", "sip.request_line"), []
-    for local, ip in ((HERE, SRC), (THERE, DEST)):
+    agent, out = F.col("sip.agent"), []
+    for local, ip in ((_here(), _src()), (_there(), _dest())):
         out += [fact(local, ip, "protocol", "sip"), note(local, ip, "sip", "SIP telephony", "class=phone", 0.6), matched(local, ip, "sip.user_agent", agent, "dhcp_vendor_class")]
     return out
 
 
 def mqtt() -> list[Column]:
     return [
-        fact(THERE, DEST, "protocol", "mqtt"),
-        note(THERE, DEST, "mqtt", "MQTT broker", "class=iot", 0.6),
-        fact(HERE, SRC, "protocol", "mqtt"),
-        note(HERE, SRC, "mqtt", "MQTT client", "class=iot", 0.7),
-        given(HERE, SRC, "hostname", _str("mqtt.connect.client_id", "mqtt.client_id")),
+        fact(_there(), _dest(), "protocol", "mqtt"),
+        note(_there(), _dest(), "mqtt", "MQTT broker", "class=iot", 0.6),
+        fact(_here(), _src(), "protocol", "mqtt"),
+        note(_here(), _src(), "mqtt", "MQTT client", "class=iot", 0.7),
+        given(_here(), _src(), "hostname", F.col("mqtt.client")),
     ]
 
 
 def ftp() -> list[Column]:
     return [
-        fact(THERE, DEST, "protocol", "ftp"),
-        note(THERE, DEST, "ftp", "FTP service", "class=server", 0.6),
-        matched(THERE, DEST, "ftp.banner", _str("ftp.completion_code", "ftp.reply"), "server_banner"),
-        finding(F.upper(_str("ftp.command")).isin("USER", "PASS"), DEST, "cleartext-credentials", "HIGH"),
-        fact(HERE, SRC, "protocol", "ftp"),
+        fact(_there(), _dest(), "protocol", "ftp"),
+        note(_there(), _dest(), "ftp", "FTP service", "class=server", 0.6),
+        matched(_there(), _dest(), "ftp.banner", F.col("ftp.banner"), "server_banner"),
+        finding(F.upper("ftp.command").isin("USER", "PASS"), _dest(), "cleartext-credentials", "HIGH"),
+        fact(_here(), _src(), "protocol", "ftp"),
     ]
 
 
 def tftp() -> list[Column]:
-    return [fact(THERE, DEST, "protocol", "tftp"), note(THERE, DEST, "tftp", "TFTP service", "class=network", 0.5), finding(THERE, DEST, "tftp-in-use", "MEDIUM")]
-
-
-LOCAL = F.when(HERE, SRC).when(THERE, DEST)
+    return [fact(_there(), _dest(), "protocol", "tftp"), note(_there(), _dest(), "tftp", "TFTP service", "class=network", 0.5), finding(_there(), _dest(), "tftp-in-use", "MEDIUM")]
 
 
 def fileinfo() -> list[Column]:
-    name = F.lower(_str("fileinfo.filename", "files.filename"))
+    name = F.lower("file.name")
     runs = F.lit(False)
     for ending in EXECUTABLE:
         runs = runs | name.endswith(ending)
-    return [fact(LOCAL.isNotNull(), LOCAL, "file"), finding(runs, DEST, "executable-transfer", "LOW", name)]
+    return [fact(_local().isNotNull(), _local(), "file"), finding(runs, _dest(), "executable-transfer", "LOW", name)]
 
 
 def ot_identity(local: Column, ip: Column, protocol: str) -> list[Column]:
     if protocol == "modbus":
-        unit = access.first_number(V, "modbus.request.unit_id", "modbus.response.unit_id", "modbus.unit_id")
+        unit = F.col("modbus.unit")
         return [fact(local & (unit > 0), ip, "ot", F.concat(F.lit("Modbus unit "), unit.cast("string")))]
     if protocol == "dnp3":
-        ends = [access.first_number(V, f"dnp3.{e}", f"dnp3.request.{e}", f"dnp3.response.{e}") for e in ("src", "dst")]
+        ends = [F.col("dnp3.src"), F.col("dnp3.dst")]
         return [fact(local & (n > 0), ip, "ot", F.concat(F.lit("DNP3 address "), n.cast("string"))) for n in ends]
-    paths = lambda field: [f"enip.{at}identity.{field}" for at in ("response.", "request.", "")]
-    product, revision, serial = (F.regexp_replace(_str(*paths(f)), r"^\s+|\s+$", "") for f in ("product_name", "revision", "serial"))
-    maker, kind = (access.first_number(V, *paths(f)) for f in ("vendor_id", "device_type"))
+    product, revision, serial = (F.regexp_replace(f"enip.{f}", r"^\s+|\s+$", "") for f in ("product", "revision", "serial"))
+    maker, kind = F.col("enip.maker"), F.col("enip.kind")
     table = lambda m: F.create_map(*[F.lit(x) for k, v in m.items() for x in (k, v)])
     vendor, type_ = F.try_element_at(table(CIP_VENDORS), maker.cast("int")), F.try_element_at(table(CIP_DEVICE_TYPES), kind.cast("int"))
     return [
@@ -326,48 +336,48 @@ def ot_identity(local: Column, ip: Column, protocol: str) -> list[Column]:
 
 def industrial(protocol: str) -> list[Column]:
     return [
-        fact(THERE, DEST, "protocol", protocol),
-        note(THERE, DEST, protocol, f"{protocol} endpoint", "class=plc", 0.95, 2),
-        *ot_identity(THERE, DEST, protocol),
-        fact(HERE, SRC, "protocol", protocol),
-        note(HERE, SRC, protocol, f"{protocol} client", "class=server", 0.3),
-        *ot_identity(HERE, SRC, protocol),
-        finding(THERE & ~HERE, DEST, "ot-exposed", "CRITICAL", SRC),
+        fact(_there(), _dest(), "protocol", protocol),
+        note(_there(), _dest(), protocol, f"{protocol} endpoint", "class=plc", 0.95, 2),
+        *ot_identity(_there(), _dest(), protocol),
+        fact(_here(), _src(), "protocol", protocol),
+        note(_here(), _src(), protocol, f"{protocol} client", "class=server", 0.3),
+        *ot_identity(_here(), _src(), protocol),
+        finding(_there() & ~_here(), _dest(), "ot-exposed", "CRITICAL", _src()),
     ]
 
 
 def alert() -> list[Column]:
-    signature = _str("alert.signature")
-    return [fact(LOCAL.isNotNull(), LOCAL, "alert"), finding((access.number(V, "alert.severity") == 1) & (signature != ""), F.when(HERE, SRC).otherwise(DEST), "high-severity-alert", "HIGH", signature)]
+    signature = F.col("alert.signature")
+    return [fact(_local().isNotNull(), _local(), "alert"), finding((F.col("alert.severity") == 1) & (signature != ""), F.when(_here(), _src()).otherwise(_dest()), "high-severity-alert", "HIGH", signature)]
 
 
 def bittorrent() -> list[Column]:
-    return [fact(HERE, SRC, "protocol", "bittorrent"), finding(HERE, SRC, "p2p", "LOW")]
+    return [fact(_here(), _src(), "protocol", "bittorrent"), finding(_here(), _src(), "p2p", "LOW")]
 
 
 def flow() -> list[Column]:
     port = F.col("dest_port")
     return [
-        fact(THERE & (port > 0), DEST, "service", F.col("proto"), port.cast("string"), F.col("app_proto")),
-        fact(HERE & ~THERE & (DEST != ""), SRC, "external", DEST),
-        fact(HERE & THERE, SRC, "crossing", DEST, port.cast("string")),
+        fact(_there() & (port > 0), _dest(), "service", F.col("proto"), port.cast("string"), F.col("app_proto")),
+        fact(_here() & ~_there() & (_dest() != ""), _src(), "external", _dest()),
+        fact(_here() & _there(), _src(), "crossing", _dest(), port.cast("string")),
     ]
 
 
 def every_event() -> list[Column]:
     good = ~F.col("app_proto").isin("", "failed", "unknown")
     return [
-        fact(HERE, SRC, "seen"),
-        fact(THERE, DEST, "seen"),
-        fact(HERE & good, SRC, "protocol", F.col("app_proto")),
-        fact(THERE & good, DEST, "protocol", F.col("app_proto")),
-        fact(THERE & good, DEST, "app_proto", F.col("app_proto")),
+        fact(_here(), _src(), "seen"),
+        fact(_there(), _dest(), "seen"),
+        fact(_here() & good, _src(), "protocol", F.col("app_proto")),
+        fact(_there() & good, _dest(), "protocol", F.col("app_proto")),
+        fact(_there() & good, _dest(), "app_proto", F.col("app_proto")),
     ]
 
 
 def tags() -> Column:
     """VLAN tags of both ends: an array of facts."""
-    return F.flatten(F.transform(F.col("vlans"), lambda t: F.array(fact(HERE, SRC, "vlan", t.cast("string")), fact(THERE, DEST, "vlan", t.cast("string")))))
+    return F.flatten(F.transform(F.col("vlans"), lambda t: F.array(fact(_here(), _src(), "vlan", t.cast("string")), fact(_there(), _dest(), "vlan", t.cast("string")))))
 
 
 #: Types of event and the facts of each; types that aren't here are counted only.
@@ -377,23 +387,53 @@ HANDLERS = {
     ("nfs",): nfs, ("smtp",): smtp, ("sip",): sip, ("mqtt",): mqtt, ("ftp", "ftp_data"): ftp, ("tftp",): tftp,
     ("fileinfo", "files"): fileinfo, ("alert",): alert, ("bittorrent-dht",): bittorrent, ("flow", "netflow"): flow,
     ("websocket",): lambda: server("websocket", 0.3), ("pgsql",): lambda: server("postgresql", 0.8), ("ike", "ikev2"): lambda: server("vpn", 0.6),
-    ("drop",): lambda: [fact(LOCAL.isNotNull(), LOCAL, "drop")], ("anomaly",): lambda: [fact(LOCAL.isNotNull(), LOCAL, "anomaly")],
+    ("drop",): lambda: [fact(_local().isNotNull(), _local(), "drop")], ("anomaly",): lambda: [fact(_local().isNotNull(), _local(), "anomaly")],
 }
 
 
+#: The events' payload lists, and the facts of each of their items.
+LISTED = {("dns",): dns, ("snmp",): communities}
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    """Events with what several facts of one event need, worked out once."""
+    private = {"told_private": "dhcp.told", "arp_src_private": "arp.src_ip", "arp_dest_private": "arp.dest_ip"}
+    return events.withColumns({name: net.is_private(F.col(column)) for name, column in private.items()})
+
+
+def _exploded(events: DataFrame, every: Column) -> DataFrame:
+    rows = prepared(events).select("seq", "ts", every.alias("all")).select("seq", "ts", F.explode("all").alias("f"))
+    return rows.where("f.ip IS NOT NULL").select("seq", "ts", "f.*")
+
+
+def _machine(protocol: str) -> Column:
+    """Whether an event is of an industrial protocol: by its type, or a flow's application protocol."""
+    return (F.col("event_type") == protocol) | (F.col("event_type").isin("flow", "netflow") & (F.col("app_proto") == protocol))
+
+
 def facts(events: DataFrame) -> DataFrame:
     """seq, ts and the columns of SCHEMA: every fact of every event, in one pass."""
-    type_, app = F.col("event_type"), F.col("app_proto")
     none = F.array().cast(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
-    by_type = None
-    for kinds, handler in HANDLERS.items():
-        rows = F.array(*handler())
-        by_type = F.when(type_.isin(*kinds), rows) if by_type is None else by_type.when(type_.isin(*kinds), rows)
-    machine = F.when(type_.isin(*INDUSTRIAL), type_).when(type_.isin("flow", "netflow") & app.isin(*INDUSTRIAL), app)
-    for k, protocol in enumerate(INDUSTRIAL):
-        rows = F.array(*industrial(protocol))
-        controls = F.when(machine == protocol, rows) if k == 0 else controls.when(machine == protocol, rows)
-    lists = F.when(type_ == "dns", named_addresses()).when(type_ == "snmp", communities())
-    every = F.concat(F.array(*every_event()), tags(), F.coalesce(by_type, none), F.coalesce(controls, none), F.coalesce(lists, none))
-    rows = events.select("seq", "ts", F.explode(F.filter(every, lambda f: f.isNotNull() & f["ip"].isNotNull())).alias("f"))
-    return rows.select("seq", "ts", "f.*")
+    pick = lambda cases: F.coalesce(reduce(lambda c, x: F.when(*x) if c is None else c.when(*x), cases, None), none)
+    by_type = pick([(F.col("event_type").isin(*kinds), F.array(*handler())) for kinds, handler in HANDLERS.items()])
+    controls = pick([(_machine(p), F.array(*industrial(p))) for p in INDUSTRIAL])
+    lists = pick([(F.col("event_type").isin(*kinds), rows()) for kinds, rows in LISTED.items()])
+    return _exploded(events, F.concat(F.array(*every_event()), tags(), by_type, controls, lists))
+
+
+def facts_of(events: DataFrame, *kinds: str) -> DataFrame:
+    """The facts that only the handler of these event types gives; events of other types aren't looked at."""
+    rows = events.where(F.col("event_type").isin(*kinds))
+    found = [F.array(*handler()) for of, handler in HANDLERS.items() if set(of) & set(kinds)] + [items() for of, items in LISTED.items() if set(of) & set(kinds)]
+    return _exploded(rows, F.concat(*found))
+
+
+def industrial_facts(events: DataFrame) -> DataFrame:
+    """The facts of industrial protocols, from their own events and from flows."""
+    cases = [(_machine(p), F.array(*industrial(p))) for p in INDUSTRIAL]
+    return _exploded(events.where(reduce(lambda a, b: a | b, [c for c, _ in cases])), reduce(lambda c, x: F.when(*x) if c is None else c.when(*x), cases, None))
+
+
+def shared_facts(events: DataFrame, tags_too: bool = True) -> DataFrame:
+    """The facts that events of every type give."""
+    return _exploded(events, F.concat(F.array(*every_event()), tags()) if tags_too else F.array(*every_event()))

@@ -187,18 +187,18 @@ mo AS (
   FROM (SELECT DISTINCT ip, value FROM f WHERE fact = 'mac' AND NOT {RANDOM}) m JOIN ro ON starts_with(upper(replace(m.value, ':', '')), prefix) GROUP BY ip, value
 ),
 tx AS (
-  SELECT DISTINCT ip, key, value, conclusion AS rule_table, CASE WHEN conclusion IN ('dhcp_vendor_class_secondary', 'user_agent_class', 'server_banner') THEN 1 ELSE 0 END AS at, fact FROM f WHERE fact = 'text'
+  SELECT DISTINCT ip, key, value, conclusion AS rule_table, CASE WHEN conclusion IN ('dhcp_vendor_class_secondary', 'user_agent_class', 'server_banner') THEN 1 ELSE 0 END AS nth, fact FROM f WHERE fact = 'text'
   UNION ALL SELECT DISTINCT ip, 'mac.oui', vendor, 'vendor_class', 1, 'text' FROM mo
 ),
 ty AS (
   SELECT ip, key, value, rule_table, CASE
     WHEN key = 'http.server' THEN CASE rule_table WHEN 'server_banner' THEN 1 ELSE 0 END
     WHEN key = 'enip.identity.product_name' THEN CASE rule_table WHEN 'server_banner' THEN 1 ELSE 2 END
-    WHEN key = 'ftp.banner' THEN 0 ELSE at END AS at FROM tx
+    WHEN key = 'ftp.banner' THEN 0 ELSE nth END AS nth FROM tx
 ),
 raw AS (
   SELECT ip, key AS signal, value, conclusion, weight, spec, CASE WHEN key IN ('http.server', 'ssh.server.banner') OR (key = 'snmp.sysDescr') THEN 2000 ELSE 0 END AS ord FROM f WHERE fact = 'note'
-  UNION ALL SELECT ip, key, value, concluded, w, s, at * 1000 + rule FROM ty JOIN rt ON rt.rule_table = ty.rule_table AND contains(lower(ty.value), rt.match)
+  UNION ALL SELECT ip, key, value, concluded, w, s, nth * 1000 + rule FROM ty JOIN rt ON rt.rule_table = ty.rule_table AND contains(lower(ty.value), rt.match)
   UNION ALL SELECT DISTINCT ip, 'service.port', key || ' (' || note || ')', concluded, w, 1, 0 FROM f JOIN rp ON f.key = rp.port::VARCHAR WHERE fact = 'service'
   UNION ALL SELECT DISTINCT ip, 'app_proto', value, concluded, w, 1, 0 FROM f JOIN ra ON f.value = ra.app WHERE fact = 'app_proto'
   UNION ALL SELECT ip, 'mac.oui', mac, 'vendor=' || vendor, 0.85, 1, 0 FROM mo

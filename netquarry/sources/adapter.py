@@ -41,12 +41,22 @@ LISTS = {
     "fired": ("1", "2", "3"),
 }
 
-VALUE, USER, K, ID = F.col("value"), F.col("user_id"), F.col("k"), F.col("event_id")
+
+def _user() -> Column:
+    return F.col("user_id")
+
+
+def _k() -> Column:
+    return F.col("k")
+
+
+def _id() -> Column:
+    return F.col("event_id")
 
 
 def pick(name: str) -> Column:
     values = LISTS[name]
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (K % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (_k() % len(values) + 1).cast("int"))
 
 
 def _hex2(n: Column) -> Column:
@@ -63,10 +73,10 @@ def base(events: DataFrame) -> DataFrame:
     types = F.array(*[F.lit(t) for t in TYPES])
     return rows.select(
         "*",
-        F.element_at(types, (ID % len(TYPES) + 1).cast("int")).alias("type"),
-        _text("10.1.", F.floor(USER / 256), ".", USER % 256).alias("src"),
-        F.when(K < 80, _text("10.0.9.", K % 25)).otherwise(_text("203.0.113.", K)).alias("dest"),
-        _text(pick("mac_head"), ":00:", _hex2(F.floor(USER / 256)), ":", _hex2(USER % 256)).alias("mac"),
+        F.element_at(types, (_id() % len(TYPES) + 1).cast("int")).alias("type"),
+        _text("10.1.", F.floor(_user() / 256), ".", _user() % 256).alias("src"),
+        F.when(_k() < 80, _text("10.0.9.", _k() % 25)).otherwise(_text("203.0.113.", _k())).alias("dest"),
+        _text(pick("mac_head"), ":00:", _hex2(F.floor(_user() / 256)), ":", _hex2(_user() % 256)).alias("mac"),
     )
 
 
@@ -75,35 +85,35 @@ def lines(events: DataFrame) -> DataFrame:
     b = base(events)
     obj = lambda **fields: F.struct(*[v.alias(n) for n, v in fields.items()])
     src, dest, mac = F.col("src"), F.col("dest"), F.col("mac")
-    named = F.when(pick("host") == "*", F.lit("*")).otherwise(_text(pick("host"), USER))
-    subject = _text("O=x, CN=srv", K % 10, ".corp")
-    end = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (K * 10).cast("int")), "yyyy-MM-dd'T'00:00:00")
-    identity = obj(product_name=pick("product"), revision=_text("1.", K % 4), serial=_text("S", USER), vendor_id=K % 3, device_type=K % 16)
+    named = F.when(pick("host") == "*", F.lit("*")).otherwise(_text(pick("host"), _user()))
+    subject = _text("O=x, CN=srv", _k() % 10, ".corp")
+    end = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (_k() * 10).cast("int")), "yyyy-MM-dd'T'00:00:00")
+    identity = obj(product_name=pick("product"), revision=_text("1.", _k() % 4), serial=_text("S", _user()), vendor_id=_k() % 3, device_type=_k() % 16)
     payload = {
-        "dhcp": obj(assigned_ip=F.when(K % 2 == 0, src).otherwise(F.lit("0.0.0.0")), client_mac=F.upper(mac), hostname=named, vendor_class_identifier=pick("vendor")),
-        "arp": obj(src_ip=src, src_mac=mac, dest_ip=dest, dest_mac=F.when(K % 2 == 0, F.lit("00:00:00:00:00:00")).otherwise(_text("00:1c:42:00:00:", _hex2(K)))),
-        "dns": obj(rrname=_text("pc", K, ".Lan"), rdata=dest, answers=F.array(obj(rrname=_text("brn", K), rdata=src))),
-        "http": obj(http_user_agent=pick("agent"), http_server=pick("banner"), hostname=F.when(K % 5 == 0, _text("h:", K)).otherwise(_text("web", K % 10, ".corp.local"))),
-        "tls": obj(ja3=obj(hash=_text("h", K % 4)), ja4=pick("ja4"), subject=F.when(K % 4 == 0, F.lit("")).otherwise(subject), issuerdn=F.when(K % 3 == 0, subject).otherwise(F.lit("CN=ca")), notafter=end, version=pick("tls_version"), sni=_text("s", K % 7, ".corp")),
-        "quic": obj(ja4=pick("ja4"), ua=pick("agent"), sni=_text("q", K % 7, ".corp")),
+        "dhcp": obj(assigned_ip=F.when(_k() % 2 == 0, src).otherwise(F.lit("0.0.0.0")), client_mac=F.upper(mac), hostname=named, vendor_class_identifier=pick("vendor")),
+        "arp": obj(src_ip=src, src_mac=mac, dest_ip=dest, dest_mac=F.when(_k() % 2 == 0, F.lit("00:00:00:00:00:00")).otherwise(_text("00:1c:42:00:00:", _hex2(_k())))),
+        "dns": obj(rrname=_text("pc", _k(), ".Lan"), rdata=dest, answers=F.array(obj(rrname=_text("brn", _k()), rdata=src))),
+        "http": obj(http_user_agent=pick("agent"), http_server=pick("banner"), hostname=F.when(_k() % 5 == 0, _text("h:", _k())).otherwise(_text("web", _k() % 10, ".corp.local"))),
+        "tls": obj(ja3=obj(hash=_text("h", _k() % 4)), ja4=pick("ja4"), subject=F.when(_k() % 4 == 0, F.lit("")).otherwise(subject), issuerdn=F.when(_k() % 3 == 0, subject).otherwise(F.lit("CN=ca")), notafter=end, version=pick("tls_version"), sni=_text("s", _k() % 7, ".corp")),
+        "quic": obj(ja4=pick("ja4"), ua=pick("agent"), sni=_text("q", _k() % 7, ".corp")),
         "ssh": obj(server=obj(software_version=pick("ssh"), proto_version=pick("ssh_version")), client=obj(software=pick("ssh"))),
-        "rdp": obj(client=obj(client_name=_text("PC-", USER), build=F.when(K % 2 == 0, F.lit("Windows 10")))),
+        "rdp": obj(client=obj(client_name=_text("PC-", _user()), build=F.when(_k() % 2 == 0, F.lit("Windows 10")))),
         "snmp": obj(sysdescr=pick("described"), community=pick("community"), version=pick("snmp_version")),
         "rfb": obj(security_type_name=pick("security")),
-        "smb": obj(ntlmssp=obj(host=_text("WS", USER), user=_text("User", USER % 20)), share=_text("share", K % 3), dialect=pick("dialect")),
+        "smb": obj(ntlmssp=obj(host=_text("WS", _user()), user=_text("User", _user() % 20)), share=_text("share", _k() % 3), dialect=pick("dialect")),
         "krb5": obj(cname=pick("cname"), encryption=pick("cipher")),
-        "ldap": obj(bind=obj(name=_text("CN=u", USER % 10))),
-        "nfs": obj(export=_text("/export", K % 2)),
-        "smtp": obj(helo=_text("mail", K % 3, ".corp")),
+        "ldap": obj(bind=obj(name=_text("CN=u", _user() % 10))),
+        "nfs": obj(export=_text("/export", _k() % 2)),
+        "smtp": obj(helo=_text("mail", _k() % 3, ".corp")),
         "sip": obj(user_agent=pick("vendor")),
-        "mqtt": obj(client_id=_text("sensor", USER % 30)),
+        "mqtt": obj(client_id=_text("sensor", _user() % 30)),
         "ftp": obj(reply=pick("banner"), command=pick("command")),
         "fileinfo": obj(filename=pick("file")),
-        "modbus": obj(unit_id=K % 6),
-        "dnp3": obj(src=K % 5, dst=K % 7),
+        "modbus": obj(unit_id=_k() % 6),
+        "dnp3": obj(src=_k() % 5, dst=_k() % 7),
         "enip": obj(identity=identity),
-        "alert": obj(severity=pick("fired").cast("int"), signature=_text("SIG ", K % 4)),
-        "stats": obj(uptime=ID, capture=obj(kernel_packets=F.when(K % 3 == 0, ID * 100), kernel_drops=F.when(K % 2 == 0, ID * (K % 4)))),
+        "alert": obj(severity=pick("fired").cast("int"), signature=_text("SIG ", _k() % 4)),
+        "stats": obj(uptime=_id(), capture=obj(kernel_packets=F.when(_k() % 3 == 0, _id() * 100), kernel_drops=F.when(_k() % 2 == 0, _id() * (_k() % 4)))),
     }
     used = {"http2": "http"}
     fields = [
@@ -114,10 +124,10 @@ def lines(events: DataFrame) -> DataFrame:
         pick("port").cast("int").alias("dest_port"),
         pick("proto").alias("proto"),
         pick("app").alias("app_proto"),
-        F.when(K % 4 == 0, F.array((K % 5 * 10).cast("int"))).alias("vlan"),
+        F.when(_k() % 4 == 0, F.array((_k() % 5 * 10).cast("int"))).alias("vlan"),
         *[F.when(F.col("type").isin(name, *[a for a, b_ in used.items() if b_ == name]), value).alias(name) for name, value in payload.items()],
     ]
-    return b.select(F.to_json(F.struct(*fields)).alias("line"), ID.alias("seq"))
+    return b.select(F.to_json(F.struct(*fields)).alias("line"), _id().alias("seq"))
 
 
 def sql_base() -> str:

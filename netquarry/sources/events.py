@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions import access, net
+from netquarry.sources import payloads
 
 #: Longer lines aren't records.
 LINE_BYTES = 16 << 20
@@ -68,7 +69,7 @@ def line_counts(records_: DataFrame) -> DataFrame:
 
 
 def events(records_: DataFrame) -> DataFrame:
-    """The columns that every handler needs, beside the record."""
+    """Typed events: the columns that every handler needs, and a struct for each kind of payload (see sources.payloads)."""
     v = F.col("record")
     rows = records_.where(v.isNotNull()).select(
         "seq",
@@ -82,7 +83,8 @@ def events(records_: DataFrame) -> DataFrame:
         F.lower(access.text(v, "proto")).alias("proto"),
         access.vlans(v).alias("vlans"),
     )
-    return rows.withColumns({"src_private": net.is_private(F.col("src_ip")), "dest_private": net.is_private(F.col("dest_ip"))})
+    rows = rows.withColumns({"src_private": net.is_private(F.col("src_ip")), "dest_private": net.is_private(F.col("dest_ip"))})
+    return rows.withColumns(payloads.columns(v, F.col("event_type"), F.col("app_proto"))).drop("record")
 
 
 def in_window(rows: DataFrame, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:
