@@ -1,9 +1,9 @@
 """Operator 7: documents whose sets of word shingles are similar, by an exact prefix-filtered join.
 
 Shingles are put in one order, rare ones first. Two similar sets must share a shingle in
-a short prefix of each, so only prefixes are shuffled. Documents that share a prefix
-shingle meet under the smallest of their ids; there pairs pass length, suffix and
-positional filters before their sets are compared, once, and only as far as the pair isn't
+a short prefix of each, so only prefixes are shuffled. Where sizes and positions in the
+prefixes allow a link, documents that share a prefix shingle meet under the smallest of
+their ids; there pairs pass length, suffix and positional filters before their sets are compared, once, and only as far as the pair isn't
 already connected. Links then give connected components. Copies are joined as one.
 """
 
@@ -81,6 +81,11 @@ def prefix_size(n: int, t: Fraction) -> int:
     return n + 1 + (-n * t.numerator) // t.denominator
 
 
+def short_prefix_size(n: int, t: Fraction) -> int:
+    """Of a pair, the set that isn't larger has their first shared shingle within so many."""
+    return n + 1 + (-2 * n * t.numerator) // (t.numerator + t.denominator)
+
+
 def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Fraction, verify: bool) -> list[tuple[int, int]]:
     """Pairs that pass the length and suffix filters; with verify, only links, and no more than connect what links connect.
 
@@ -176,14 +181,14 @@ def bucket_counts(df: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(df: DataFrame, k: int, t: Fraction, counts) -> DataFrame:
-    """h, id of each shingle in each row's prefix; of rows with equal words, one for each task does."""
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64())])
+    """h, id, n (the set's size) and short (inside the short prefix) of each shingle in each row's prefix; of rows with equal words, one for each task does."""
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("short", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for block in blocks(batches, "text", 4 << 20):
             sets, digests = shingle_sets(block.column("text").to_pylist(), k)
-            hs, ids = [], []
+            hs, ids, sizes, short = [], [], [], []
             for i, s, digest in zip(block.column("id").to_pylist(), sets, digests, strict=True):
                 if digest is None or digest in seen:
                     continue
@@ -191,10 +196,22 @@ def prefixes(df: DataFrame, k: int, t: Fraction, counts) -> DataFrame:
                     seen.add(digest)
                 hs.append(rare_first(s, counts.value)[: prefix_size(len(s), t)])
                 ids.append(np.full(len(hs[-1]), i))
+                sizes.append(np.full(len(hs[-1]), len(s), np.int32))
+                short.append(np.arange(len(hs[-1])) < short_prefix_size(len(s), t))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (ids, sizes, short)]], schema=schema)
+
+    return _by_text(df, run, "h long, id long, n int, short boolean")
+
 
-    return _by_text(df, run, "h long, id long")
+def met_by_shingle(prefixed: DataFrame, t: Fraction) -> DataFrame:
+    """leader, id of the rows that another row with the same shingle may link with: by their sizes, and by where in its prefix the smaller set has the shingle."""
+    by, up = Window.partitionBy("h"), Window.partitionBy("h").orderBy("n", "id")
+    smaller = F.max(F.when(F.col("short"), F.col("n"))).over(up.rowsBetween(Window.unboundedPreceding, -1))
+    rows = prefixed.select("h", "id", "n", "short", smaller.alias("below"), F.lead("n").over(up).alias("above")).withColumn("leader", F.min("id").over(by))
+    num, den = F.lit(t.numerator), F.lit(t.denominator)
+    near = (F.col("below") * den >= F.col("n") * num) | (F.col("short") & (F.col("above") * num <= F.col("n") * den))
+    return rows.where(near).select("leader", "id").distinct()
 
 
 def ordered_sets(df: DataFrame, k: int, counts) -> DataFrame:
@@ -302,22 +319,19 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     summary = written(summaries(rows, k), "summaries")
     reps = written(with_group_min(summary, "digest", "id", "rep").select("id", "digest", "n", "parts", F.coalesce("rep", "id").alias("rep")), "representatives")
     counts = spark.sparkContext.broadcast(bucket_counts(rows, k))
-    met = prefixes(rows, k, t, counts).withColumn("leader", F.min("id").over(Window.partitionBy("h"))).withColumn("last", F.max("id").over(Window.partitionBy("h")))
-    met = met.where("leader < last").select("leader", "id").distinct()
+    met = met_by_shingle(prefixes(rows, k, t, counts), t)
     one = reps.select("id", "digest", "n", "parts", "rep").dropDuplicates(["id", "digest"])
-    met = met.join(one, "id").groupBy("leader", "digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parts").alias("parts"))
+    met = met.join(one, "id").groupBy("leader", F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
     # a meeting of too many shingles for one task becomes pairs of blocks
     by = Window.partitionBy("leader")
     met = met.withColumn("rows", F.count("id").over(by)).withColumn("size", F.sum("n").over(by)).where("rows > 1")
-    met = met.withColumn("nb", F.ceil(F.col("size") / MEETING).cast("int")).withColumn("b", F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int"))
+    met = met.withColumn("nb", F.ceil(F.col("size") / MEETING).cast("int")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = met.select("leader", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "id", "n", "parts")
     chosen = written(candidates(met, t), "candidates")
     texts = rows.join(chosen.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     edges = links(chosen.join(ordered_sets(texts, k, counts), "id"), t)
-    rep = one.select("id", "rep").dropDuplicates(["id"])
-    edges = edges.join(rep.select(F.col("id").alias("u"), F.col("rep").alias("ru")), "u").join(rep.select(F.col("id").alias("v"), F.col("rep").alias("rv")), "v")
-    groups = components(edges.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).withColumnRenamed("node", "rep")
+    groups = components(edges).withColumnRenamed("node", "rep")
     out = join_hot(reps.select("id", "n", "rep"), groups, "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
