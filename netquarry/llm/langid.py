@@ -9,7 +9,6 @@ towards those of all hosts; all three by grouped aggregation.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +23,8 @@ from .common import blocks, join_hot, written
 MAX_LABELLED = 6_000
 MAX_LANGUAGES = 64
 BITS = 14
+#: Up to so many values of a kind of evidence are looked up in a literal map, more by a join.
+MAP_VALUES = 500
 #: Overlapping trigrams repeat evidence; a text counts as a third of its trigrams, and as EVIDENCE at most.
 SHARE, EVIDENCE = 1 / 3, 200.0
 #: Texts counted towards a parent's shares in a host's prior, and towards all hosts' in a parent's.
@@ -165,12 +166,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = join_hot(rows, hosts, "host", "id")
     fused = F.zip_with("logs", F.coalesce("prior", lit(overall)), lambda a, p: a + F.log(p))
     for key in ("declared", "suffix"):
-        # P(declared | language) with add-one smoothing; the most frequent values only, others are neutral
-        seen = _counts(rows, key, size, "n").withColumn("all", F.aggregate("n", F.lit(0.0), lambda a, x: a + x)).orderBy(F.desc("all"), key).limit(500).select(key, "n").collect()
-        if seen:
-            values = len(seen) + 1
-            table = F.create_map(*[x for name, n in seen for x in (F.lit(name), lit([math.log((c + 1.0) / (t + values)) for c, t in zip(n, totals, strict=True)]))])
-            fused = F.zip_with(fused, F.coalesce(F.try_element_at(table, F.col(key)), lit([0.0] * size)), lambda a, b: a + b)
+        # P(value | language) with add-one smoothing over all values that occur
+        counts = written(_counts(rows, key, size, "n"), "language-values")
+        n_values = counts.count()
+        if not n_values:
+            continue
+        odds = lambda n: F.transform(F.zip_with(n, lit(totals), lambda c, t: (c + 1.0) / (t + F.lit(n_values + 1.0))), lambda p: F.log(p))
+        if n_values <= MAP_VALUES:
+            table = F.create_map(*[x for name, logs in counts.select(key, odds("n")).collect() for x in (F.lit(name), lit(logs))])
+            found = F.try_element_at(table, F.col(key))
+        else:  # too many for a literal: the same by a join
+            rows = join_hot(written(rows, "language-evidence"), counts.select(key, odds("n").alias(f"{key}_logs")), key, "id")
+            found = F.col(f"{key}_logs")
+        fused = F.zip_with(fused, F.coalesce(found, lit([0.0] * size)), lambda a, b: a + b)
     rows = rows.withColumn("fused", fused).withColumn("peak", F.array_max("fused")).withColumn("found", F.array_position("fused", F.col("peak")).cast("int"))
     names, usual = F.array(*[F.lit(x) for x in model.languages]), lit(model.usual)
     fits = F.element_at("mean", F.col("found")) >= F.element_at(usual, F.col("found")) - drop
