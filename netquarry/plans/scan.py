@@ -16,10 +16,11 @@ from netquarry.sources import events, rules
 class Inventory:
     """Gold tables over one set of records; each is worked out when first asked for.
 
-    lines: line and seq. now: what certificates are measured against.
+    lines: line and seq; None where events and facts are set from elsewhere, as a watcher
+    does. now: what certificates are measured against.
     """
 
-    lines: DataFrame
+    lines: DataFrame | None
     now: dt.datetime
     since: dt.datetime | None = None
     until: dt.datetime | None = None
@@ -29,7 +30,7 @@ class Inventory:
 
     @property
     def spark(self) -> SparkSession:
-        return self.lines.sparkSession
+        return (self.lines if self.lines is not None else self.facts).sparkSession
 
     @cached_property
     def rules(self) -> dict[str, DataFrame]:
@@ -101,9 +102,11 @@ class Inventory:
         return events.line_counts(self.records)
 
     def keep_facts(self, path: str) -> Inventory:
-        """Write the facts and events' facts once, so that the gold tables don't parse the records again."""
-        self.facts.write.mode("overwrite").parquet(path)
-        self.facts = self.spark.read.parquet(path)
+        """Write typed events and facts once, so that the gold tables don't parse the records again."""
+        for name in ("events", "facts"):
+            table = getattr(self, name)
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            setattr(self, name, self.spark.read.schema(table.schema).parquet(f"{path}/{name}"))
         return self
 
 
