@@ -80,12 +80,18 @@ def sensor_findings(events: DataFrame) -> DataFrame:
     return rows.select("seq", "ts", F.lit("sensor").alias("ip"), F.lit("finding").alias("fact"), F.lit("sensor-packet-loss").alias("key"), F.lit("").alias("value"), F.lit("MEDIUM").alias("conclusion"))
 
 
+def grouped(raw: DataFrame) -> DataFrame:
+    """device, kind, f (conclusion and value of the first sighting), count, first_seq of finding facts."""
+    rows = raw.where("fact = 'finding' AND ip <> ''").groupBy(F.col("ip").alias("device"), F.col("key").alias("kind"))
+    return rows.agg(F.min_by(F.struct("conclusion", "value"), "seq").alias("f"), F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"))
+
+
 def findings(raw: DataFrame) -> DataFrame:
     """severity, kind, device, title, detail, fix, count, first_seq: the first sighting's text and the number of sightings.
 
     raw: finding facts of all sources.
     """
-    rows = raw.where("fact = 'finding' AND ip <> ''").groupBy(F.col("ip").alias("device"), F.col("key").alias("kind")).agg(F.min_by(F.struct("conclusion", "value"), "seq").alias("f"), F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"))
+    rows = grouped(raw)
     base = F.when(F.col("kind").startswith("segmentation-"), F.lit("segmentation")).otherwise(F.col("kind"))
     text = lambda k: F.replace(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, t in TEXTS.items() for x in (n, t[k])]), base), F.col("kind")), F.lit("{}"), F.col("f.value"))
     return rows.select(F.col("f.conclusion").alias("severity"), rank(F.col("f.conclusion")).alias("severity_rank"), "kind", "device", text(0).alias("title"), text(1).alias("detail"), text(2).alias("fix"), "count", "first_seq")

@@ -13,7 +13,8 @@ from netquarry.functions import access, ja4, names, net
 from netquarry.operators import devices, evidence, findings, handlers, reports, segmentation, snapshot
 from netquarry.plans.scan import Inventory
 from netquarry.sources import adapter, events, registry, rules
-from netquarry.sources.landing import landed
+from netquarry.sources.landing import landed, shared_dir
+from netquarry.streaming import watch
 
 NOW = dt.datetime(2025, 6, 1, 12, tzinfo=dt.UTC)
 SINCE, UNTIL = dt.datetime(2024, 1, 10, tzinfo=dt.UTC), dt.datetime(2024, 1, 12, 6, 30, tzinfo=dt.UTC)
@@ -577,6 +578,47 @@ def _(spark, d):
     return findings.sensor_findings(inventory(spark, d).events).select("seq")
 
 
+#: Kinds of findings by the inventory's numbers.
+FINDING_KINDS = (
+    "end-of-life-os", "obsolete-ssl", "weak-tls", "self-signed-cert", "cert-expired", "cert-expiring", "client-obsolete-tls", "segmentation-", "dns-over-https", "ssh-v1", "default-snmp-community",
+    "snmp-v1v2", "vnc-no-auth", "smbv1", "weak-kerberos", "cleartext-credentials", "tftp-in-use", "executable-transfer", "ot-exposed", "high-severity-alert", "p2p", "sensor-packet-loss",
+)
+for _n, _kind in enumerate(FINDING_KINDS, 1):
+    query(f"f{_n:02d}_{_kind.strip('-').replace('-', '_')}", FI(f"SELECT device, kind, severity, seen, count FROM fi WHERE starts_with(kind, '{_kind}')"))(
+        lambda spark, d, kind=_kind: findings.grouped(inventory(spark, d).raw_findings.where(F.col("key").startswith(kind))).select("device", "kind", F.col("f.conclusion").alias("severity"), F.col("f.value").alias("seen"), "count")
+    )
+RULE_TABLES = ("vendor_class", "dhcp_vendor_class", "dhcp_vendor_class_secondary", "user_agent", "user_agent_class", "ssh_banner", "server_banner", "hostname_prefix")
+
+
+def rule_hits(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """How many of the pages each rule of a table is found in."""
+    pages = table(spark, d, "pages").select("page_id", F.lower("html").alias("lower"))
+    own = rules.text_rules(spark).where(F.col("rule_table") == name)
+    hits = pages.join(evidence.small(own), F.col("lower").contains(F.col("match")))
+    return hits.groupBy("rule", "match", "conclusion").agg(F.count(F.lit(1)).alias("n"))
+
+
+for _n, _table in enumerate(RULE_TABLES, 1):
+    query(f"r{_n:02d}_{_table}", f"WITH {oracle._rule_ctes()} SELECT rule, match, concluded AS conclusion, count(*) AS n FROM pages JOIN rt ON contains(lower(html), match) WHERE rule_table = '{_table}' GROUP BY ALL")(lambda spark, d, name=_table: rule_hits(spark, d, name))
+
+
+@query("st02_streamed_evidence", oracle.gold("SELECT ip, signal, value, conclusion, weight, spec FROM ev"))
+def _(spark, d):
+    """Facts made by a stream over files of lines, one micro-batch a file; the same as those of one batch."""
+    source, sink = shared_dir(spark, "stream-lines"), shared_dir(spark, "stream-facts")
+    inventory(spark, d).lines.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("line string, seq bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    made = handlers.facts(events.events(events.records(stream)))
+    made.writeStream.format("parquet").option("path", sink).option("checkpointLocation", shared_dir(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return evidence.evidence(spark.read.schema(made.schema).parquet(sink), inventory(spark, d).rules)
+
+
+@query("st03_retained_facts", oracle.gold("SELECT f.ip, fact, count(*) AS n FROM f JOIN (SELECT ip FROM f WHERE fact = 'seen' GROUP BY ip HAVING max(ts) >= TIMESTAMP '2024-01-30') USING (ip) WHERE NOT (fact = 'seen' AND ts < TIMESTAMP '2024-01-30') GROUP BY f.ip, fact"))
+def _(spark, d):
+    kept = watch.pruned(inventory(spark, d).facts, dt.datetime(2024, 1, 30, tzinfo=dt.UTC))
+    return kept.groupBy("ip", "fact").agg(F.count(F.lit(1)).alias("n"))
+
+
 FORMS = "[' Co., Ltd.', ' Inc.', ' GmbH', ', LLC', '', ' Corporation Ltd', ' Private']"
 
 

@@ -87,7 +87,7 @@ class Watch:
         failed = []
         for k, name in enumerate(siblings(path)):
             try:
-                lines = events.read_lines(self.spark, [name]).select("line", F.col("seq.place").alias("seq") - F.lit(1 << 62) + F.lit(k << 40))
+                lines = events.read_lines(self.spark, [name]).select("line", (F.col("seq.place") - F.lit((1 << 62) - (k << 40))).alias("seq"))
                 self.add(lines, f"old-{k}")
             except Exception as error:  # noqa: BLE001  what is wrong with one old file must not keep the watcher from starting
                 failed.append(f"{name}: {error}")

@@ -44,12 +44,15 @@ RECORDS = [
 ]
 
 
+def kept(inventory):
+    return inventory.keep_facts(f"/tmp/netquarry-test-{random.randrange(1 << 60)}")
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     rows = [(json.dumps(r), k) for k, r in enumerate(RECORDS)]
     policy = segmentation.parse_policy("zone office 10.0.1.0/24 10.0.4.0/24\nzone plant 10.0.20.0/24\nzone servers 10.0.0.0/16\nallow office -> servers\n")
-    out = Inventory(spark.createDataFrame(rows, "line string, seq bigint"), NOW, policy=policy)
-    return out.keep_facts(f"/tmp/netquarry-test-{random.randrange(1 << 60)}")
+    return kept(Inventory(spark.createDataFrame(rows, "line string, seq bigint"), NOW, policy=policy))
 
 
 @pytest.fixture(scope="module")
@@ -99,7 +102,7 @@ def test_tables(found):
 def test_order_and_repeats_do_not_matter(spark, found):
     shuffled = RECORDS + RECORDS[:40]
     random.Random(5).shuffle(shuffled)
-    other = Inventory(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(shuffled)], "line string, seq bigint"), NOW)
+    other = kept(Inventory(spark.createDataFrame([(json.dumps(r), k) for k, r in enumerate(shuffled)], "line string, seq bigint"), NOW))
     pick = lambda inv: sorted((r["ip"], r["class"], round(r["confidence"], 9), r["os"], r["vendor"]) for r in inv.winners.collect())
     assert pick(other) == pick(found)
 
@@ -119,7 +122,7 @@ def test_lines(lines):
 
 
 def test_empty_table(lines):
-    out = Inventory(lines(), NOW)
+    out = kept(Inventory(lines(), NOW))
     assert out.devices.isEmpty() and out.findings.isEmpty() and out.extent.first()["events"] == 0
 
 
@@ -191,5 +194,5 @@ def test_rule_tables(spark):
 
 
 def test_activity_of_devices_without_time(lines):
-    out = Inventory(lines(record("flow", "10.0.0.1", "10.0.0.2", ts="bad", dest_port=22)), NOW, since=NOW)
+    out = kept(Inventory(lines(record("flow", "10.0.0.1", "10.0.0.2", ts="bad", dest_port=22)), NOW, since=NOW))
     assert out.event_counts.count() == 1 and devices.activity(out.facts).isEmpty()
