@@ -16,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, join_hot, with_group_min, written
@@ -27,6 +27,8 @@ BUCKET_BITS = 20
 SLICE = 1 << 14
 #: Counts of a set's shingles in so many parts: the suffix filter's bounds.
 PARTS = 64
+#: Bits of the filter that tells which texts are needed again (4 MB), and of a slice of it.
+FILTER_BITS, FILTER_SLICE = 25, 1 << 14
 #: Shingles of documents that meet in one task; larger meetings are dealt out as pairs of blocks.
 MEETING = 1 << 21
 
@@ -214,16 +216,39 @@ def met_by_shingle(prefixed: DataFrame, t: Fraction) -> DataFrame:
     return rows.where(near).select("leader", "id").distinct()
 
 
-def ordered_sets(df: DataFrame, k: int, counts) -> DataFrame:
-    """id, shingles (binary, rare first), parts of every row."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary()), ("parts", pa.binary())])
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Which hashes some of the ids have, as packed bits; a fixed size, whatever the input. It may let others pass, never stop one of these."""
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_SLICE, np.uint8)
+        bits[table.column("place").to_numpy()] = 1
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    places = ids.select(_id_hash().alias("p")).distinct()
+    slices = places.select(F.floor(F.col("p") / FILTER_SLICE).alias("at"), (F.col("p") % FILTER_SLICE).alias("place"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for at, bits in slices.groupBy("at").applyInArrow(pack, "at long, bits binary").collect():
+        out[at * FILTER_SLICE // 8 : (at + 1) * FILTER_SLICE // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _id_hash() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+
+
+def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the rows of these ids; rows that the filter stops aren't shuffled. Of rows with one id, one text."""
+    bits = df.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
-            sets, _ = shingle_sets(block.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([rare_first(s, counts.value).tobytes() for s in sets], pa.binary()), pa.array([part_counts(s) for s in sets], pa.binary())], schema=schema)
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            some = batch.filter(pa.array((bits.value[p // 8] >> (p % 8).astype(np.uint8)) & 1 == 1))
+            if some.num_rows:
+                yield some.select(["id", "text"])
 
-    return _by_text(df, run, "id long, shingles binary, parts binary")
+    passed = df.select("id", "text", _id_hash().alias("p")).mapInArrow(run, "id long, text string")
+    return passed.dropDuplicates(["id"])
 
 
 KEY = ["leader", "b1", "b2"]
@@ -268,14 +293,15 @@ def candidates(meetings: DataFrame, t: Fraction) -> DataFrame:
     return _dealt(meetings).mapInArrow(run, "leader long, b1 int, b2 int, b int, id long")
 
 
-def links(meetings: DataFrame, t: Fraction) -> DataFrame:
-    """u, v: links of each meeting, as many as connect what its links connect."""
+def links(meetings: DataFrame, t: Fraction, k: int, counts) -> DataFrame:
+    """u, v: links of each meeting (KEY, b, id, text), as many as connect what its links connect."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _meetings(batches):
-            parts = np.frombuffer(b"".join(m["parts"]), np.uint8).reshape(-1, PARTS)
-            found = linked([np.frombuffer(s, np.uint64) for s in m["shingles"]], parts, np.array(m["b"]), t, verify=True)
+            plain, _ = shingle_sets(m["text"], k)
+            parts = np.frombuffer(b"".join(map(part_counts, plain)), np.uint8).reshape(-1, PARTS)
+            found = linked([rare_first(s, counts.value) for s in plain], parts, np.array(m["b"]), t, verify=True)
             if found:
                 yield pa.RecordBatch.from_pydict({"u": [m["id"][i] for i, _ in found], "v": [m["id"][j] for _, j in found]}, schema=schema)
 
@@ -329,8 +355,7 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     met = met.select("leader", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "id", "n", "parts")
     chosen = written(candidates(met, t), "candidates")
-    texts = rows.join(chosen.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    edges = links(chosen.join(ordered_sets(texts, k, counts), "id"), t)
+    edges = links(chosen.join(texts_of(rows, chosen), "id"), t, k, counts)
     groups = components(edges).withColumnRenamed("node", "rep")
     out = join_hot(reps.select("id", "n", "rep"), groups, "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
