@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import ja4, names, net
+from netquarry.functions.reuse import once
 
 SCHEMA = "ip string, fact string, key string, value string, conclusion string, weight double, spec int, ord int"
 EXECUTABLE = (".exe", ".dll", ".ps1", ".scr", ".bat", ".jar", ".vbs")
@@ -411,14 +412,19 @@ def _machine(protocol: str) -> Column:
     return (F.col("event_type") == protocol) | (F.col("event_type").isin("flow", "netflow") & (F.col("app_proto") == protocol))
 
 
-def facts(events: DataFrame) -> DataFrame:
-    """seq, ts and the columns of SCHEMA: every fact of every event, in one pass."""
+@once
+def _all_facts() -> Column:
     none = F.array().cast(f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ', ')}>>")
     pick = lambda cases: F.coalesce(reduce(lambda c, x: F.when(*x) if c is None else c.when(*x), cases, None), none)
     by_type = pick([(F.col("event_type").isin(*kinds), F.array(*handler())) for kinds, handler in HANDLERS.items()])
     controls = pick([(_machine(p), F.array(*industrial(p))) for p in INDUSTRIAL])
     lists = pick([(F.col("event_type").isin(*kinds), rows()) for kinds, rows in LISTED.items()])
-    return _exploded(events, F.concat(F.array(*every_event()), tags(), by_type, controls, lists))
+    return F.concat(F.array(*every_event()), tags(), by_type, controls, lists)
+
+
+def facts(events: DataFrame) -> DataFrame:
+    """seq, ts and the columns of SCHEMA: every fact of every event, in one pass."""
+    return _exploded(events, _all_facts())
 
 
 def facts_of(events: DataFrame, *kinds: str) -> DataFrame:

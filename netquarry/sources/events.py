@@ -84,7 +84,7 @@ def events(records_: DataFrame) -> DataFrame:
         access.vlans(v).alias("vlans"),
     )
     rows = rows.withColumns({"src_private": net.is_private(F.col("src_ip")), "dest_private": net.is_private(F.col("dest_ip"))})
-    return rows.withColumns(payloads.columns(v, F.col("event_type"), F.col("app_proto"))).drop("record")
+    return rows.withColumns(payloads.columns()).drop("record")
 
 
 def in_window(rows: DataFrame, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:

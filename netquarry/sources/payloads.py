@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netquarry.functions import access, net
+from netquarry.functions.reuse import once
 
 #: Payload: the event types that carry it.
 KINDS = {
@@ -79,8 +80,10 @@ def _default_communities(v: Column) -> Column:
 LISTS = {"dns": {"names": _dns_names}, "snmp": {"defaults": _default_communities}}
 
 
-def columns(v: Column, event_type: Column, app_proto: Column) -> dict[str, Column]:
-    """Payload name: its struct, for a record ``v`` (VARIANT)."""
+@once
+def columns() -> dict[str, Column]:
+    """Payload name: its struct, from the columns record (VARIANT), event_type and app_proto."""
+    v, event_type, app_proto = F.col("record"), F.col("event_type"), F.col("app_proto")
     out = {}
     for name, kinds in KINDS.items():
         fields = [access.first_text(v, *paths).alias(f) for f, paths in TEXTS.get(name, {}).items()]
