@@ -30,20 +30,13 @@ def first_word(text: Column) -> Column:
     return F.when(text.rlike(r"^[ \t,;]"), text).otherwise(F.regexp_extract(text, r"^([^ \t,;]*)", 1))
 
 
-def clean_vendor(name: Column, rounds: int = 6) -> Column:
-    """An organisation's name without its legal forms; '' for what is then no name."""
+def clean_vendor(name: Column) -> Column:
+    """An organisation's name without its legal forms, however many stand at its end; '' for what is then no name."""
     text = F.trim(F.regexp_replace(name, r"\s+", " "))
-    text = F.when(F.lower(text) == "private", F.lit("")).otherwise(text)
-    ends = "|".join(f.replace(".", r"\.") for f in LEGAL_FORMS)
-    for _ in range(rounds):
-        text = _shed(text, ends)
-    text = F.regexp_replace(text, r"[ ,.\-]+$", "")
-    return F.when(F.length(text) < 2, F.lit("")).otherwise(text)
-
-
-def _shed(text: Column, ends: str) -> Column:
-    ending = rf"(?i)(?<=[ ,])(?:{ends})$"
-    return F.when(text.rlike(ending), F.regexp_replace(F.regexp_replace(text, ending, ""), r"[ ,.\-]+$", "")).otherwise(text)
+    form = rf"(?<=[ ,])(?:{'|'.join(f.replace('.', r'[.]') for f in LEGAL_FORMS)})"
+    bare = F.regexp_replace(text, rf"(?i)[ ,.\-]*(?:{form}[ ,.\-]+)*{form}$", "")
+    bare = F.regexp_replace(bare, r"[ ,.\-]+$", "")
+    return F.when((F.lower(text) == "private") | (F.length(bare) < 2), F.lit("")).otherwise(bare)
 
 
 #: Endings of organisations' names that are dropped, the first that fits at a time.
