@@ -140,6 +140,8 @@ def short_hash(hashes: np.ndarray) -> np.ndarray:
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """Order of the hashes by bucket and value, the ordered hashes, and (bucket, start, end) of each bucket that has some."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), hashes, []
     bucket = hashes % np.uint64(buckets)
     order = np.lexsort((hashes, bucket))
     bucket = bucket[order].astype(np.int64)
