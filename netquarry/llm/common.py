@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys holding at least HOT_SHARE of the rows; never more than 1/HOT_SHARE values."""
     total = df.count()
@@ -91,8 +99,6 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors once, for sessions whose workers can't import it."""
     import io

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .suffixes import suffix_array
 
 WINDOW = 10
@@ -147,8 +148,8 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def with_matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` with all its columns and rows, plus ``contamination``: struct of n_words and matches.
+def with_matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, out_col: str = "contamination") -> DataFrame:
+    """``documents`` with all its columns and rows, plus ``out_col``: struct of n_words and matches.
 
     A window is 10 words of an item in a row; an item of fewer words, but not none, is one
     window. Null and empty texts have no words and no matches; null items are left out; an
@@ -160,11 +161,11 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
     names, out = documents.columns, documents
     found: list[Column] = []
     for k, items in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        name = f"__block_{k}"
+        name = free_name(out, f"__block_{k}")
         out = out.withColumn(name, matcher(spark, items)(F.col(text_col)))
         found.append(F.col(name))
     matches = F.array_sort(F.array_distinct(F.flatten(F.array(*[f["matches"] for f in found]))))
-    return out.select(*[F.col(f"`{n}`") for n in names], F.struct(found[0]["n_words"].alias("n_words"), matches.alias("matches")).alias("contamination"))
+    return out.select(*[F.col(f"`{n}`") for n in names], F.struct(found[0]["n_words"].alias("n_words"), matches.alias("matches")).alias(out_col))
 
 
 def hit_words(matches: Column) -> Column:
@@ -186,8 +187,8 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def removed(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows that hold a window of an item."""
-    names = [f"`{n}`" for n in documents.columns]
-    return with_matches(documents, benchmark).where(F.size("contamination.matches") == 0).select(*names)
+    names, found = [f"`{n}`" for n in documents.columns], free_name(documents, "contamination")
+    return with_matches(documents, benchmark, out_col=found).where(F.size(f"{found}.matches") == 0).select(*names)
 
 
 ORACLE = r"""
