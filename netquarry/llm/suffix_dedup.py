@@ -321,6 +321,17 @@ def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
     return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "shard long, data binary")
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with every field and element nullable, as a schema text declares it."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(kind.field(i).name, nullable(kind.field(i).type)) for i in range(kind.num_fields)])
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, nullable(kind.item_type))
+    return kind
+
+
 def cut_texts(shards: DataFrame, spans: DataFrame) -> DataFrame:
     """The rows of shards without body, plus n_bytes, spans (start and end of each maximal removed run) and kept (binary)."""
     names = [c for c in shards.columns if c != "body"]
@@ -341,6 +352,7 @@ def cut_texts(shards: DataFrame, spans: DataFrame) -> DataFrame:
             found.append([{"start": i, "end": j} for i, j in pairs])
             kept.append(b"".join(text[i:j] for i, j in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True)) if pairs else text)
         out = table.select(names).take(pa.array(shard.order, pa.int64()))
+        out = out.cast(pa.schema([(f.name, nullable(f.type)) for f in out.schema]))
         out = out.append_column("n_bytes", pa.array([len(t) for t in shard.texts], pa.int64()))
         return out.append_column("spans", pa.array(found, span)).append_column("kept", pa.array(kept, pa.binary()))
 
