@@ -9,9 +9,12 @@ in the renamed file and a restarted query reads every line once.
 from __future__ import annotations
 
 import glob
+import gzip
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -23,48 +26,88 @@ LINE_BYTES = 8 << 20
 BATCH_BYTES, ROTATIONS = 64 << 20, 16
 
 
+def opened(path: str):
+    """The file's bytes; a compressed one's as they were before."""
+    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+
+
+@lru_cache(maxsize=256)
+def _unpacked(path: str, changed: int, size: int) -> int:
+    n = 0
+    try:
+        with gzip.open(path, "rb") as file:
+            while part := file.read(1 << 20):
+                n += len(part)
+    except (EOFError, OSError, zlib.error):  # still being written, or not what its name says
+        return -1
+    return n
+
+
+def length(path: str) -> int:
+    """Bytes in the file, in a compressed one those before compression; -1 for one that can't be read to its end."""
+    if not path.endswith(".gz"):
+        return os.path.getsize(path)
+    at = os.stat(path)
+    return _unpacked(path, at.st_mtime_ns, at.st_size)
+
+
 def signature(path: str, upto: int) -> str:
     """A digest of the first bytes before ``upto``; '' for none."""
     size = min(upto, HEAD_BYTES)
     if not size:
         return ""
-    with open(path, "rb") as file:
-        head = file.read(size)
+    try:
+        with opened(path) as file:
+            head = file.read(size)
+    except (EOFError, OSError, zlib.error):
+        if not path.endswith(".gz"):
+            raise
+        return ""
     return hashlib.sha256(head).hexdigest()[:16] if len(head) == size else ""
 
 
 def siblings(path: str) -> list[str]:
-    """Files named like the followed one, oldest change first, without itself."""
-    found = [p for p in glob.glob(glob.escape(path) + "*") if os.path.isfile(p) and p != path]
+    """Files named like the followed one, oldest change first, without itself and without compressed copies of others (whole or being written)."""
+    found = {p for p in glob.glob(glob.escape(path) + "*") if os.path.isfile(p) and p != path}
+    for p in found & {f"{p}.gz" for p in found}:
+        n = length(p)
+        if n < 0 or n == length(p[:-3]) and signature(p, n) == signature(p[:-3], n):
+            found.discard(p)
     return sorted(found, key=lambda p: (os.path.getmtime(p), p))
 
 
 def find(path: str, sign: str, at: int) -> str | None:
     """Where the file with this start now is: under its own name or that of a rotated one; None if it is gone or shorter."""
     for p in (path, *reversed(siblings(path))):
-        if os.path.exists(p) and os.path.getsize(p) >= at and signature(p, at) == sign and not p.endswith(".gz"):
+        if p.endswith(".gz") and not at:
+            continue
+        if os.path.exists(p) and signature(p, at) == sign and length(p) >= at:
             return p
     return None
 
 
 def lines_between(path: str, start: int, end: int) -> Iterator[str]:
     """Whole lines of a stretch that ends at a line end (or at a rotated file's end)."""
-    with open(path, "rb") as file:
+    with opened(path) as file:
         file.seek(start)
         left = end - start
         while left > 0:
-            line = file.readline(left)
+            line = file.readline(min(left, LINE_BYTES + 1))
             if not line:
                 return
             left -= len(line)
             if len(line) <= LINE_BYTES:
                 yield line.rstrip(b"\r\n").decode("utf-8", "replace")
+                continue
+            while line and left > 0 and not line.endswith(b"\n"):
+                line = file.readline(min(left, LINE_BYTES))
+                left -= len(line)
 
 
 def last_line_end(path: str, start: int, end: int) -> int:
     """The place behind the last line end in a stretch, or its start."""
     at = end
-    with open(path, "rb") as file:
+    with opened(path) as file:
         while at > start:
             low = max(start, at - 65_536)
             file.seek(low)
@@ -75,45 +118,46 @@ def last_line_end(path: str, start: int, end: int) -> int:
     return start
 
 
+def next_line_end(path: str, at: int) -> int | None:
+    """The place behind the first line end from a place on; None for none."""
+    with opened(path) as file:
+        file.seek(at)
+        while part := file.read(65_536):
+            k = part.find(b"\n")
+            if k >= 0:
+                return at + k + 1
+            at += len(part)
+    return None
+
+
 def stretches(path: str, sign: str, at: int, most: int = BATCH_BYTES) -> tuple[list[dict], str, int]:
     """What can be read now: stretches (sign and size that tell the file, start, end), and then the file's sign and place."""
     out: list[dict] = []
+    here = find(path, sign, at)
+    if here is None:  # gone, or cut off: what is there now is read from its start
+        if not os.path.exists(path):
+            return out, sign, at
+        here, at = path, 0
+    start = at
     for _ in range(ROTATIONS):
-        here = find(path, sign, at)
-        if here is None:  # gone, or cut off: what is there now is read from its start
-            if not os.path.exists(path):
-                return out, sign, at
-            here, at = path, 0
-        size = os.path.getsize(here)
-        end = min(size, at + most)
+        size = length(here)
+        end = min(size, start + most)
         if here == path or end < size:
-            end = last_line_end(here, at, end)
-        if end > at:
-            sign = signature(here, end)
-            out.append({"sign": sign, "start": at, "end": end})
-            most -= end - at
-            at = end
+            end = last_line_end(here, start, end)
+            if end == start and size - start > most and not out:  # a line that is longer than a batch makes one
+                end = next_line_end(here, start + most) or (start if here == path else size)
+        if end > start:
+            sign, at = signature(here, end), end
+            out.append({"sign": sign, "start": start, "end": end})
+            most -= end - start
         if here == path or end < size or most <= 0:
-            return out, sign, at
-        # the renamed file is read to its end: the next is the one that came after it
-        later = [p for p in siblings(path) if os.path.getmtime(p) > os.path.getmtime(here) and not p.endswith(".gz")]
+            break
+        # the renamed file is read to its end: the next is the one that came after it; what doesn't fit of that is read later
+        later = [p for p in siblings(path) if os.path.getmtime(p) > os.path.getmtime(here) and length(p) > 0]
         following = later[0] if later else path
         if not os.path.exists(following):
-            return out, sign, at
-        sign, at = "", 0
-        if following != path:
-            size = os.path.getsize(following)
-            if size and size <= most:
-                sign, at = signature(following, size), size
-                out.append({"sign": sign, "start": 0, "end": size})
-                most -= size
-                continue
-        path_size = os.path.getsize(path)
-        end = last_line_end(path, 0, min(path_size, most))
-        if end:
-            sign, at = signature(path, end), end
-            out.append({"sign": sign, "start": 0, "end": end})
-        return out, sign, at
+            break
+        here, start = following, 0
     return out, sign, at
 
 

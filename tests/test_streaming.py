@@ -1,6 +1,7 @@
 """Following a log through appends, rotation and restarts."""
 
 import datetime as dt
+import gzip
 import json
 import os
 import time
@@ -54,6 +55,34 @@ def test_rename(log):
     assert read_all(reader, after)[0] == ["e"]
 
 
+@pytest.mark.parametrize("most", ["5", "12", "30", "40", "1000"])
+@pytest.mark.parametrize("packed", [(), (1,), (2, 3, 4)])
+def test_several_rotations(log, most, packed):
+    """Files between the one that was read and the current one are read whole, in parts, empty or compressed."""
+    reader = tail.TailReader({"path": log, "maxbytespertrigger": most})
+    write(log, "a\nb\n")
+    _, at = read_all(reader, reader.initialOffset())
+    want = [*(f"first {k}" for k in range(3)), *(f"middle {k}" for k in range(9)), "end without", "x" * 60, "last", "now"]
+    for name, text in ((".4", "a\nb\n" + "".join(f"first {k}\n" for k in range(3))), (".3", "".join(f"middle {k}\n" for k in range(9)) + "end without"), (".2", ""), (".1", "x" * 60 + "\nlast\n"), ("", "now\n")):
+        write(log + name, text, "w")
+        time.sleep(0.02)
+    for k in packed:
+        changed = os.stat(f"{log}.{k}").st_mtime_ns
+        with open(f"{log}.{k}", "rb") as file, gzip.open(f"{log}.{k}.gz", "wb") as out:
+            out.write(file.read())
+        os.remove(f"{log}.{k}")
+        os.utime(f"{log}.{k}.gz", ns=(changed, changed))
+    write(f"{log}.3.gz", "not yet whole") if 3 not in packed else None
+    got = []
+    for _ in range(40):
+        rows, after = read_all(reader, at)
+        assert [r[0] for r in reader.readBetweenOffsets(at, after)] == rows or not rows
+        got, at = got + rows, after
+    assert got == want
+    write(log, "more\n")
+    assert read_all(reader, at)[0] == ["more"]
+
+
 def test_truncated_in_place(log):
     reader = tail.TailReader({"path": log})
     write(log, "first line\nsecond line\n")
