@@ -332,8 +332,22 @@ def nullable(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
-def cut_texts(shards: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of shards without body, plus n_bytes, spans (start and end of each maximal removed run) and kept (binary)."""
+def widened(text: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans with the rest of the characters that they cut, not overlapping."""
+    out, last = [], 0
+    for a, b in pairs:
+        while a > last and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        a, last = max(a, last), max(b, last)
+        if last > a:
+            out.append((a, last))
+    return out
+
+
+def cut_texts(shards: DataFrame, spans: DataFrame, whole: bool = False) -> DataFrame:
+    """The rows of shards without body, plus n_bytes, spans (start and end of each maximal removed run) and kept (binary; ``whole``: of whole characters)."""
     names = [c for c in shards.columns if c != "body"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -346,11 +360,12 @@ def cut_texts(shards: DataFrame, spans: DataFrame) -> DataFrame:
             np.add.at(removed, shard.starts[doc] + end, -1)
         gone = np.cumsum(removed[:-1]) > 0
         kept, found = [], []
-        for text, a, b in zip(shard.texts, shard.starts.tolist(), shard.ends.tolist(), strict=True):
-            edges = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False].astype(np.int8))).tolist()
+        for text, start, end in zip(shard.texts, shard.starts.tolist(), shard.ends.tolist(), strict=True):
+            edges = np.flatnonzero(np.diff(np.r_[False, gone[start:end], False].astype(np.int8))).tolist()
             pairs = list(zip(edges[::2], edges[1::2], strict=True))
             found.append([{"start": i, "end": j} for i, j in pairs])
-            kept.append(b"".join(text[i:j] for i, j in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True)) if pairs else text)
+            cuts = widened(text, pairs) if whole else pairs
+            kept.append(b"".join(text[i:j] for i, j in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(text)], strict=True)) if cuts else text)
         out = table.select(names).take(pa.array(shard.order, pa.int64()))
         out = out.cast(pa.schema([(f.name, nullable(f.type)) for f in out.schema]))
         out = out.append_column("n_bytes", pa.array([len(t) for t in shard.texts], pa.int64()))
@@ -360,13 +375,14 @@ def cut_texts(shards: DataFrame, spans: DataFrame) -> DataFrame:
     return shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cut, f"{kinds}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
-def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``row`` (a struct of all columns but the text), n_bytes, spans and kept (the text's remaining bytes) of each row.
 
     A byte goes if a ``length``-byte string that covers it also starts in a row with a smaller
     id; strings don't cross rows and are judged on the input. Null texts are empty; texts
     under ``length`` bytes keep all. Rows with equal ids don't shorten each other; a null id is
-    above all others. An empty table gives no rows. ``length`` is 32 to 200.
+    above all others. An empty table gives no rows. ``length`` is 32 to 200. With ``whole``,
+    kept is without the characters that lost some of their bytes.
     """
     if not 32 <= length <= 200:
         raise ValueError("length must be 32 to 200")
@@ -382,14 +398,13 @@ def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     shared = shared_anchors(shards, length, buckets)
     sent = written(contexts(shards, shared, length, buckets), "surroundings")
     spans = earlier_spans(sent, length).unionByName(sent.where("bucket < 0").select("shard", "data"))
-    return cut_texts(shards, spans).drop("shard", "id")
+    return cut_texts(shards, spans, whole).drop("shard", "id")
 
 
 def deduplicated(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with repeats cut out of its texts; a character that lost some of its bytes goes whole, n_chars (if there) is set anew."""
-    out = repeats_removed(df, length, id_col, text_col)
-    # bytes that no longer make a character are decoded as U+FFFD; where the text had none, those are dropped
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    out = repeats_removed(df, length, id_col, text_col, whole=True)
+    text = F.col("kept").cast("string")
     cols = []
     for name in df.columns:
         if name == text_col:

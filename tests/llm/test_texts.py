@@ -41,6 +41,17 @@ def test_suffix_dedup(spark, docs, clashing, empty):
     assert sorted(map(tuple, suffix_dedup.report(spark, twice).distinct().collect())) == sorted(want)
 
 
+def test_suffix_dedup_keeps_characters(spark):
+    """Replacement characters of the text stay; a character that is cut goes whole, and none is made of two cut ones."""
+    same = "0123456789" * 5 + "abc"
+    rows = [(1, "\ufffd clean \ufffd"), (2, same), (3, f"\ufffdé{same}é\ufffd"), (4, "x" * 60 + "\u00e9"), (5, "x" * 60 + "\u00e8 \ufffd")]
+    rows += [(6, "日" * 20 + "月"), (7, "a" + "日" * 20 + "本\ufffd")]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    got = {r[0]: (r[1], r[2]) for r in suffix_dedup.deduplicated(df).collect()}
+    want = {1: "\ufffd clean \ufffd", 2: same, 3: "\ufffdéé\ufffd", 4: "x" * 60 + "é", 5: " \ufffd", 6: "日" * 20 + "月", 7: "a\ufffd"}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 def groups(rows, k, percent):
     sets = {}
     for i, text in rows:
