@@ -12,6 +12,10 @@ factor; where it reaches ``length``, an earlier document has the string.
 Documents are dealt to shards by a hash of their id. A string that a large part of the
 corpus shares costs one row a shard in the first exchange and, with equal bytes around
 it, in the second.
+
+An anchor with many surroundings would fill a task by itself. Its strings are looked up
+one by one: each shard keeps the smallest id of each of its distinct strings, and these
+meet by a hash of the whole string, a row a shard at most, where their bytes are compared.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ GRAM = 20
 SHARD_BYTES = 8 << 20
 #: Bytes hashed at once, beside the longest text.
 STRETCH = 1 << 19
+#: Anchors with more surroundings than this (equal ones of a shard count once) have their strings looked up one by one; and of those strings, how many at once.
+MANY, AT_ONCE = 5_000, 1 << 20
 _POWER = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 28) - 1)
@@ -46,26 +52,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def gram_hashes(row: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place."""
-    n = len(row) - GRAM + 1
-    size = max(STRETCH * 2, 1 << (len(row) - 1).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(len(row) + 1, np.uint64)
-    np.cumsum(_BYTES[row] * up[: len(row)], out=total[1:])
-    x = (total[GRAM:] - total[:-GRAM]) * down[:n]
+def mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     return x
 
 
-def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all ``length``-byte strings inside the texts row[start:end]."""
+def totals(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bytes' values before each place, and what makes a difference of two independent of its place."""
+    size = max(STRETCH * 2, 1 << (len(row) - 1).bit_length())
+    up, down = _powers(size)
+    total = np.zeros(len(row) + 1, np.uint64)
+    np.cumsum(_BYTES[row] * up[: len(row)], out=total[1:])
+    return total, down
+
+
+def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes (of GRAM bytes) and hashes of the surroundings of the anchors of all ``length``-byte strings inside the texts row[start:end]."""
     width = length - GRAM + 1
     if len(row) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = gram_hashes(row)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    total, down = totals(row)
+    hashes = mixed((total[GRAM:] - total[:-GRAM]) * down[: len(row) - GRAM + 1])
     low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)  # the first of equal hashes is lower
     have = 1
     while have < width:
@@ -78,7 +87,10 @@ def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     np.add.at(inside, ends[some] - length + 1, -1)
     place = (low[np.cumsum(inside[: len(low)]) > 0] & _PLACE).astype(np.int64)
     place = place[np.r_[True, place[1:] != place[:-1]]] if len(place) else place
-    return place, hashes[place]
+    doc = np.searchsorted(ends, place, side="right")
+    first, last = np.maximum(starts[doc], place - (length - GRAM)), np.minimum(ends[doc], place + length)
+    edge = (place - first) * 512 + last - place
+    return place, hashes[place], mixed((total[last] - total[first]) * down[first] + edge.astype(np.uint64) * np.uint64(_POWER))
 
 
 class Shard:
@@ -94,20 +106,22 @@ class Shard:
         self.ends = np.cumsum([len(t) for t in self.texts])
         self.starts = self.ends - np.array([len(t) for t in self.texts], np.int64)
 
-    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places (in the whole shard), hashes and documents of all anchors, some texts at a time."""
-        places, hashes, first = [], [], 0
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places (in the whole shard), hashes, documents and surroundings' hashes of all anchors, some texts at a time."""
+        places, hashes, around, first = [], [], [], 0
         for i in range(1, len(self.texts) + 1):
             if i == len(self.texts) or self.ends[i - 1] - self.starts[first] >= STRETCH:
                 row = np.frombuffer(b"".join(self.texts[first:i]), np.uint8)
                 base = self.starts[first]
-                p, h = anchors(row, self.starts[first:i] - base, self.ends[first:i] - base, length)
+                p, h, a = anchors(row, self.starts[first:i] - base, self.ends[first:i] - base, length)
                 places.append(p + base)
                 hashes.append(h)
+                around.append(a)
                 first = i
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
         doc = np.searchsorted(self.ends, place, side="right")
-        return place, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), doc
+        none = [np.zeros(0, np.uint64)]
+        return place, np.concatenate(hashes or none), doc, np.concatenate(around or none)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -150,29 +164,33 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, hashes[order], list(zip(bucket[starts].tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
-def _sketch(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors (place, short hash, document), and the distinct short hashes with whether two documents have them."""
-    place, hashes, doc = shard.anchors(length)
+def _sketch(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors (place, short hash, document), and the distinct short hashes with whether two documents have them and how many surroundings of them go on (65,535 at most)."""
+    place, hashes, doc, around = shard.anchors(length)
     short = short_hash(hashes)
-    order = np.argsort(short, kind="stable")
+    order = np.lexsort((around, short))
     s, ids = short[order], shard.ids[doc[order]]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
     several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(s) else np.zeros(0, bool)
-    return place, short, doc, s[starts], several
+    # as in contexts(): of equal surroundings, only those of the first document
+    a = around[order]
+    head = np.maximum.accumulate(np.where(np.r_[True, (s[1:] != s[:-1]) | (a[1:] != a[:-1])], np.arange(len(s)), 0)) if len(s) else starts
+    times = np.minimum(np.add.reduceat(ids == ids[head], starts, dtype=np.int64), 65_535).astype(np.uint16) if len(s) else np.zeros(0, np.uint16)
+    return place, short, doc, s[starts], several, times
 
 
-def shared_anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
-    """shard, bucket, bits: which of the shard's distinct hashes in the bucket, ascending, more than one document has."""
+def shared_anchors(shards: DataFrame, length: int, buckets: int, many: int = MANY) -> DataFrame:
+    """shard, bucket, bits, often: which of the shard's distinct hashes in the bucket, ascending, more than one document has, and places of those with more than ``many`` surroundings."""
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, _, _, distinct, several = _sketch(Shard(table), length)
+        _, _, _, distinct, several, times = _sketch(Shard(table), length)
         order, distinct, cuts = _by_bucket(distinct, buckets)
-        several = several[order]
-        rows = [(key[0].as_py(), b, pack(np.diff(distinct[i:j] // np.uint64(buckets), prepend=np.uint64(0)), several[i:j].view(np.uint8))) for b, i, j in cuts]
+        several, times = several[order], times[order]
+        rows = [(key[0].as_py(), b, pack(np.diff(distinct[i:j] // np.uint64(buckets), prepend=np.uint64(0)), several[i:j].view(np.uint8), times[i:j])) for b, i, j in cuts]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
-        hashes, several = zip(*[unpack(x.as_py()) for x in table.column("data")], strict=True)
+        hashes, several, times = zip(*[unpack(x.as_py()) for x in table.column("data")], strict=True)
         sizes = [len(h) for h in hashes]
         every = np.concatenate([np.cumsum(h) for h in hashes])
         order = np.argsort(every, kind="stable")
@@ -181,11 +199,17 @@ def shared_anchors(shards: DataFrame, length: int, buckets: int) -> DataFrame:
         wanted = np.zeros(len(every), bool)
         wanted[order] = np.r_[False, same] | np.r_[same, False]
         wanted |= np.concatenate(several).astype(bool)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        total = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), starts)
+        often = np.zeros(len(every), bool)
+        often[order] = np.repeat(total > many, np.diff(np.r_[starts, len(every)]))
+        often &= wanted
         bits = [np.packbits(x).tobytes() for x in np.split(wanted, np.cumsum(sizes)[:-1])]
-        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        found = [pack(np.flatnonzero(x)) for x in np.split(often, np.cumsum(sizes)[:-1])]
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary()), "often": pa.array(found, pa.binary())})
 
     sent = shards.groupBy("shard").applyInArrow(send, "shard long, bucket long, data binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "shard long, bucket long, bits binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "shard long, bucket long, bits binary, often binary")
 
 
 def _windows(place: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +217,94 @@ def _windows(place: np.ndarray, start: np.ndarray, end: np.ndarray, length: int)
     return np.maximum(start, place - (length - GRAM)), np.minimum(end - length, place)
 
 
+def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the spans that strings at these starts (ascending) make."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)] if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(doc)][: len(first)] - 1
+    return doc[first].astype(np.uint32), start[first].astype(np.uint32), (start[last] + length).astype(np.uint32)
+
+
+def frequent_strings(shard: Shard, place: np.ndarray, doc: np.ndarray, length: int, cells: int) -> list[tuple[int, bytes]]:
+    """Rows (bucket, data) of the strings that hold these anchors: -1 for spans that go, as the shard has an earlier one, else -2 less a cell."""
+    row = np.frombuffer(b"".join(shard.texts), np.uint8)
+    low, high = _windows(place, shard.starts[doc], shard.ends[doc], length)
+    mark = np.zeros(len(row) + 1, np.int32)
+    np.add.at(mark, low, 1)
+    np.add.at(mark, high + 1, -1)
+    every = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    weights = np.random.default_rng(11).integers(0, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hashes = np.zeros(len(every), np.uint64)
+    for i in range(0, len(every), AT_ONCE):
+        for k in range(length):
+            hashes[i : i + AT_ONCE] += row[every[i : i + AT_ONCE] + k] * weights[k]
+    hashes = mixed(hashes)
+    cell = (hashes % np.uint64(cells)).astype(np.int64)
+    rows: list[tuple[int, bytes]] = []
+    gone = np.zeros(len(every), bool)
+    passes = -(-len(every) // AT_ONCE)
+    for q in range(passes):
+        some = np.flatnonzero(cell % passes == q)
+        some = some[np.lexsort((hashes[some], cell[some]))]  # stable: equal strings by id
+        if not len(some):
+            continue
+        at, h = every[some], hashes[some]
+        owner = np.searchsorted(shard.ends, at, side="right")
+        head = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
+        same = np.ones(len(h), bool)
+        for k in range(length):
+            same &= row[at + k] == row[at[head] + k]
+        later = same & (shard.ids[owner] > shard.ids[owner[head]])
+        gone[some[later]] = True
+        x = np.flatnonzero(~later)
+        named = (x == head[x]) | ~same[x]  # strings of their own; the others are their head's once more
+        index = np.where(named, np.cumsum(named) - 1, 0)
+        of_head = np.zeros(len(h), np.int64)
+        of_head[x[named]] = index[named]
+        index = np.where(named, index, of_head[head[x]])
+        c = cell[some[x]]
+        cuts = np.flatnonzero(np.r_[True, c[1:] != c[:-1], True])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            part, own = x[i:j], x[i:j][named[i:j]]
+            strings = row[at[own][:, None] + np.arange(length)]
+            start = at[part] - shard.starts[owner[part]]
+            rows.append((-2 - int(c[i]), pack(strings, shard.ids[owner[own]], (index[i:j] - index[i]).astype(np.uint32), owner[part].astype(np.uint32), start.astype(np.uint32))))
+    if gone.any():
+        owner = np.searchsorted(shard.ends, every[gone], side="right")
+        rows.append((-1, pack(*_runs(owner, every[gone] - shard.starts[owner], length))))
+    return rows
+
+
+def earlier_frequent(sent: DataFrame, length: int) -> DataFrame:
+    """shard, data: spans of the strings sent to cells of which a document of another shard has a smaller id."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [unpack(x.as_py()) for x in table.column("data")]
+        strings, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.lexsort((ids, np.ascontiguousarray(strings).view(f"S{length}").ravel()))
+        head = np.r_[True, (strings[order][1:] != strings[order][:-1]).any(axis=1)]
+        least = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        gone = np.zeros(len(order), bool)
+        gone[order] = ids[order] > ids[least]
+        rows, base = [], 0
+        for shard, (_, own, index, doc, start) in zip(table.column("shard").to_pylist(), parts, strict=True):
+            x = np.flatnonzero(gone[base + index.astype(np.int64)])
+            base += len(own)
+            if len(x):
+                x = x[np.lexsort((start[x], doc[x]))]
+                rows.append((shard, pack(*_runs(doc[x].astype(np.int64), start[x].astype(np.int64), length))))
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    return sent.where("bucket < -1").groupBy("bucket").applyInArrow(meet, "shard long, data binary")
+
+
 def contexts(shards: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """bucket, shard, data: the bytes around shared anchors; or bucket -1: spans known to go, as equal bytes stand in an earlier document of the shard."""
+    """bucket, shard, data: the bytes around shared anchors; or bucket -1: spans known to go, as equal bytes stand in an earlier document of the shard; or below: strings of frequent anchors."""
     left, right = length - GRAM, length
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         shard, number = Shard(table), key[0].as_py()
-        place, short, doc, distinct, _ = _sketch(shard, length)
+        place, short, doc, distinct, _, _ = _sketch(shard, length)
         _, distinct, cuts = _by_bucket(distinct, buckets)
         bits = {b: np.frombuffer(x.as_buffer(), np.uint8) for b, x in zip(told.column("bucket").to_pylist(), told.column("bits"), strict=True)}
         keep = np.concatenate([np.unpackbits(bits[b], count=j - i) for b, i, j in cuts]).astype(bool) if cuts else np.zeros(0, bool)
@@ -207,7 +312,11 @@ def contexts(shards: DataFrame, shared: DataFrame, length: int, buckets: int) ->
         at = np.searchsorted(wanted, short)
         hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == short) if len(wanted) else np.zeros(len(short), bool)
         place, short, doc = place[hit], short[hit], doc[hit]
-        rows = []
+        starts = {b: i for b, i, _ in cuts}
+        often = [distinct[starts[b] + unpack(x.as_py())[0]] for b, x in zip(told.column("bucket").to_pylist(), told.column("often"), strict=True)]
+        often = np.isin(short, np.concatenate(often)) if often else np.zeros(len(short), bool)
+        rows = frequent_strings(shard, place[often], doc[often], length, 4 * buckets) if often.any() else []
+        place, short, doc = place[~often], short[~often], doc[~often]
         if len(place):
             start, end = shard.starts[doc], shard.ends[doc]
             row = np.r_[np.zeros(left, np.uint8), np.frombuffer(b"".join(shard.texts), np.uint8), np.zeros(right, np.uint8)]
@@ -375,7 +484,7 @@ def cut_texts(shards: DataFrame, spans: DataFrame, whole: bool = False) -> DataF
     return shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cut, f"{kinds}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
-def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, many: int = MANY) -> DataFrame:
     """``row`` (a struct of all columns but the text), n_bytes, spans and kept (the text's remaining bytes) of each row.
 
     A byte goes if a ``length``-byte string that covers it also starts in a row with a smaller
@@ -395,9 +504,9 @@ def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         F.encode(F.coalesce(text_col, F.lit("")), "UTF-8").alias("body"),
     ).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(count)).cast("long"))
     buckets = max(8, count // 2)
-    shared = shared_anchors(shards, length, buckets)
+    shared = shared_anchors(shards, length, buckets, many)
     sent = written(contexts(shards, shared, length, buckets), "surroundings")
-    spans = earlier_spans(sent, length).unionByName(sent.where("bucket < 0").select("shard", "data"))
+    spans = earlier_spans(sent, length).unionByName(earlier_frequent(sent, length)).unionByName(sent.where("bucket = -1").select("shard", "data"))
     return cut_texts(shards, spans, whole).drop("shard", "id")
 
 

@@ -1,9 +1,11 @@
 """Operators 2, 3, 5, 7, 8 and 9 against brute force, and on odd tables."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,31 @@ def test_suffix_dedup_keeps_characters(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("many", [0, 30])
+def test_suffix_dedup_of_frequent_passages(spark, docs, many, monkeypatch):
+    """What stands around an anchor of a passage in most documents doesn't meet in one task; the results are the same."""
+    rng = random.Random(5)
+    passage = "this sentence, of a hundred bytes, is in most of the documents and other words stand around it there"
+    odd = [passage[20:80] + "\0" * 70 + "é" * 40, "ab" * 90 + passage, "ab" * 60, passage + passage]
+    rows = [(k * 37 % 331, f"{rng.random()} {passage} {rng.random()} {passage[:60]}{k}") for k in range(300)]
+    rows += [(1000 + k // 2, t) for k, t in enumerate(odd * 2)] + [(2000 + r["doc_id"], r["text"]) for r in docs.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = pa.table({"id": [r[0] for r in rows], "body": [(r[1] or "").encode() for r in rows]})
+    shard = suffix_dedup.Shard(table)
+    place, _, doc, _ = shard.anchors(50)
+    strings = suffix_dedup.frequent_strings(shard, place, doc, 50, 8)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 5000)
+    assert sorted(strings) == sorted(suffix_dedup.frequent_strings(shard, place, doc, 50, 8)) and len(strings) == 9
+    met, send = [], suffix_dedup.earlier_spans
+    monkeypatch.setattr(suffix_dedup, "earlier_spans", lambda sent, length: (met.append(sent), send(sent, length))[1])
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    out = suffix_dedup.repeats_removed(df, many=many).select("row.doc_id", "n_bytes", "spans", F.sha2("kept", 256)).collect()
+    got = [(r[0], r[1], sum(s["end"] - s["start"] for s in r[2]), len(r[2]), r[3]) for r in out]
+    assert sorted(got) == sorted(suffix_dedup.brute_force(rows))
+    around = Counter(h for r in met[0].where("bucket >= 0").collect() for h in suffix_dedup.unpack(bytes(r["data"]))[0].tolist())
+    assert max(around.values(), default=0) <= many
+
+
 def groups(rows, k, percent):
     sets = {}
     for i, text in rows:
