@@ -160,7 +160,7 @@ def _cache(path: str) -> UnitCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    added = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
     line_end = tokenizer.encode(LINE_END, add_special_tokens=False).ids
     if len(line_end) != 1:
         raise ValueError("this vocabulary has no single token for a line end")
@@ -185,7 +185,7 @@ def _cache(path: str) -> UnitCache:
             out += [packed[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
         return out
 
-    return UnitCache(encode, whole)
+    return UnitCache(encode, whole, added=added)
 
 
 def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, task_bytes: int = 32 << 20) -> DataFrame:

@@ -23,10 +23,11 @@ class UnitCache:
 
     encode: takes distinct units and gives the packed ids of each.
     whole: gives the packed ids of whole texts, for those that aren't cut simply.
+    added: strings that are tokens wherever they stand; texts that hold one aren't cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int = 700_000):
-        self.encode, self.whole, self.most = encode, whole, most
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int = 700_000, added: tuple[str, ...] = ()):
+        self.encode, self.whole, self.most, self.added = encode, whole, most, added
         self.line_end = encode(["\n"])[0]
         self.stops = dict(zip(STOPS, encode(list(STOPS)), strict=True))
         self._clear()
@@ -55,6 +56,10 @@ class UnitCache:
         spaced: set[str] = set()
         bare: set[str] = set()
         lines = [[line.split(" ") for line in text.split("\n")] if text else [] for text in texts]
+        for added in self.added:
+            for i, text in enumerate(texts):
+                if added in text:
+                    lines[i] = [[""]]
         for cut in lines:
             for parts in cut:
                 bare.add(parts[0])

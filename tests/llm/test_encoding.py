@@ -58,6 +58,19 @@ def test_token_store(spark, docs, clashing, empty):
     assert token_store.summary(spark, twice, TOKENIZER).count() == 2 * len(want)
 
 
+def test_token_store_of_added_tokens(spark):
+    """Texts with a special token's string get the ids that the tokenizer as loaded gives."""
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [*ODD, "a<|endoftext|>b", "one two\nx <|endoftext|>\n<|endoftext|> y", "<|endoftext", "|> <|endoftext|><|endoftext|>", "a b"]
+    want, start = [], 0
+    for k, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, token_store.summary(spark, df, TOKENIZER).collect())) == want
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (1000, 3), (5000, 50_000), (513, 70_000)):
