@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, join_hot, written
 
-#: Bounds of what is fitted: labelled rows (those of the smallest hashes), and languages (the most frequent ones).
-MAX_LABELLED = 6_000
-MAX_LANGUAGES = 64
+#: Labelled rows that are fitted, dealt evenly over the languages, but so many of each language at least.
+MAX_LABELLED, LEAST_LABELLED = 6_000, 200
 BITS = 14
-#: Up to so many values of a kind of evidence are looked up in a literal map, more by a join.
-MAP_VALUES = 500
+#: Up to so many values of a kind of evidence (and likelihoods in all) are looked up in a literal map, more by a join.
+MAP_VALUES, MAP_LITERALS = 500, 32_000
 #: Overlapping trigrams repeat evidence; a text counts as a third of its trigrams, and as EVIDENCE at most.
 SHARE, EVIDENCE = 1 / 3, 200.0
 #: Texts counted towards a parent's shares in a host's prior, and towards all hosts' in a parent's.
@@ -54,29 +53,31 @@ class Model:
 
 
 def fit(df: DataFrame, label_col: str, text_col: str = "text", id_col: str = "doc_id", most: int = MAX_LABELLED) -> Model:
-    """Trigram likelihoods from a bounded sample of labelled rows; counts are summed on the executors.
+    """Trigram likelihoods of every label of which a text has letters; counts are summed on the executors.
 
+    Each label gives its rows of the smallest hash in each of ``most`` / labels cells (at least
+    LEAST_LABELLED), so rare ones are fitted as well. The model holds 64 KB a language.
     With no labelled rows there are no languages, and identify() rejects everything.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    names = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
-    chosen = rows.select("id").where(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(most)  # most ids: a proven bound
-    sample = rows.join(F.broadcast(chosen), "id").select("text", "label")
+    names = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").collect()]
+    place = {x: k for k, x in enumerate(names)}
+    rows = rows.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7f]")).withColumn("hash", F.xxhash64("id", "text"))
+    cells = max(LEAST_LABELLED, most // max(1, len(names)))
+    chosen = rows.groupBy("label", F.pmod("hash", F.lit(cells)).alias("cell")).agg(F.min("hash").alias("hash")).drop("cell")
+    sample = rows.join(F.broadcast(chosen), ["label", "hash"]).groupBy("label", "hash").agg(F.min("text").alias("text"))  # copies count once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), 1 << BITS), dtype=np.int64)
         for block in blocks(batches, "text", 1 << 20):
-            label = np.array([names.index(x) if x in names else -1 for x in block.column("label").to_pylist()])
+            label = np.array([place[x] for x in block.column("label").to_pylist()], np.int64)
             bucket, text = trigrams(block.column("text").to_pylist())
-            for k in range(len(names)):
-                total[k] += np.bincount(bucket[label[text] == k], minlength=1 << BITS)
-        at = np.argwhere(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[tuple(at.T)])], names=["k", "bucket", "n"])
+            key, n = np.unique(label[text] << BITS | bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> BITS), pa.array(key & ((1 << BITS) - 1)), pa.array(n)], names=["k", "bucket", "n"])
 
     total = np.zeros((len(names), 1 << BITS))
     if names:
-        for k, bucket, n in sample.mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n")).collect():  # at most 64 x 2^14
-            total[k, bucket] = n
+        found = sample.mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2^14 a language
+        total[found.column("k").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     keep = [k for k in range(len(names)) if total[k].sum()]
     total = total[keep]
     shares = (total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS)) if len(keep) else total
@@ -138,7 +139,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kept: the text has letters, fits its language about as well as that language's own
     texts do (at most ``drop`` nats a trigram worse), and the posterior is at least
-    ``least``. Null and empty texts, and texts without letters, have no text evidence;
+    ``least``. Where the declared language has no model, neither says anything about that
+    language: letters are enough. Null and empty texts, and texts without letters, have no text evidence;
     they get the language that the rest points to and aren't kept. Missing evidence (null)
     is neutral. Ties go to the language that comes first by frequency, then name. Equal
     rows give equal rows; without languages, language is null and nothing is kept.
@@ -172,7 +174,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if not n_values:
             continue
         odds = lambda n: F.transform(F.zip_with(n, lit(totals), lambda c, t: (c + 1.0) / (t + F.lit(n_values + 1.0))), lambda p: F.log(p))
-        if n_values <= MAP_VALUES:
+        if n_values <= MAP_VALUES and n_values * size <= MAP_LITERALS:
             table = F.create_map(*[x for name, logs in counts.select(key, odds("n")).collect() for x in (F.lit(name), lit(logs))])
             found = F.try_element_at(table, F.col(key))
         else:  # too many for a literal: the same by a join
@@ -183,13 +185,14 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names, usual = F.array(*[F.lit(x) for x in model.languages]), lit(model.usual)
     fits = F.element_at("mean", F.col("found")) >= F.element_at(usual, F.col("found")) - drop
     posterior = 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("peak")))
+    other = F.coalesce(~F.array_contains(names, F.col("declared")), F.lit(False))
     return rows.select(
         F.col("id").alias(id_col),
         F.element_at(names, F.col("found")).alias("language"),
         posterior.alias("posterior"),
         F.when(F.col("n") > 0, F.element_at(names, F.col("best") + 1)).alias("text_language"),
         F.col("n").alias("n_trigrams"),
-        ((F.col("n") > 0) & fits & (posterior >= least)).alias("kept"),
+        ((F.col("n") > 0) & (other | (fits & (posterior >= least)))).alias("kept"),
     )
 
 

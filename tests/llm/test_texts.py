@@ -180,6 +180,24 @@ def test_language_held_out(spark):
     assert rows.agg(F.avg((F.col("text_language") == F.col("lang")).cast("double"))).first()[0] > 0.9
 
 
+def test_rare_languages(spark):
+    """Each label is fitted, beyond 64 and with few rows; a declared language without a model doesn't reject a text."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choices(letters, k=6)) for _ in range(40)] for k in range(70)}
+    text = lambda x: " ".join(rng.choices(words[x], k=60))
+    rows = [(x, text(x)) for x in words for _ in range(120 if x == "l00" else 3)]
+    df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)] + [(None, "12 34", "digits"), (None, text("l01"), "l01")], "doc_id long, text string, lang string")
+    model = langid.fit(df, "lang", most=50)
+    assert set(model.languages) == set(words)
+    new = [(k, text(x), x) for k, x in enumerate(words)]
+    got = langid.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model, declared=F.col("lang")).collect()
+    assert {r["doc_id"]: r["language"] for r in got} == {k: x for k, _, x in new} and all(r["kept"] for r in got)
+    odd = [(1, "".join(map(chr, range(0x4E00, 0x4F00))), "zz"), (2, "".join(map(chr, range(0x4E00, 0x4F00))), "l00"), (3, "12 34", "zz"), (4, "".join(map(chr, range(0x4E00, 0x4F00))), None)]
+    got = langid.identify(spark.createDataFrame(odd, "doc_id long, text string, lang string"), model, declared=F.col("lang")).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, 3: False, 4: False}
+
+
 def test_addresses_and_markup(spark):
     rows = [("https://Www.Beispiel.de/a", '<HTML class=x lang="de-AT">'), ("http://u@x.org:80/fr/page?q", "<html>"), ("bad", None), (None, "<html lang=en>")]
     df = spark.createDataFrame(rows, "url string, html string")
