@@ -30,6 +30,8 @@ MAGIC = b"WAVELET1"
 #: Bits between two stored counts of ones.
 STEP = 512
 LINE_END = "\n"
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
 
 
 class WaveletMatrix:
@@ -54,20 +56,25 @@ class WaveletMatrix:
             row = np.concatenate([row.take(low), row.take(high)])
         return cls(len(ids), planes, ranks, zeros)
 
+    def _blocks(self, k: int, block: np.ndarray) -> np.ndarray:
+        """The bytes of these blocks of STEP bits of plane k, a row each; zeros behind the plane's end."""
+        plane, at = self.planes[k], block[:, None] * (STEP // 8) + np.arange(STEP // 8)
+        return np.where(at < len(plane), plane[np.minimum(at, len(plane) - 1)], 0).astype(np.uint8)
+
     def _ones(self, k: int, i: np.ndarray) -> np.ndarray:
-        """Ones of plane k before each place of i."""
-        plane = self.planes[k]
-        out = self.ranks[k][i // STEP].astype(np.int64)
-        for j in np.flatnonzero(i % STEP):
-            start, end = int(i[j]) // STEP * STEP // 8, int(i[j]) // 8
-            out[j] += int(np.bitwise_count(plane[start:end]).sum())
-            if i[j] % 8:
-                out[j] += int(plane[end] & ((1 << int(i[j] % 8)) - 1)).bit_count()
-        return out
+        """Ones of plane k before each place of i (rank)."""
+        held, inside = self._blocks(k, i // STEP), i % STEP
+        column = np.arange(STEP // 8)
+        held[column > (inside // 8)[:, None]] = 0
+        part = np.flatnonzero(column == (inside // 8)[:, None])
+        held.reshape(-1)[part] &= ((1 << (inside % 8)) - 1).astype(np.uint8)
+        return self.ranks[k][i // STEP].astype(np.int64) + np.bitwise_count(held).sum(axis=1, dtype=np.int64)
 
     def access(self, places) -> np.ndarray:
         """The ids at these places."""
-        i = np.asarray(places, dtype=np.int64).copy()
+        i = np.asarray(places, dtype=np.int64)
+        if len(i) > 1 << 14:
+            return np.concatenate([self.access(i[a : a + (1 << 14)]) for a in range(0, len(i), 1 << 14)])
         out = np.zeros(len(i), dtype=np.int64)
         for k in range(len(self.planes)):
             bit = (self.planes[k][i // 8] >> (i % 8).astype(np.uint8)) & 1
@@ -91,24 +98,26 @@ class WaveletMatrix:
         a, b = self._range(token, self.n if end is None else end)
         return b - a
 
-    def _select(self, k: int, bit: int, nth: int) -> int:
-        """The place in plane k of the nth (from 0) bit of this value."""
+    def _select(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """The places in plane k of the nth (from 0) bits of this value."""
         before = self.ranks[k].astype(np.int64)
         if not bit:
             before = np.minimum(np.arange(len(before)) * STEP, self.n) - before
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        bits = np.unpackbits(self.planes[k][block * STEP // 8 : (block + 1) * STEP // 8], bitorder="little")[: self.n - block * STEP]
-        return block * STEP + int(np.flatnonzero(bits == bit)[nth - before[block]])
+        block = np.searchsorted(before, nth, side="right") - 1
+        bits = np.unpackbits(self._blocks(k, block), axis=1, bitorder="little")
+        seen = np.cumsum(bits == bit, axis=1, dtype=np.int16)
+        return block * STEP + (seen == (nth - before[block] + 1)[:, None]).argmax(axis=1)
 
     def occurrences(self, token: int) -> list[int]:
         """All places of token, ascending."""
         a, b = self._range(token, self.n)
         found = []
-        for i in range(a, b):
+        for start in range(a, b, 1 << 14):
+            i = np.arange(start, min(b, start + (1 << 14)))
             for k in range(len(self.planes) - 1, -1, -1):
                 one = token >> (len(self.planes) - 1 - k) & 1
                 i = self._select(k, one, i - self.zeros[k] if one else i)
-            found.append(i)
+            found += i.tolist()
         return sorted(found)
 
     def ids(self) -> np.ndarray:
@@ -168,21 +177,27 @@ def _cache(path: str) -> UnitCache:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    vocabulary = tokenizer.get_vocab()
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a space, as byte-level vocabularies write it
+    opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+
     def encode(units: list[str]) -> list[bytes]:
-        """Units have no line end inside, so many are encoded as one text's lines and parted at the line ends' ids."""
+        """Units have no white space inside, so many are encoded as one text and parted at its spaces, or else at line ends."""
         out: list[bytes] = []
         for i in range(0, len(units), 1000):
             part = units[i : i + 1000]
+            spaced = all(u[:1] == " " for u in part)
             if LINE_END in part:
                 out += whole(part)
                 continue
-            ids = np.array(tokenizer.encode_batch_fast([LINE_END.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == line_end[0])
-            if len(ends) != len(part) - 1:
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part) if spaced else LINE_END.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            found = np.flatnonzero(opens[ids] if spaced else ids == line_end[0])
+            if len(found) != len(part) - (not spaced):
                 out += whole(part)
                 continue
-            packed, ends = ids.tobytes(), ends.tolist()
-            out += [packed[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+            packed, at = ids.tobytes(), found.tolist()
+            starts, ends = (at, [*at[1:], len(ids)]) if spaced else ([0, *[e + 1 for e in at]], [*at, len(ids)])
+            out += [packed[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
         return out
 
     return UnitCache(encode, whole, added=added)
@@ -220,7 +235,7 @@ def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
             store[0].move(f"{file}.{TaskContext.get().taskAttemptId()}", file)  # whole files only; a task run again writes the same
             return pa.RecordBatch.from_pydict({"file": [file], "part": [part], "nth": [nth], "n_docs": [len(docs)], "n_tokens": [held]}, schema=schema)
 
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 2 << 20):
             for doc, packed in zip(block.column("id").to_pylist(), cache.packed(block.column("text").to_pylist()), strict=True):
                 packed += end
                 if docs and held + len(packed) // 4 > shard_tokens:
@@ -237,8 +252,14 @@ def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
     return out.withColumn("folder", F.lit(folder))
 
 
-def read_store(manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and token_ids (binary) of every document in the files."""
+def read_store(manifest: DataFrame, end_id: int | None = None, task_tokens: int = 8 << 20) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and token_ids (binary) of every document in the files.
+
+    A shard's ids come out of its planes all at once. With ``end_id``, its rank tables are
+    held against that: the end of each document, found by rank, must be ``end_id``, and
+    select must find each document's end among the places of ``end_id``; else the query
+    fails. A task reads files of about ``task_tokens`` ids.
+    """
     before = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -247,7 +268,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
         .join(base.select("part", "base"), "part")
         .select("folder", "file", (F.col("base") + F.col("inner")).alias("start"))
     )
-    count = manifest.count()
+    total = manifest.agg(F.sum("n_tokens")).first()[0] or 0
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,15 +277,26 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 store, _ = pyarrow.fs.FileSystem.from_uri(row["folder"])
                 with store.open_input_stream(row["file"]) as file:
                     matrix, doc_ids, lengths = from_bytes(file.read())
-                packed = matrix.ids().astype("<u4").tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
+                if end_id is not None:
+                    check_ends(matrix, ends, end_id)
+                packed = matrix.ids().astype("<u4").tobytes()
                 starts = ends - lengths
                 cut = [packed[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + row["start"]), pa.array(lengths.astype(np.int64)), pa.array(cut, pa.binary())], schema=schema)
 
-    return files.repartition(max(1, count)).mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
+    return files.repartition(max(1, -(-total // task_tokens))).mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
+
+
+def check_ends(matrix: WaveletMatrix, ends: np.ndarray, end_id: int) -> None:
+    """Raises ValueError unless rank (access, count) and select (occurrences) both find ``end_id`` where documents end."""
+    places = matrix.occurrences(end_id)
+    if not len(ends):
+        return
+    if (matrix.access(ends - 1) != end_id).any() or matrix.count(end_id) != len(places) or not np.isin(ends - 1, places).all():
+        raise ValueError("a file's rank tables don't lead to its documents' ends")
 
 
-def summary(spark: SparkSession, documents: DataFrame, path: str) -> DataFrame:
+def summary(spark: SparkSession, documents: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    return read_store(write_store(documents, path)).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+    return read_store(write_store(documents, path, end_id), end_id).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))

@@ -19,31 +19,38 @@ STOPS = ".,;:!?"
 
 
 class UnitCache:
-    """Ids of units, kept for about ``most`` units; what is dropped is encoded again when needed.
+    """Ids of units, kept for about ``most`` units, those met last; what is dropped is encoded again when needed.
 
     encode: takes distinct units and gives the packed ids of each.
     whole: gives the packed ids of whole texts, for those that aren't cut simply.
     added: strings that are tokens wherever they stand; texts that hold one aren't cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int = 700_000, added: tuple[str, ...] = ()):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int = 500_000, added: tuple[str, ...] = ()):
         self.encode, self.whole, self.most, self.added = encode, whole, most, added
         self.line_end = encode(["\n"])[0]
         self.stops = dict(zip(STOPS, encode(list(STOPS)), strict=True))
-        self._clear()
+        self.spaced: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes | None] = {}
+        self._age()
 
-    def _clear(self) -> None:
+    def _age(self) -> None:
         # keys of both are without the leading space; None marks units of texts that aren't cut simply
-        self.spaced: dict[str, bytes | None] = {"": None}
-        self.bare: dict[str, bytes | None] = {"": None}
+        self.older = {" ": self.spaced, "": self.bare}
+        self.spaced, self.bare = {"": None}, {"": None}
 
     def _learn(self, seen: set[str], cache: dict[str, bytes | None], lead: str) -> None:
-        new = seen.difference(cache)
+        new, older = seen.difference(cache), self.older[lead]
+        again = older.keys() & new
+        cache.update([(x, older[x]) for x in again])
+        new -= again
         stopped = {x for x in new if x[-1] in self.stops and x[:-1].isalpha()}
         new = (new - stopped) | {x[:-1] for x in stopped}.difference(cache)
-        uneven = {x for x in new if WHITE.search(x)}
-        cache.update(dict.fromkeys(uneven))
-        plain = list(new - uneven)
+        if WHITE.search("".join(new)):
+            uneven = {x for x in new if WHITE.search(x)}
+            cache.update(dict.fromkeys(uneven))
+            new -= uneven
+        plain = list(new)
         for i in range(0, len(plain), 50_000):
             part = plain[i : i + 50_000]
             cache.update(zip(part, self.encode([lead + x for x in part]), strict=True))
@@ -51,8 +58,8 @@ class UnitCache:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        if len(self.spaced) + len(self.bare) > self.most:
-            self._clear()
+        if 2 * (len(self.spaced) + len(self.bare)) > self.most:
+            self._age()
         spaced: set[str] = set()
         bare: set[str] = set()
         lines = [[line.split(" ") for line in text.split("\n")] if text else [] for text in texts]

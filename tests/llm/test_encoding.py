@@ -24,14 +24,26 @@ def encoding():
 ODD = ["", " ", "  two  spaces ", "\n\n x", "tab\tx", "<|endoftext|>", "it's I'LL we're", "12345 67890", "é́", "a b", "　x y", "😀 ok", "x" * 3000, "abc " * 500, " lead", "trail ", "a\r\nb", "\x1c y", "ſs 'ſ"]
 
 
-def test_ids_of_odd_texts(encoding):
-    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(ODD, RANKS, PATTERN)]
+@pytest.mark.parametrize("cuts_at_space", [False, True])
+def test_ids_of_odd_texts(encoding, cuts_at_space):
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(ODD, RANKS, PATTERN, cuts_at_space)]
     assert got == [encoding.encode_ordinary(t) for t in ODD]
     assert [bpe.decode_ids(np.array(i, "<u4").tobytes(), RANKS).decode() for i in got] == ODD
 
 
+def test_pattern_that_joins_line_ends(tmp_path):
+    """A pattern and vocabulary with tokens across a line end: texts aren't cut there unless the caller says so."""
+    ranks = {bytes([b]): b for b in range(256)} | {b".\n": 256}
+    (tmp_path / "ranks").write_text("".join(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items()))
+    pattern = r"\p{L}+|[^\s\p{L}]+[\r\n]*|\s+"
+    want = tiktoken.Encoding("joined", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a.\nb", "end.\n", "x .\n y"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(texts, str(tmp_path / "ranks"), pattern)]
+    assert got == [want.encode_ordinary(t) for t in texts] and any(256 in x for x in got)
+
+
 def test_encode_table(spark, docs, encoding, clashing, empty):
-    got = {(r[0], r[1], r[2], r[3]) for r in bpe.digests(clashing(docs), RANKS, PATTERN).collect()}
+    got = {(r[0], r[1], r[2], r[3]) for r in bpe.digests(clashing(docs), RANKS, PATTERN, cuts_at_space=True).collect()}
     want = set()
     for r in docs.collect():
         ids = encoding.encode_ordinary(r["text"] or "")
@@ -44,7 +56,6 @@ def test_encode_table(spark, docs, encoding, clashing, empty):
 
 def test_token_store(spark, docs, clashing, empty):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want, start = [], 0
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
         ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
@@ -54,6 +65,8 @@ def test_token_store(spark, docs, clashing, empty):
     small = token_store.read_store(token_store.write_store(docs, TOKENIZER, shard_tokens=500, task_bytes=4000))
     assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in small.collect()) == [w[:3] for w in want]
     assert token_store.summary(spark, empty, TOKENIZER).isEmpty()
+    checked = token_store.read_store(token_store.write_store(docs, TOKENIZER, shard_tokens=500), 2)
+    assert checked.count() == len(want)
     twice = docs.unionByName(docs)
     assert token_store.summary(spark, twice, TOKENIZER).count() == 2 * len(want)
 
@@ -83,5 +96,9 @@ def test_wavelet_matrix():
         for token in {*ids[:5].tolist(), top + 1}:
             assert m.occurrences(token) == np.flatnonzero(ids == token).tolist()
             assert m.count(token, n // 2) == int((ids[: n // 2] == token).sum())
+    m = token_store.WaveletMatrix.of(np.array([5, 2, 7, 2], np.uint32))
+    token_store.check_ends(m, np.array([2, 4]), 2)
+    with pytest.raises(ValueError):
+        token_store.check_ends(m, np.array([1, 4]), 2)
     with pytest.raises(ValueError):
         token_store.from_bytes(b"nothing of the kind")
