@@ -10,8 +10,9 @@ merges, in the order, that encoding it alone would give.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import blocks
 from .units import UnitCache
 
+#: Text that is encoded at once, beside one text; and units whose ids a worker keeps.
+BLOCK_BYTES, CACHED_UNITS = 2 << 20, 300_000
+
 
 class MergeTable:
     """Ranks of a vocabulary, and which token two adjacent tokens join to."""
@@ -128,8 +132,15 @@ def load_merges(path: str) -> MergeTable:
         return MergeTable({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)})
 
 
+class WholeTexts:
+    """Encodes whole texts by the pattern, for patterns that may join characters across white space."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.packed = encode
+
+
 @lru_cache(maxsize=4)
-def _cache(path: str, pattern: str) -> UnitCache:
+def _cache(path: str, pattern: str, cuts_at_space: bool) -> UnitCache | WholeTexts:
     table, find = load_merges(path), regex.compile(pattern).findall
 
     def encode(texts: list[str]) -> list[bytes]:
@@ -138,11 +149,11 @@ def _cache(path: str, pattern: str) -> UnitCache:
         ids = dict(zip(pieces, table.replay(pieces), strict=True))
         return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
 
-    return UnitCache(encode, encode)
+    return UnitCache(encode, encode, most=CACHED_UNITS) if cuts_at_space else WholeTexts(encode)
 
 
-def encode_texts(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
-    return _cache(path, pattern).packed([t or "" for t in texts])
+def encode_texts(texts: list[str | None], path: str, pattern: str, cuts_at_space: bool = False) -> list[bytes]:
+    return _cache(path, pattern, cuts_at_space).packed([t or "" for t in texts])
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
@@ -150,25 +161,30 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``id_col`` and ``token_ids`` (binary: little-endian unsigned 32-bit ids) of each row.
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, decoded_sha256: bool = False, cuts_at_space: bool = False) -> DataFrame:
+    """``id_col`` and ``token_ids`` (binary: little-endian unsigned 32-bit ids) of each row; other columns are left out.
 
-    With ``decoded``, ``decoded`` (binary) has what those ids decode to. Null and empty
-    texts give no ids. Equal rows give equal rows, nothing is shuffled, and a text of any
-    length is one row. ``path``: a rank file, on every executor.
+    With ``decoded``, ``decoded`` (binary) has what those ids decode to; with
+    ``decoded_sha256``, that column has its digest (hex). Null and empty texts give no ids.
+    Equal rows give equal rows, an empty table gives none, nothing is shuffled, and a text
+    of any length is one row. ``path``: a rank file, on every executor. ``cuts_at_space``
+    says that the pattern never joins a character with white space after it, and at most one
+    space with what follows; runs of other characters are then looked up, which is faster.
     """
-    columns = [pa.field(id_col, pa.int64()), pa.field("token_ids", pa.binary())] + [pa.field("decoded", pa.binary())] * decoded
-    schema = pa.schema(columns)
+    extra = [("decoded", pa.binary(), "binary")] * decoded + [("decoded_sha256", pa.string(), "string")] * decoded_sha256
+    schema = pa.schema([pa.field(id_col, pa.int64()), pa.field("token_ids", pa.binary()), *[pa.field(n, t) for n, t, _ in extra]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            ids = encode_texts(block.column("text").to_pylist(), path, pattern)
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            ids = encode_texts(block.column("text").to_pylist(), path, pattern, cuts_at_space)
             data = [block.column("id").cast(pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
                 data.append(pa.array([decode_ids(x, path) for x in ids], pa.binary()))
+            if decoded_sha256:
+                data.append(pa.array([hashlib.sha256(decode_ids(x, path)).hexdigest() for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(data, schema=schema)
 
-    kinds = f"{id_col} long, token_ids binary" + ", decoded binary" * decoded
+    kinds = ", ".join([f"`{id_col}` long, token_ids binary", *[f"{n} {t}" for n, _, t in extra]])
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
@@ -184,11 +200,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "tok
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"{id_col} long, decoded binary")
 
 
-def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(df: DataFrame, path: str, pattern: str, cuts_at_space: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``documents``."""
-    return encode(df, path, pattern, decoded=True).select(
+    return encode(df, path, pattern, decoded_sha256=True, cuts_at_space=cuts_at_space).select(
         "doc_id",
         F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )

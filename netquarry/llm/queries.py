@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN, cuts_at_space=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
