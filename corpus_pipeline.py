@@ -42,8 +42,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and digests of the ids and of what they decode to."""
     ship(spark)
-    out = bpe.encode(docs, RANKS, PATTERN, decoded=True)
-    return out.select("doc_id", F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.encode(docs, RANKS, PATTERN, decoded_sha256=True, cuts_at_space=True)
+    return out.select("doc_id", F.floor(F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 STAGES = [
