@@ -11,8 +11,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds at least this share of the rows is "hot"; so there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 0.01
+#: A key of at least so many rows is "hot", if it is also a HOT_KEYS-th of all: there are HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 500, 2_000
 #: Parts that the rows of a hot key are dealt to in a join.
 HOT_PARTS = 64
 
@@ -45,44 +45,43 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys holding at least HOT_SHARE of the rows; never more than 1/HOT_SHARE values."""
+    """Keys of at least HOT_ROWS rows and a HOT_KEYS-th of all; never more than HOT_KEYS values."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= HOT_ROWS)
     total = df.count()
-    if total == 0:
-        return []
-    rows = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= max(2.0, HOT_SHARE * total))
-    return [r[0] for r in rows.collect()]
+    return [r[0] for r in counts.where(F.col("count") * HOT_KEYS >= total).collect()] if total >= HOT_ROWS else []
 
 
-def with_group_min(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``df`` plus the smallest ``value`` of each ``key``; null keys get null.
+def join_hot(df: DataFrame, table: DataFrame, key: str, deal_by: str) -> DataFrame:
+    """Left join of ``table`` (one row a key) on ``key``; rows of a hot key are dealt to HOT_PARTS parts by ``deal_by``.
 
-    ``df`` should be a written table, as it is read three times. Minima are combined
-    before the shuffle; in the join back, rows of a hot key are dealt to HOT_PARTS parts.
+    Rows of a null key aren't shuffled. ``df`` should be a written table, as it is read
+    three times.
     """
+    some, none = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
     hot = hot_keys(df, key)
-    least = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(value).alias(out))
-    if not hot:
-        return df.join(least, F.col(key) == F.col("__key"), "left").drop("__key")
-    is_hot = lambda c: F.col(c).isin(hot)
-    parts = F.when(is_hot("__key"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    least = least.withColumn("__part", F.explode(parts))
-    dealt = df.withColumn("__deal", F.when(is_hot(key), F.pmod(F.xxhash64(value), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0)))
-    on = (F.col(key) == F.col("__key")) & (F.col("__deal") == F.col("__part"))
-    return dealt.join(least, on, "left").drop("__key", "__part", "__deal")
+    if hot:
+        parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        deal = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(deal_by), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+        joined = some.withColumn("__deal", deal).join(table.withColumn("__deal", F.explode(parts)), [key, "__deal"], "left").drop("__deal")
+    else:
+        joined = some.join(table, key, "left")
+    return joined.unionByName(none, allowMissingColumns=True)
 
 
-def join_hot(df: DataFrame, table: DataFrame, key: str, deal_by: str) -> DataFrame:
-    """Left join of ``table`` (one row a key) on ``key``; rows of a hot key are dealt to HOT_PARTS parts by ``deal_by``.
+def with_group_min(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """``df`` plus the smallest ``value`` of each ``key``; null keys get null.
 
-    ``df`` should be a written table, as it is read twice.
+    ``df`` should be a written table, as it is read several times. Minima are combined
+    before the shuffle; in the join back, rows of a hot key are dealt to HOT_PARTS parts.
     """
-    hot = hot_keys(df, key)
-    if not hot:
-        return df.join(table, key, "left")
-    parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    deal = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(deal_by), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
-    return df.withColumn("__deal", deal).join(table.withColumn("__deal", F.explode(parts)), [key, "__deal"], "left").drop("__deal")
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(out))
+    return join_hot(df, least, key, value)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,10 @@
 Shingles are put in one order, rare ones first. Two similar sets must share a shingle in
 a short prefix of each, so only prefixes are shuffled. Where sizes and positions in the
 prefixes allow a link, documents that share a prefix shingle meet under the smallest of
-their ids; there pairs pass length, suffix and positional filters before their sets are compared, once, and only as far as the pair isn't
-already connected. Links then give connected components. Copies are joined as one.
+their ids (the leader). A pair that has several leaders in common is looked at under the
+smallest of them alone. There it passes length, suffix and positional filters before its
+sets are compared, once, and only if the two aren't already connected. Links then give
+connected components. Copies are joined as one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PARTS = 64
 FILTER_BITS, FILTER_SLICE = 25, 1 << 14
 #: Shingles of documents that meet in one task; larger meetings are dealt out as pairs of blocks.
 MEETING = 1 << 21
+#: Where a bucket has this many shingles, those who share one of its shingles are found by a join that splits, not in one task.
+FREQUENT = 2_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,11 +92,13 @@ def short_prefix_size(n: int, t: Fraction) -> int:
     return n + 1 + (-2 * n * t.numerator) // (t.numerator + t.denominator)
 
 
-def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Fraction, verify: bool) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Fraction, verify: bool, earlier: list[set[int]] | None = None, compared: list | None = None) -> list[tuple[int, int]]:
     """Pairs that pass the length and suffix filters; with verify, only links, and no more than connect what links connect.
 
     sets: in rare-first order (or only their sizes matter, without verify); parts: the
-    counts by part; sides: pairs are of two different sides, or any if there is one side.
+    counts by part; sides: pairs are of two different sides, or any if there is one side;
+    earlier: the smaller leaders of each: who shares one met there. compared: gets the
+    pairs whose sets are compared, for tests.
     """
     sizes = np.array([len(s) for s in sets]) if verify else np.array(sets)
     order = np.argsort(sizes, kind="stable")
@@ -120,6 +126,9 @@ def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Frac
         need = -((-t.numerator * (n + sizes[other])) // (t.numerator + t.denominator))
         apart = np.abs(parts[other] - parts[i]).sum(axis=1)  # suffix filter: the sets differ in so many shingles at least
         other = other[apart <= n + sizes[other] - 2 * need]
+        if earlier and earlier[order[i]]:
+            met = earlier[order[i]]
+            other = np.array([j for j in other.tolist() if met.isdisjoint(earlier[order[j]])], np.int64)
         if not verify:
             found += [(int(order[i]), int(order[j])) for j in other]
             continue
@@ -137,6 +146,8 @@ def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Frac
             p, q = min((where[i][h], where[j][h]) for h in shared)
             if 1 + min(n - p - 1, int(sizes[j]) - q - 1) < need:  # positional filter
                 continue
+            if compared is not None:
+                compared.append((int(order[i]), int(order[j])))
             if len(np.intersect1d(plain[i], plain[j], assume_unique=True)) >= need:
                 found.append((int(order[i]), int(order[j])))
                 root[find(j)] = find(i)
@@ -147,48 +158,49 @@ def _by_text(df: DataFrame, run, kinds: str) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, kinds)
 
 
-def summaries(df: DataFrame, k: int) -> DataFrame:
-    """id, digest, n, parts of every row."""
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("parts", pa.binary())])
+def first_pass(df: DataFrame, k: int) -> DataFrame:
+    """Of every row id, digest, n and parts; and from every task slices (at, counts) of how many rows hold a shingle of each bucket."""
+    names = ["id", "digest", "n", "parts", "at", "counts"]
+    schema = pa.schema(zip(names, [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
+        total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        for block in blocks(batches, "text", 2 << 20):
             sets, digests = shingle_sets(block.column("text").to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([part_counts(s) for s in sets], pa.binary())], schema=schema)
+            at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.uint32)
+            size = len(sets)
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([part_counts(s) for s in sets], pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
+        for at in range(0, len(total), SLICE):
+            if total[at : at + SLICE].any():
+                yield pa.RecordBatch.from_pydict(dict(zip(names, [[None], [None], [None], [None], [at], [total[at : at + SLICE].tobytes()]], strict=True)), schema=schema)
 
-    return _by_text(df, run, "id long, digest binary, n int, parts binary")
+    return _by_text(df, run, "id long, digest binary, n int, parts binary, at int, counts binary")
 
 
-def bucket_counts(df: DataFrame, k: int) -> np.ndarray:
+def bucket_counts(first: DataFrame) -> np.ndarray:
     """Over all rows, how many hold a shingle of each bucket (as far as 32 bits count); a fixed size, whatever the input."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for block in blocks(batches, "text", 4 << 20):
-            sets, _ = shingle_sets(block.column("text").to_pylist(), k)
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
-        for at in range(0, len(total), SLICE):
-            if total[at : at + SLICE].any():
-                yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "counts": pa.array([np.minimum(total[at : at + SLICE], 2**31 - 1).astype("<u4").tobytes()], pa.binary())})
-
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in table.column("counts"))
+        total = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for chunk in table.column("counts").chunks for x in chunk)
         return pa.table({"at": table.column("at").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
-    slices = _by_text(df, run, "at int, counts binary").groupBy("at").applyInArrow(add, "at int, counts binary")
+    deal = lambda n: F.pmod(F.xxhash64("counts"), F.lit(n)).cast("int").alias("deal")
+    slices = first.where("at is not null").select("at", "counts")
+    some = slices.groupBy("at", deal(64)).applyInArrow(lambda key, table: add(table.select(["at", "counts"])), "at int, counts binary")
     out = np.zeros(1 << BUCKET_BITS, np.uint32)
-    for at, counts in slices.collect():
+    for at, counts in some.groupBy("at").applyInArrow(add, "at int, counts binary").collect():
         out[at : at + SLICE] = np.frombuffer(counts, "<u4")
     return out
 
 
 def prefixes(df: DataFrame, k: int, t: Fraction, counts) -> DataFrame:
-    """h, id, n (the set's size) and short (inside the short prefix) of each shingle in each row's prefix; of rows with equal words, one for each task does."""
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("short", pa.bool_())])
+    """h, id, n (the set's size), short (inside the short prefix) and often (its bucket is full) of each shingle in each row's prefix; of rows with equal words, one for each task does."""
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("short", pa.bool_()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 2 << 20):
             sets, digests = shingle_sets(block.column("text").to_pylist(), k)
             hs, ids, sizes, short = [], [], [], []
             for i, s, digest in zip(block.column("id").to_pylist(), sets, digests, strict=True):
@@ -201,19 +213,26 @@ def prefixes(df: DataFrame, k: int, t: Fraction, counts) -> DataFrame:
                 sizes.append(np.full(len(hs[-1]), len(s), np.int32))
                 short.append(np.arange(len(hs[-1])) < short_prefix_size(len(s), t))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (ids, sizes, short)]], schema=schema)
+                h = np.concatenate(hs)
+                often = counts.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] >= FREQUENT
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(np.concatenate(x)) for x in (ids, sizes, short)], pa.array(often)], schema=schema)
 
-    return _by_text(df, run, "h long, id long, n int, short boolean")
+    return _by_text(df, run, "h long, id long, n int, short boolean, often boolean")
 
 
 def met_by_shingle(prefixed: DataFrame, t: Fraction) -> DataFrame:
-    """leader, id of the rows that another row with the same shingle may link with: by their sizes, and by where in its prefix the smaller set has the shingle."""
+    """leader, id of the rows that another row with the same shingle may link with: by their sizes, and by where in its prefix the smaller set has the shingle.
+
+    Of shingles in full buckets, all rows that share one.
+    """
+    rare, often = prefixed.where("not often"), prefixed.where("often").select("h", "id").distinct()
     by, up = Window.partitionBy("h"), Window.partitionBy("h").orderBy("n", "id")
     smaller = F.max(F.when(F.col("short"), F.col("n"))).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    rows = prefixed.select("h", "id", "n", "short", smaller.alias("below"), F.lead("n").over(up).alias("above")).withColumn("leader", F.min("id").over(by))
+    rows = rare.select("h", "id", "n", "short", smaller.alias("below"), F.lead("n").over(up).alias("above")).withColumn("leader", F.min("id").over(by))
     num, den = F.lit(t.numerator), F.lit(t.denominator)
     near = (F.col("below") * den >= F.col("n") * num) | (F.col("short") & (F.col("above") * num <= F.col("n") * den))
-    return rows.where(near).select("leader", "id").distinct()
+    least = often.groupBy("h").agg(F.min("id").alias("leader"), F.count("id").alias("rows")).where("rows > 1").drop("rows")
+    return rows.where(near).select("leader", "id").unionByName(often.join(least, "h").select("leader", "id")).distinct()
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -237,7 +256,7 @@ def _id_hash() -> Column:
 
 
 def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the rows of these ids; rows that the filter stops aren't shuffled. Of rows with one id, one text."""
+    """id, text of the rows of these ids, each text once; rows that the filter stops aren't shuffled."""
     bits = df.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +267,7 @@ def texts_of(df: DataFrame, ids: DataFrame) -> DataFrame:
                 yield some.select(["id", "text"])
 
     passed = df.select("id", "text", _id_hash().alias("p")).mapInArrow(run, "id long, text string")
-    return passed.dropDuplicates(["id"])
+    return passed.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"]).drop("hash")
 
 
 KEY = ["leader", "b1", "b2"]
@@ -279,29 +298,34 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(*KEY).sortWithinPartitions(*KEY)
 
 
+def earlier_leaders(meeting: dict[str, list]) -> list[set[int]]:
+    """Of each row of a meeting, its leaders smaller than the meeting's: who shares one of them has met it there."""
+    return [{x for x in row if x < leader} for row, leader in zip(meeting["leaders"], meeting["leader"], strict=True)]
+
+
 def candidates(meetings: DataFrame, t: Fraction) -> DataFrame:
-    """KEY, b, id of the rows that pass the length and suffix filters with another of their meeting."""
-    schema = pa.schema([("leader", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("b", pa.int32()), ("id", pa.int64())])
+    """KEY, b, id, leaders of the rows that pass the length and suffix filters with another of their meeting."""
+    schema = pa.schema([("leader", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("b", pa.int32()), ("id", pa.int64()), ("leaders", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _meetings(batches):
             parts = np.frombuffer(b"".join(m["parts"]), np.uint8).reshape(-1, PARTS)
-            kept = sorted({x for pair in linked(m["n"], parts, np.array(m["b"]), t, verify=False) for x in pair})
+            kept = sorted({x for pair in linked(m["n"], parts, np.array(m["b"]), t, verify=False, earlier=earlier_leaders(m)) for x in pair})
             if kept:
                 yield pa.RecordBatch.from_pydict({c: [m[c][i] for i in kept] for c in schema.names}, schema=schema)
 
-    return _dealt(meetings).mapInArrow(run, "leader long, b1 int, b2 int, b int, id long")
+    return _dealt(meetings).mapInArrow(run, "leader long, b1 int, b2 int, b int, id long, leaders array<long>").dropDuplicates([*KEY, "id"])
 
 
 def links(meetings: DataFrame, t: Fraction, k: int, counts) -> DataFrame:
-    """u, v: links of each meeting (KEY, b, id, text), as many as connect what its links connect."""
+    """u, v: links of each meeting (KEY, b, id, leaders, text), as many as connect what its links connect."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _meetings(batches):
             plain, _ = shingle_sets(m["text"], k)
             parts = np.frombuffer(b"".join(map(part_counts, plain)), np.uint8).reshape(-1, PARTS)
-            found = linked([rare_first(s, counts.value) for s in plain], parts, np.array(m["b"]), t, verify=True)
+            found = linked([rare_first(s, counts.value) for s in plain], parts, np.array(m["b"]), t, verify=True, earlier=earlier_leaders(m))
             if found:
                 yield pa.RecordBatch.from_pydict({"u": [m["id"][i] for i, _ in found], "v": [m["id"][j] for _, j in found]}, schema=schema)
 
@@ -316,15 +340,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     step = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     step, before = written(step, "links"), None
-    by = Window.partitionBy("u")
+    least = lambda edges: edges.groupBy("u").agg(F.min("v").alias("m"))  # noqa: E731  a node may have any number of edges: minima are combined first, and the join back splits
     while True:
         state = step.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
         if state == before:
             break
         before = state
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.col("u"), F.min("v").over(by))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(by))
+        large = both.where("v > u").join(least(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = written(large, "links")
+        low = large.join(least(large), "u")
         small = low.select("u", F.col("m").alias("v")).unionByName(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         step = written(small.distinct(), "links")
     return step.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(step.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -337,25 +362,32 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     but not none, has all of them as its one shingle. Null and empty texts, and texts of white
     space, have no shingles and link with nothing. component_id is the smallest id reachable
     by links. Rows with equal words are linked. Rows with a null id are left out; repeated
-    rows come out as often as they came in; an empty table gives no rows.
+    rows come out as often as they came in; of an id with several texts, each links for it;
+    an empty table gives no rows. Extra columns don't matter.
     """
     t = Fraction(percent, 100)
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    summary = written(summaries(rows, k), "summaries")
+    first = written(first_pass(rows, k), "first-pass")
+    counts = spark.sparkContext.broadcast(bucket_counts(first))
+    summary = first.where("at is null").select("id", "digest", "n", "parts")
     reps = written(with_group_min(summary, "digest", "id", "rep").select("id", "digest", "n", "parts", F.coalesce("rep", "id").alias("rep")), "representatives")
-    counts = spark.sparkContext.broadcast(bucket_counts(rows, k))
-    met = met_by_shingle(prefixes(rows, k, t, counts), t)
-    one = reps.select("id", "digest", "n", "parts", "rep").dropDuplicates(["id", "digest"])
-    met = met.join(one, "id").groupBy("leader", F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    met = met_by_shingle(prefixes(rows, k, t, counts), t).groupBy("id").agg(F.collect_list("leader").alias("leaders"))
+    one = reps.where("digest is not null").select("id", "digest", "n", "parts", "rep").dropDuplicates(["id", "digest"])
+    met = met.join(one, "id").groupBy(F.col("rep").alias("id")).agg(F.collect_set(F.struct("digest", "n", "parts")).alias("texts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaders")))).alias("leaders"))
+    met = met.select("id", "leaders", F.explode("texts").alias("text"))  # one, unless an id has several
+    met = written(met.select("id", "text.n", "text.parts", "leaders", F.explode("leaders").alias("leader")), "meetings")
     # a meeting of too many shingles for one task becomes pairs of blocks
-    by = Window.partitionBy("leader")
-    met = met.withColumn("rows", F.count("id").over(by)).withColumn("size", F.sum("n").over(by)).where("rows > 1")
+    sizes = met.groupBy("leader").agg(F.count("id").alias("rows"), F.sum("n").alias("size")).where("rows > 1")
+    met = met.join(sizes, "leader")
     met = met.withColumn("nb", F.ceil(F.col("size") / MEETING).cast("int")).withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    met = met.select("leader", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "id", "n", "parts")
+    met = met.select("leader", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "id", "n", "parts", "leaders")
     chosen = written(candidates(met, t), "candidates")
     edges = links(chosen.join(texts_of(rows, chosen), "id"), t, k, counts)
+    # an id with several texts is one node: it links their representatives
+    several = one.groupBy("id").agg(F.count("digest").alias("texts")).where("texts > 1")
+    edges = edges.unionByName(one.join(several, "id").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     groups = components(edges).withColumnRenamed("node", "rep")
     out = join_hot(reps.select("id", "n", "rep"), groups, "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

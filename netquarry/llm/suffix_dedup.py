@@ -7,7 +7,9 @@ copies of a string meet under its anchor's hash. First only hashes are exchanged
 anchors of more than one document. Then these meet with the bytes around them: there a
 suffix array over the bytes, the common prefixes of its neighbours, and for each suffix
 the previous and next of a smaller document in suffix order give the longest previous
-factor; where it reaches ``length``, an earlier document has the string.
+factor, as a number of bytes; where it reaches ``length``, an earlier document has the
+string. Of rows with equal bytes only the first is laid out: the others' factors reach
+the end of the row.
 
 Documents are dealt to shards by a hash of their id. A string that a large part of the
 corpus shares costs one row a shard in the first exchange and, with equal bytes around
@@ -29,9 +31,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, MapType, StructField, StructType
 
-from .common import written
-from .suffixes import common_prefix, smaller_neighbours, suffix_array
+from .common import quoted, written
+from .suffixes import common_prefix, previous_factors, suffix_array
 
 GRAM = 20
 SHARD_BYTES = 8 << 20
@@ -39,6 +42,8 @@ SHARD_BYTES = 8 << 20
 STRETCH = 1 << 19
 #: Anchors with more surroundings than this (equal ones of a shard count once) have their strings looked up one by one; and of those strings, how many at once.
 MANY, AT_ONCE = 5_000, 1 << 20
+#: Anchors whose bytes are laid out at once, and rows that meet at once (all of one anchor, at least).
+ANCHORS, ROWS = 1 << 15, 1 << 16
 _POWER = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 28) - 1)
@@ -68,8 +73,11 @@ def totals(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
-def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes (of GRAM bytes) and hashes of the surroundings of the anchors of all ``length``-byte strings inside the texts row[start:end]."""
+def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, first_string: int = 0, last_string: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes (of GRAM bytes) and hashes of the surroundings of the anchors of all ``length``-byte strings inside the texts row[start:end].
+
+    With first_string and last_string, only of strings that start from the first on and before the last.
+    """
     width = length - GRAM + 1
     if len(row) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -85,7 +93,11 @@ def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     some = ends - starts >= length
     np.add.at(inside, starts[some], 1)
     np.add.at(inside, ends[some] - length + 1, -1)
-    place = (low[np.cumsum(inside[: len(low)]) > 0] & _PLACE).astype(np.int64)
+    wanted = np.cumsum(inside[: len(low)]) > 0
+    wanted[:first_string] = False
+    if last_string is not None:
+        wanted[last_string:] = False
+    place = (low[wanted] & _PLACE).astype(np.int64)
     place = place[np.r_[True, place[1:] != place[:-1]]] if len(place) else place
     doc = np.searchsorted(ends, place, side="right")
     first, last = np.maximum(starts[doc], place - (length - GRAM)), np.minimum(ends[doc], place + length)
@@ -93,6 +105,19 @@ def anchors(row: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     return place, hashes[place], mixed((total[last] - total[first]) * down[first] + edge.astype(np.uint64) * np.uint64(_POWER))
 
 
+def anchors_of_long(text: bytes, length: int, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors() of a text of more than ``stretch`` bytes, some strings at a time."""
+    found = []
+    for a in range(0, len(text) - length + 1, stretch):
+        base, end = max(0, a - length), min(len(text), a + stretch + 2 * length)
+        row = np.frombuffer(text, np.uint8, end - base, base)
+        place, hashes, around = anchors(row, np.array([0]), np.array([len(row)]), length, a - base, a + stretch - base)
+        place = place + base
+        new = place > found[-1][0][-1] if found and len(found[-1][0]) else np.ones(len(place), bool)  # the last may be the next's first
+        found.append((place[new], hashes[new], around[new]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 class Shard:
     """The documents of a shard end to end, by id and then text."""
 
@@ -106,17 +131,26 @@ class Shard:
         self.ends = np.cumsum([len(t) for t in self.texts])
         self.starts = self.ends - np.array([len(t) for t in self.texts], np.int64)
 
-    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self, length: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places (in the whole shard), hashes, documents and surroundings' hashes of all anchors, some texts at a time."""
         places, hashes, around, first = [], [], [], 0
+
+        def add(base: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            places.append(found[0] + base)
+            hashes.append(found[1])
+            around.append(found[2])
+
         for i in range(1, len(self.texts) + 1):
-            if i == len(self.texts) or self.ends[i - 1] - self.starts[first] >= STRETCH:
+            base = self.starts[first]
+            if len(self.texts[i - 1]) > stretch:
+                if i - 1 > first:
+                    row = np.frombuffer(b"".join(self.texts[first : i - 1]), np.uint8)
+                    add(base, anchors(row, self.starts[first : i - 1] - base, self.ends[first : i - 1] - base, length))
+                add(self.starts[i - 1], anchors_of_long(self.texts[i - 1], length, stretch))
+                first = i
+            elif i == len(self.texts) or self.ends[i - 1] - base >= stretch:
                 row = np.frombuffer(b"".join(self.texts[first:i]), np.uint8)
-                base = self.starts[first]
-                p, h, a = anchors(row, self.starts[first:i] - base, self.ends[first:i] - base, length)
-                places.append(p + base)
-                hashes.append(h)
-                around.append(a)
+                add(base, anchors(row, self.starts[first:i] - base, self.ends[first:i] - base, length))
                 first = i
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
         doc = np.searchsorted(self.ends, place, side="right")
@@ -232,7 +266,7 @@ def frequent_strings(shard: Shard, place: np.ndarray, doc: np.ndarray, length: i
     mark = np.zeros(len(row) + 1, np.int32)
     np.add.at(mark, low, 1)
     np.add.at(mark, high + 1, -1)
-    every = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+    every = np.flatnonzero(np.cumsum(mark[:-1], out=mark[:-1]) > 0)
     weights = np.random.default_rng(11).integers(0, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     hashes = np.zeros(len(every), np.uint64)
     for i in range(0, len(every), AT_ONCE):
@@ -319,22 +353,31 @@ def contexts(shards: DataFrame, shared: DataFrame, length: int, buckets: int) ->
         place, short, doc = place[~often], short[~often], doc[~often]
         if len(place):
             start, end = shard.starts[doc], shard.ends[doc]
-            row = np.r_[np.zeros(left, np.uint8), np.frombuffer(b"".join(shard.texts), np.uint8), np.zeros(right, np.uint8)]
-            around = np.lib.stride_tricks.sliding_window_view(row, left + right)[place]
-            offset = np.arange(-left, right)
-            around = np.where((offset >= (start - place)[:, None]) & (offset < (end - place)[:, None]), around, 0).astype(np.uint8)
+            row = np.frombuffer(b"".join([bytes(left), *shard.texts, bytes(right)]), np.uint8)
+            windows, offset = np.lib.stride_tricks.sliding_window_view(row, left + right), np.arange(-left, right)
             low, high = _windows(place, start, end, length)
             edge = np.stack([low - place + left, high - place + left], axis=1).astype(np.uint8)
+
+            def around(x: np.ndarray) -> np.ndarray:
+                """The bytes around these anchors, a row each; 0 outside their text."""
+                return windows[place[x]] * ((offset >= (start - place)[x, None]) & (offset < (end - place)[x, None]))
+
             # of equal surroundings in the shard, those of the first document go on; later documents' strings all go
             weights = np.random.default_rng(7).integers(0, 1 << 63, left + right + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             total = short * np.uint64(_POWER)
-            both = np.concatenate([around, edge], axis=1)
-            for k in range(both.shape[1]):
-                total = total + both[:, k] * weights[k]
+            for i in range(0, len(place), ANCHORS):
+                x = np.arange(i, min(len(place), i + ANCHORS))
+                columns = np.concatenate([around(x), edge[x]], axis=1).T.copy()
+                for k, column in enumerate(columns):
+                    total[x] += column * weights[k]
             order = np.lexsort((place, total))
             group = np.r_[True, total[order][1:] != total[order][:-1]]
             first = order[np.maximum.accumulate(np.where(group, np.arange(len(order)), 0))]
-            later = (shard.ids[doc[order]] > shard.ids[doc[first]]) & (both[order] == both[first]).all(axis=1)
+            later = shard.ids[doc[order]] > shard.ids[doc[first]]
+            maybe = np.flatnonzero(later)
+            for i in range(0, len(maybe), ANCHORS):
+                x, y = order[maybe[i : i + ANCHORS]], first[maybe[i : i + ANCHORS]]
+                later[maybe[i : i + ANCHORS]] = (around(x) == around(y)).all(axis=1) & (edge[x] == edge[y]).all(axis=1)
             gone = order[later]
             if len(gone):
                 rows.append((-1, pack(doc[gone].astype(np.uint32), (low - start)[gone].astype(np.uint32), (high - start + length)[gone].astype(np.uint32))))
@@ -343,37 +386,69 @@ def contexts(shards: DataFrame, shared: DataFrame, length: int, buckets: int) ->
             sent = sent[by]
             for b, i, j in cuts:
                 x = sent[i:j]
-                rows.append((b, pack(short[x], shard.ids[doc[x]], doc[x].astype(np.uint32), (place - start)[x].astype(np.uint32), edge[x].astype(np.uint8), around[x])))
+                rows.append((b, pack(short[x], shard.ids[doc[x]], doc[x].astype(np.uint32), (place - start)[x].astype(np.uint32), edge[x], around(x))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([number] * len(rows), pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return shards.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(send, "bucket long, shard long, data binary")
 
 
-def earlier_strings(around: np.ndarray, edge: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For each row of surroundings, which strings in it (by start) also stand in a row of a smaller id.
+def row_factors(around: np.ndarray, edge: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each row of surroundings and each start in it, the longest previous factor: bytes from there that also stand in a row of a smaller id.
 
-    Suffix array over all rows end to end, each with an end of its own; where neighbours
-    in suffix order share length bytes, the previous and the next of a smaller id show
-    whether the longest previous factor reaches length.
+    Suffix array over all rows end to end, each with ends of its own. Factors under
+    ``length`` and starts outside the row's strings (``edge``) count as 0.
     """
     n, wide = around.shape
-    row = np.concatenate([around.astype(np.int64), 256 + np.arange(n)[:, None]], axis=1).reshape(-1)
-    order, _, levels = suffix_array(row, 1 << (length - 1).bit_length())
+    edge, place, end = edge.astype(np.int64), np.arange(wide), 256 + np.arange(n)[:, None]
+    inside = (place >= edge[:, :1]) & (place < edge[:, 1:] + length)  # of the text: a zero byte is no end
+    row = np.concatenate([np.where(inside, around, end), end], axis=1).reshape(-1)
+    order, _, levels = suffix_array(row, 1 << (wide - 1).bit_length())
     shared = np.zeros(len(order), np.int64)
-    tied = np.flatnonzero(levels[-1 if len(levels) < 6 else 5][order[1:]] == levels[-1 if len(levels) < 6 else 5][order[:-1]]) + 1
+    level = levels[-1 if len(levels) < 6 else 5]
+    tied = np.flatnonzero(level[order[1:]] == level[order[:-1]]) + 1
     shared[tied] = common_prefix(order[tied - 1], order[tied], levels)
     run = np.r_[False, (shared >= length)[1:]]
-    out = np.zeros(len(row), bool)
+    out = np.zeros(len(row), np.int64)
     starts = np.flatnonzero(~run & np.r_[run[1:], False])
     stops = np.flatnonzero(run & ~np.r_[run[1:], False]) + 1
+    owner = ids[order // (wide + 1)]
     for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        at = order[a:b]
-        docs = ids[at // (wide + 1)].tolist()
-        before, after = smaller_neighbours(docs)
-        out[at] = [x >= 0 or y >= 0 for x, y in zip(before, after, strict=True)]
+        docs = owner[a:b]
+        if docs.min() < docs.max():
+            out[order[a:b]] = previous_factors(docs.tolist(), shared[a:b].tolist())
     out = out.reshape(n, wide + 1)[:, : wide - length + 1]
     start = np.arange(out.shape[1])
-    return out & (start >= edge[:, :1]) & (start <= edge[:, 1:])
+    return np.where((out >= length) & (start >= edge[:, :1]) & (start <= edge[:, 1:]), out, 0)
+
+
+def met_factors(short: np.ndarray, ids: np.ndarray, edge: np.ndarray, around: np.ndarray, length: int) -> np.ndarray:
+    """Of rows that meet, each start's longest previous factor among rows of the same anchor hash; see row_factors()."""
+    left, bounds = around.shape[1] - length, edge.astype(np.int64)
+    start = np.arange(left + 1)
+    factors = np.zeros((len(short), left + 1), np.int64)
+    # of equal surroundings the smallest id is laid out; those of the others go on to the end of the row
+    key = np.concatenate([np.ascontiguousarray(short.astype(">u8")).view(np.uint8).reshape(-1, 8), edge, around], axis=1)
+    order = np.lexsort((ids, np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()))
+    first = np.r_[True, (key[order][1:] != key[order][:-1]).any(axis=1)]
+    head_of = np.empty(len(order), np.int64)
+    head_of[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    heads = order[first]
+    heads = heads[np.argsort(short[heads], kind="stable")]
+    s = short[heads]
+    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+    batch: list[np.ndarray] = []
+    size = 0
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a > 1:
+            batch.append(heads[a:b])
+            size += b - a
+        if size > 8_000 or (b == len(heads) and size):
+            x = np.concatenate(batch)
+            factors[x] = row_factors(around[x], edge[x], ids[x], length)
+            batch, size = [], 0
+    factors = factors[head_of]  # the smallest id may have them more than once
+    inside = (start >= bounds[:, :1]) & (start <= bounds[:, 1:])
+    return np.where((ids > ids[head_of])[:, None] & inside, bounds[:, 1:] + length - start, factors)
 
 
 def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
@@ -384,54 +459,36 @@ def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
         parts = [unpack(x.as_py()) for x in table.column("data")]
         short, ids, doc, place, edge, around = (np.concatenate(x) for x in zip(*parts, strict=True))
         shard = np.repeat(table.column("shard").to_numpy(), [len(p[0]) for p in parts])
-        gone = np.zeros((len(short), left + 1), bool)
-        start = np.arange(left + 1)
-        valid = (start >= edge[:, :1]) & (start <= edge[:, 1:])
-        # equal surroundings: the smallest id stands for them, all strings of the others go
-        key = np.concatenate([np.ascontiguousarray(short.astype(">u8")).view(np.uint8).reshape(-1, 8), edge, around], axis=1)
-        order = np.lexsort((ids, np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()))
-        first = np.r_[True, (key[order][1:] != key[order][:-1]).any(axis=1)]
-        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        head_of = np.empty(len(order), np.int64)
-        head_of[order] = head
-        gone[ids > ids[head_of]] = True
-        heads = order[first]
-        # anchors with other surroundings in another document: look at the strings one by one, some anchors at a time
-        heads = heads[np.argsort(short[heads], kind="stable")]
-        s = short[heads]
-        cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-        batch: list[np.ndarray] = []
-        size = 0
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if b - a > 1:
-                batch.append(heads[a:b])
-                size += b - a
-            if size > 8_000 or (b == len(heads) and size):
-                x = np.concatenate(batch)
-                gone[x] = earlier_strings(around[x], edge[x], ids[x], length)
-                batch, size = [], 0
-        same = ids == ids[head_of]  # the smallest id may have them more than once
-        gone[same] = gone[head_of[same]]
-        at, k = np.nonzero(gone & valid)
-        # starts next to each other are one span
-        new = np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1] + 1)] if len(at) else np.zeros(0, bool)
-        first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(at)] - 1
-        span_start = place[at[first]].astype(np.int64) - left + k[first]
-        span_end = place[at[first]].astype(np.int64) - left + k[last] + length
-        of, d = shard[at[first]], doc[at[first]]
+        del parts
+        slices = -(-len(short) // ROWS)
+        found: list[tuple[np.ndarray, ...]] = []
+        turn = mixed(short.copy()) % np.uint64(slices)
+        for q in range(slices):  # all rows of an anchor hash are in one slice
+            some = np.flatnonzero(turn == q)
+            if not len(some):
+                continue
+            at, k = np.nonzero(met_factors(short[some], ids[some], edge[some], around[some], length) >= length)
+            # starts next to each other are one span
+            new = np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1] + 1)] if len(at) else np.zeros(0, bool)
+            first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(at)] - 1
+            x = some[at[first]]
+            begin = place[x].astype(np.int64) - left
+            found.append((shard[x], doc[x], (begin + k[first]).astype(np.uint32), (begin + k[last] + length).astype(np.uint32)))
         rows = []
-        by = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]]) if len(by) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
-            x = by[a:b]
-            rows.append((int(of[x[0]]), pack(d[x], span_start[x].astype(np.uint32), span_end[x].astype(np.uint32))))
+        if found:
+            of, d, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+            by = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
+                x = by[a:b]
+                rows.append((int(of[x[0]]), pack(d[x], begin[x], end[x])))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "shard long, data binary")
 
 
 def nullable(kind: pa.DataType) -> pa.DataType:
-    """The type with every field and element nullable, as a schema text declares it."""
+    """The type with every field and element nullable, as loose() declares it."""
     if pa.types.is_struct(kind):
         return pa.struct([pa.field(kind.field(i).name, nullable(kind.field(i).type)) for i in range(kind.num_fields)])
     if pa.types.is_list(kind):
@@ -441,6 +498,17 @@ def nullable(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
+def loose(kind: DataType) -> DataType:
+    """The type with every field and element nullable."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, loose(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(loose(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(kind.keyType, loose(kind.valueType))
+    return kind
+
+
 def widened(text: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans with the rest of the characters that they cut, not overlapping."""
     out, last = [], 0
@@ -467,7 +535,7 @@ def cut_texts(shards: DataFrame, spans: DataFrame, whole: bool = False) -> DataF
             doc, start, end = unpack(x.as_py())
             np.add.at(removed, shard.starts[doc] + start, 1)
             np.add.at(removed, shard.starts[doc] + end, -1)
-        gone = np.cumsum(removed[:-1]) > 0
+        gone = np.cumsum(removed[:-1], out=removed[:-1]) > 0
         kept, found = [], []
         for text, start, end in zip(shard.texts, shard.starts.tolist(), shard.ends.tolist(), strict=True):
             edges = np.flatnonzero(np.diff(np.r_[False, gone[start:end], False].astype(np.int8))).tolist()
@@ -480,8 +548,10 @@ def cut_texts(shards: DataFrame, spans: DataFrame, whole: bool = False) -> DataF
         out = out.append_column("n_bytes", pa.array([len(t) for t in shard.texts], pa.int64()))
         return out.append_column("spans", pa.array(found, span)).append_column("kept", pa.array(kept, pa.binary()))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shards.schema if f.name != "body")
-    return shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cut, f"{kinds}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    fields = [StructField(f.name, loose(f.dataType)) for f in shards.schema if f.name != "body"]
+    spans_kind = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+    kind = StructType([*fields, StructField("n_bytes", LongType()), StructField("spans", spans_kind), StructField("kept", BinaryType())])
+    return shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(cut, kind)
 
 
 def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, many: int = MANY) -> DataFrame:
@@ -497,7 +567,7 @@ def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
         raise ValueError("length must be 32 to 200")
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     count = max(16, -(-total // SHARD_BYTES))
-    others = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    others = [F.col(quoted(c)) for c in df.columns if c != text_col]
     shards = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"),
         F.struct(*others).alias("row"),
@@ -521,7 +591,7 @@ def deduplicated(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_c
         elif name == "n_chars":
             cols.append(F.length(text).cast("long").alias(name))
         else:
-            cols.append(F.col(f"row.`{name}`").alias(name))
+            cols.append(F.col("row").getField(name).alias(name))
     return out.select(*cols)
 
 

@@ -86,13 +86,29 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def smaller_neighbours(values: list[int]) -> tuple[list[int], list[int]]:
-    """For each place, the nearest place before and the nearest after with a strictly smaller value; -1 for none."""
-    before, after, stack = [-1] * len(values), [-1] * len(values), []
-    for i, value in enumerate(values):
-        while stack and values[stack[-1]] > value:
-            after[stack.pop()] = i
-        same = stack and values[stack[-1]] == value
-        before[i] = before[stack[-1]] if same else (stack[-1] if stack else -1)
-        stack.append(i)
-    return before, after
+def previous_factors(values: list[int], shared: list[int]) -> list[int]:
+    """Longest previous factors of suffixes that stand in suffix order.
+
+    values: which text each suffix is from; shared: symbols it shares with the one before
+    it (the first: none). The nearest suffixes of a smaller value on either side share the
+    most of all with a smaller value: the least common prefix on the way there. Gives the
+    larger of both, 0 where no smaller value shares a symbol.
+    """
+    n = len(values)
+    out = [0] * n
+    for places, step in ((range(n), 0), (range(n - 1, -1, -1), 1)):
+        stack: list[tuple[int, int]] = []  # a value, and what its suffix shares with the one below it in the stack
+        for i in places:
+            value = values[i]
+            most = shared[i + step] if stack else 0
+            while stack and stack[-1][0] >= value:
+                below = stack.pop()[1]
+                if below < most:
+                    most = below
+            if stack:
+                if most > out[i]:
+                    out[i] = most
+            else:
+                most = 0
+            stack.append((value, most))
+    return out

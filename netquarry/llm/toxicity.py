@@ -145,7 +145,7 @@ def _contexts(sample: DataFrame) -> DataFrame:
             seen: tuple[set, set] = (set(), set())
             for text, toxic in zip(block.column("text").to_pylist(), block.column("toxic").to_pylist(), strict=True):
                 words = words_of(text)
-                seen[toxic].update(zip(words, [b"", *words[:-1]], strict=True))
+                seen[toxic].update(zip(words, [b"", *words], strict=False))
             for toxic, found in enumerate(seen):
                 hashes = np.fromiter((number(b) for _, b in found), np.uint64, len(found)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array(hashes), pa.array(np.full(len(found), toxic, np.int32))], schema=schema)

@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.llm import decontam, jaccard, langid, quality, suffix_dedup, toxicity
+from netquarry.llm import decontam, jaccard, langid, quality, suffix_dedup, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,6 +44,59 @@ def test_suffix_dedup(spark, docs, clashing, empty):
     assert sorted(map(tuple, suffix_dedup.report(spark, twice).distinct().collect())) == sorted(want)
 
 
+def test_previous_factors():
+    """The longest previous factor of each suffix, against a comparison of all pairs."""
+    rng = random.Random(4)
+    for _ in range(200):
+        row, owner = [rng.randrange(3) for _ in range(rng.randrange(1, 40))], []
+        owner = [rng.randrange(4) for _ in row]
+        order, _, levels = suffixes.suffix_array(np.array(row))
+        shared = [0, *suffixes.common_prefix(order[:-1], order[1:], levels).tolist()]
+        got = dict(zip(order.tolist(), suffixes.previous_factors([owner[i] for i in order], shared), strict=True))
+
+        def match(i, j, row=row):
+            n = 0
+            while max(i, j) + n < len(row) and row[i + n] == row[j + n]:
+                n += 1
+            return n
+
+        assert got == {i: max((match(i, j) for j in range(len(row)) if owner[j] < owner[i]), default=0) for i in range(len(row))}
+
+
+@pytest.mark.parametrize("length", [50, 120])
+def test_met_factors(length):
+    """The factors of rows that meet, against a comparison of all rows; zero bytes are no ends."""
+    rng = random.Random(6)
+    left, wide = length - suffix_dedup.GRAM, 2 * length - suffix_dedup.GRAM
+    rows = []
+    for k in range(60):
+        base = bytearray(b"ab" * wide)[:wide] if k % 2 else bytearray(bytes(wide))
+        for _ in range(rng.randrange(3)):
+            base[rng.randrange(wide)] = rng.randrange(3)
+        low, high = sorted((rng.randrange(left + 1), rng.randrange(left + 1)))
+        rows.append((7, rng.randrange(9), (low, high), bytes(x if low <= i < high + length else 0 for i, x in enumerate(base))))
+    short, ids, edge, around = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.uint8), np.array([list(r[3]) for r in rows], np.uint8))
+    got = suffix_dedup.met_factors(short, ids, edge, around, length)
+    inside = [r[3][r[2][0] : r[2][1] + length] for r in rows]
+    for (_, i, (low, high), data), factors in zip(rows, got.tolist(), strict=True):
+        for p in range(left + 1):
+            own = data[p : high + length]
+            most = max((n for j, text in zip(ids.tolist(), inside, strict=True) if j < i for n in range(length, len(own) + 1) if own[:n] in text), default=0)
+            assert factors[p] == (most if low <= p <= high else 0)
+
+
+def test_suffix_dedup_of_long_texts_and_odd_names(spark):
+    """A text is taken in stretches with the same anchors; columns of any name and type stay."""
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"abc") for _ in range(9_000)) + b"x" * 900
+    table = pa.table({"id": [3, 1, 2], "body": [b"short", text, b"y" * 300]})
+    whole, parts = (suffix_dedup.Shard(table).anchors(50, n) for n in (1 << 19, 256))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True)) and len(whole[0]) > 100
+    df = spark.createDataFrame([(1, "z" * 80, "d", ([1], {"k": 2.5})), (2, "z" * 80, None, None)], "doc_id long, text string, `crawl-date` string, `a.b``c` struct<x:array<int>,y:map<string,double>>")
+    got = {r["doc_id"]: (r["text"], r["crawl-date"], r["a.b`c"]) for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == {1: ("z" * 80, "d", ([1], {"k": 2.5})), 2: ("", None, None)}
+
+
 def test_suffix_dedup_keeps_characters(spark):
     """Replacement characters of the text stay; a character that is cut goes whole, and none is made of two cut ones."""
     same = "0123456789" * 5 + "abc"
@@ -122,6 +176,37 @@ def test_jaccard_of_many_near_copies(spark):
     assert sorted(map(tuple, jaccard.similar(df, 3, 90).collect())) == groups(rows, 3, 90)
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """An id with two texts has the links of both."""
+    rows = [(7, "a b c d e f g h i j"), (7, "p q r s t u v w x y"), (3, "a b c d e f g h i k"), (5, "p q r s t u v w x z"), (9, "p q r s t u v w x y")]
+    got = {tuple(r)[::2] for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {(7, 3), (3, 3), (5, 3), (9, 3)}
+
+
+@pytest.mark.parametrize("frequent", [2, 2_000])
+def test_jaccard_pairs_are_compared_once(spark, monkeypatch, frequent):
+    """Each pair is looked at under one leader, however many it has in common; also where shingles are frequent."""
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"{w}{rng.randrange(20) if rng.random() < 0.1 else 0}" for w in ("abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST!")[k % 2])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    meetings, real = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda m, *rest: (meetings.append(m), real(m, *rest))[1])
+    assert sorted(map(tuple, jaccard.similar(df, 2, 60).collect())) == groups(rows, 2, 60)
+    found, sets = {}, {i: s for i, s in zip([r[0] for r in rows], jaccard.shingle_sets([r[1] for r in rows], 2)[0], strict=True)}
+    for r in meetings[0].collect():
+        found.setdefault((r["leader"], r["b1"], r["b2"]), []).append(r)
+    pairs = []
+    for members in found.values():
+        compared = []
+        m = {"leader": [r["leader"] for r in members], "leaders": [r["leaders"] for r in members]}
+        own = [sets[r["id"]] for r in members]
+        parts = np.frombuffer(b"".join(map(jaccard.part_counts, own)), np.uint8).reshape(-1, jaccard.PARTS)
+        jaccard.linked(own, parts, np.array([r["b"] for r in members]), jaccard.Fraction(60, 100), True, jaccard.earlier_leaders(m), compared)
+        pairs += [tuple(sorted((members[i]["id"], members[j]["id"]))) for i, j in compared]
+    assert len(pairs) == len(set(pairs)) and any(len(r["leaders"]) > 1 for m in found.values() for r in m)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7), (5, 4)], "u long, v long")
     got = {r[0]: r[1] for r in jaccard.components(chain).collect()}
@@ -236,9 +321,54 @@ def test_toxicity(spark, docs, clashing, empty):
 
 
 def test_toxicity_held_out(spark):
+    """Of the rows held out, toxic ones are caught and others left alone, in each language."""
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL")
-    rows = toxicity.report(spark, docs.join(labels, "doc_id", "left_semi"), labels).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
-    good, bad = [r[0] for r in rows if r[1] == 1], [r[0] for r in rows if r[1] == 0]
-    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
-    assert auc > 0.9
+    rows = toxicity.report(spark, docs.join(labels, "doc_id", "left_semi"), labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = rows.groupBy("lang", "toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).collect()
+    assert len(got) == 8 and all(r[2] > 0.9 for r in got), got
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Copies of a text don't make its words toxic; ties and repeated rows; a null id; a column of the result's name."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    common = [word() for _ in range(300)]
+    text = lambda bad=(): " ".join(rng.sample([*rng.choices(common, k=40), *bad], 40 + len(bad)))
+    copied = " ".join(word() for _ in range(40))
+    rows = [(k, text(("scumbag", "dimwit", "lout") if k % 4 == 0 else ()), int(k % 4 == 0)) for k in range(600)]
+    rows += [(k, f"{copied} scumbag {text()} dimwit", 1) for k in range(600, 640)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, copied), (9001, copied), (9001, copied), (9002, None), (9003, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.report(spark, docs, labels).collect()
+    assert len(got) == docs.count() and all(r["held_out"] is not None for r in got)
+    of = {r["doc_id"]: r for r in got}
+    assert all(of[i]["predicted"] == x for i, _, x in rows) and not of[9001]["predicted"] and not of[None]["held_out"]
+    assert len({r["score"] for r in got if r["doc_id"] in (None, 9001)}) == 1 and of[9002]["score"] == of[9003]["score"] <= min(r["score"] for r in got)
+    with pytest.raises(ValueError):
+        toxicity.with_toxicity(docs.withColumn("toxicity", F.lit(1)), toxicity.Model())
+
+
+def test_log_odds_by_brute_force(spark):
+    """Contexts and log-odds of a small sample, worked out by hand."""
+    rows = [("a b a b", 0, False), ("a b", 1, False), ("c b d", 1, False), (None, 0, False)]
+    sample = spark.createDataFrame(rows, "text string, toxic int, calibrates boolean")
+    before = {(t, w, b) for text, t, _ in rows for w, b in zip((text or "").split(), ["", *(text or "").split()], strict=False)}
+    want = {w: tuple(sum(1 for t, v, _ in before if (t, v) == (k, w)) for k in (0, 1)) for _, w, _ in before}
+    counts = toxicity._contexts(sample)
+    assert {r["word"]: (r["n0"], r["n1"]) for r in counts.collect()} == want
+
+
+def test_fit_is_the_mean_and_the_root(spark):
+    """The extreme-value law: lambda is the root over harmless words, log K the mean of harmless best scores less Euler's constant."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    kept = [(r["text"], r["toxic"]) for r in toxicity._labelled(docs, labels, toxicity.MAX_LABELLED).where("calibrates").collect()]
+    scores = toxicity.WordScores(model)
+    best = []
+    for text, toxic in kept:
+        n, found = toxicity.passages(text, scores)
+        if not toxic and found:
+            best.append(max(s for _, _, s in found) + model.log_k)
+    assert abs(np.mean([x for x in best if x > -10]) - 0.5772 - model.log_k) < 0.05
