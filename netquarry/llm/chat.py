@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 #: Speakers that set the scene: rendered as such for everyone, never as the assistant.
 CONTEXT = ("system",)
-#: Turns rendered in one row; longer conversations go on in further rows.
-CHUNK_TURNS = 512
 END = "<|end|>\n"
 
 
-def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", context: tuple[str, ...] = CONTEXT, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", context: tuple[str, ...] = CONTEXT, *, chunk_turns: int) -> DataFrame:
     """conv_id, perspective, chunk, n_turns, n_masked, rendered, mask (array of start and length in characters).
 
     A turn is rendered as ``<|assistant|>``, ``<|system|>`` or ``<|user:NAME|>``, a line end, its
@@ -26,7 +24,10 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     null text is empty, a null speaker is named ``unknown``, and rows without a conversation
     are left out. Conversations of context turns only, and empty tables, give no rows. A
     chunk holds the turns numbered k * chunk_turns to (k + 1) * chunk_turns - 1, and has the
-    perspectives of all the conversation's speakers, so no row grows with a conversation's length.
+    perspectives of all the conversation's speakers, so no row grows with a conversation's
+    length; the chunks of a perspective, in order, are its rendering, and a mask counts from
+    its chunk's start. The caller says how long a chunk is: a dialogue of up to
+    chunk_turns turns numbered from 0 is one row.
     """
     turns = conversations.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv_id"),
@@ -59,10 +60,10 @@ def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
 
 
-def render(conversations: DataFrame) -> DataFrame:
+def render(conversations: DataFrame, chunk_turns: int) -> DataFrame:
     """rotate() with the mask as text: start+length, joined by commas."""
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string"))), ",")
-    return rotate(conversations).withColumn("mask", mask)
+    return rotate(conversations, chunk_turns=chunk_turns).withColumn("mask", mask)
 
 
 ORACLE = r"""

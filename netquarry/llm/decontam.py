@@ -1,28 +1,31 @@
 """Operator 8: benchmark decontamination with suffix arrays of the training texts.
 
-Documents are the training side. Each block of documents gets a suffix array over its
-words; every suffix of every benchmark item is looked up in it by binary search, which
-gives where its window stands in the documents. Windows that follow each other on both
-sides make the longest verbatim matches. Affected documents are removed.
+Documents are the training side. Each block of documents gets a suffix array over all
+its words; every suffix of every benchmark item is looked up in it by binary search: the
+interval of suffixes that share its first window says where it stands. Where suffixes
+follow each other on both sides they make the longest verbatim matches, with their
+places. Affected documents are removed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, quoted, written
 from .suffixes import suffix_array
 
 WINDOW = 10
-#: Benchmark text that is sent to the executors at once; a larger benchmark is searched in blocks.
+#: Benchmark text that is sent to the executors at once; of a larger benchmark, one block after the other.
 BLOCK_BYTES = 16 << 20
 #: Word bytes as they are, A-Z in lower case, all else a space.
 TABLE = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-MATCH = "array<struct<item_id:bigint, doc_start:int, item_start:int, n_words:int>>"
+MATCH = "array<struct<item_id:string, doc_start:int, item_start:int, n_words:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -30,49 +33,40 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """The suffixes of a block of benchmark items: each is a window, or the rest of an item of fewer words."""
+    """The suffixes of benchmark items, as far as their first window: that many words, or all of an item of fewer."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        rows, self.item, self.start, sizes = [], [], [], []
-        for item_id, text in items:
+        self.ids = [item_id for item_id, _ in items]
+        rows, item, start, sizes = [], [], [], []
+        for k, (_, text) in enumerate(items):
             codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             size = min(window, len(codes))
             for i in range(len(codes) - size + 1 if codes else 0):
                 rows.append(codes[i : i + size] + [0] * (window - size))
-                self.item.append(item_id)
-                self.start.append(i)
+                item.append(k)
+                start.append(i)
                 sizes.append(size)
         self.window = window
-        self.rows = np.array(rows, dtype=np.int32).reshape(-1, window)
+        self.rows = np.array(rows, dtype=np.int64).reshape(-1, window)
         self.sizes = np.array(sizes, dtype=np.int64)
-        self.item, self.start = np.array(self.item, dtype=np.int64), np.array(self.start, dtype=np.int64)
-        self.least = int(self.sizes.min()) if len(sizes) else 0
+        self.item, self.start = np.array(item, dtype=np.int64), np.array(start, dtype=np.int64)
 
     def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (query, place) where a query's words stand in ``codes``; 0 in codes is a word of no item, or an end."""
         none = np.zeros(0, np.int64)
         if not len(self.rows) or not len(codes):
             return none, none
-        # a query can only stand where enough words in a row are words of items: the rest needs no suffixes
-        known = codes > 0
-        edges = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        long = ends - starts >= self.least
-        starts, ends = starts[long], ends[long]
-        if not len(starts):
-            return none, none
-        sizes = ends - starts + 1  # with the 0 behind each run
-        place = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        row = np.where(place < np.repeat(ends, sizes), codes[np.minimum(place, len(codes) - 1)], 0)
-        order, _, _ = suffix_array(row, self.window)
+        other = codes == 0  # each a symbol of its own, so that no suffixes tie beyond it
+        row = np.where(other, len(self.vocabulary) + 1 + np.arange(len(codes)), codes)
+        order, _, _ = suffix_array(row)
         heads = np.lib.stride_tricks.sliding_window_view(np.r_[row, np.zeros(self.window, row.dtype)], self.window)
         low = self._bound(heads, order, upper=False)
         high = self._bound(heads, order, upper=True)
         n = high - low
         query = np.repeat(np.arange(len(n)), n)
         at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return query, place[order[at]]
+        return query, order[at]
 
     def _bound(self, heads: np.ndarray, order: np.ndarray, upper: bool) -> np.ndarray:
         """For each query, the first suffix in order that is not below it, or with upper that is above it."""
@@ -90,7 +84,7 @@ class Queries:
         return low
 
 
-def find_matches(texts: list[str | None], queries: Queries) -> tuple[list[int], list[list[tuple[int, int, int, int]]]]:
+def find_matches(texts: list[str | None], queries: Queries) -> tuple[list[int], list[list[tuple[str, int, int, int]]]]:
     """Words of each text, and its longest verbatim matches: (item_id, doc_start, item_start, n_words), sorted."""
     find = queries.vocabulary.get
     parts, counts = [], []
@@ -101,7 +95,7 @@ def find_matches(texts: list[str | None], queries: Queries) -> tuple[list[int],
         parts.append([0])
     codes = np.fromiter((c for p in parts for c in p), dtype=np.int32, count=sum(map(len, parts)))
     query, place = queries.search(codes)
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    out: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
     if len(query):
         item, start, size = queries.item[query], queries.start[query], queries.sizes[query]
         order = np.lexsort((place, place - start, item))
@@ -112,14 +106,13 @@ def find_matches(texts: list[str | None], queries: Queries) -> tuple[list[int],
         begins = np.r_[0, np.cumsum(np.array(counts) + 1)]
         doc = np.searchsorted(begins, place[first], side="right") - 1
         for d, i, p, s, n in zip(doc.tolist(), item[first].tolist(), (place[first] - begins[doc]).tolist(), start[first].tolist(), (start[last] + size[last] - start[first]).tolist(), strict=True):
-            out[d].append((i, p, s, n))
-    return counts, [sorted(x) for x in out]
+            out[d].append((queries.ids[i], p, s, n))
+    return counts, [sorted(set(x)) for x in out]
 
 
-def matcher(spark, items: list[tuple[int, str]]):
-    """A column function: struct of n_words and matches of a text with these items."""
-    shared = spark.sparkContext.broadcast(items)  # at most BLOCK_BYTES and one item
-    kind = pa.struct([("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())])))])
+def matcher(shared):
+    """A column function: struct of n_words and matches of a text with the items of a broadcast."""
+    kind = pa.struct([("n_words", pa.int64()), ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("n_words", pa.int32())])))])
     held: list[Queries] = []
 
     def run(texts: pa.Array) -> pa.Array:
@@ -129,7 +122,7 @@ def matcher(spark, items: list[tuple[int, str]]):
         values = texts.to_pylist()
         start = size = 0
         for i, text in enumerate([*values, None]):
-            if i == len(values) or (size and size + len(text or "") > 4 << 20):
+            if i == len(values) or (size and size + len(text or "") > 2 << 20):
                 counts, found = find_matches(values[start:i], held[0])
                 rows += [{"n_words": n, "matches": [dict(zip(("item_id", "doc_start", "item_start", "n_words"), m, strict=True)) for m in x]} for n, x in zip(counts, found, strict=True)]
                 start, size = i, 0
@@ -139,33 +132,46 @@ def matcher(spark, items: list[tuple[int, str]]):
     return F.arrow_udf(run, f"struct<n_words:bigint, matches:{MATCH}>").asNondeterministic()  # so it is run once a row
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """Items with words and an id, in blocks of about block_bytes; each block is read from the table by itself."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    rows = benchmark.where(F.col(quoted(text_col)).isNotNull() & F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("string").alias("i"), F.col(quoted(text_col)).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()]
 
 
 def with_matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, out_col: str = "contamination") -> DataFrame:
-    """``documents`` with all its columns and rows, plus ``out_col``: struct of n_words and matches.
+    """``documents`` with all its columns and rows, plus ``out_col``: struct of n_words and matches (item ids as strings).
 
     A window is 10 words of an item in a row; an item of fewer words, but not none, is one
     window. Null and empty texts have no words and no matches; null items are left out; an
     empty benchmark matches nothing. Copies of an item under one id count once, equal items
-    under two ids are both named. Nothing is shuffled; a benchmark over ``block_bytes`` is
-    searched block by block, each document against each.
+    under two ids are both named. An existing column ``out_col`` (in any case) raises
+    ValueError. Nothing is shuffled. Of a benchmark over ``block_bytes``, one block at a time
+    is with the driver and the executors: its matches are written before the next is read.
     """
-    spark = documents.sparkSession
-    names, out = documents.columns, documents
-    found: list[Column] = []
-    for k, items in enumerate(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        name = free_name(out, f"__block_{k}")
-        out = out.withColumn(name, matcher(spark, items)(F.col(text_col)))
-        found.append(F.col(name))
-    matches = F.array_sort(F.array_distinct(F.flatten(F.array(*[f["matches"] for f in found]))))
-    return out.select(*[F.col(f"`{n}`") for n in names], F.struct(found[0]["n_words"].alias("n_words"), matches.alias("matches")).alias(out_col))
+    if free_name(documents, out_col) != out_col:
+        raise ValueError(f"there is a column {out_col} already: name another with out_col")
+    context, text = documents.sparkSession.sparkContext, F.col(quoted(text_col))
+    found, table, key = [], None, free_name(documents, "__row")
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    items, following = next(blocks), next(blocks, None)
+    if following is None:
+        return documents.withColumn(out_col, matcher(context.broadcast(items))(text))  # at most block_bytes and one item
+    table = written(documents.withColumn(key, F.monotonically_increasing_id()), "decontamination-rows")
+    while items is not None:
+        shared = context.broadcast(items)
+        found.append(written(table.select(key, matcher(shared)(text).alias(out_col)).where(F.size(f"{out_col}.matches") > 0).select(key, f"{out_col}.matches"), "decontamination-matches"))
+        shared.unpersist()
+        items, following = following, next(blocks, None)
+    every = found[0]
+    for some in found[1:]:
+        every = every.unionByName(some)
+    every = every.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
+    counted = table.withColumn(out_col, matcher(context.broadcast([]))(text)["n_words"]).join(every.withColumnRenamed("matches", f"{key}_matches"), key, "left")
+    none = F.array().cast(MATCH)
+    return counted.select(*[F.col(quoted(n)) for n in documents.columns], F.struct(F.col(out_col).alias("n_words"), F.coalesce(F.col(f"{key}_matches"), none).alias("matches")).alias(out_col))
 
 
 def hit_words(matches: Column) -> Column:
@@ -177,9 +183,13 @@ def hit_words(matches: Column) -> Column:
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``documents``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``documents``.
+
+    Null and empty texts have zeros; ids of items are compared as strings; repeated rows
+    come out as often as they came in, an empty table gives no rows.
+    """
     found = F.col("contamination.matches")
-    items = F.array_sort(F.array_distinct(F.transform(found, lambda m: m["item_id"].cast("string"))))
+    items = F.array_sort(F.array_distinct(F.transform(found, lambda m: m["item_id"])))
     rows = with_matches(documents.select("doc_id", "text"), benchmark)
     out = rows.select("doc_id", F.col("contamination.n_words").alias("n_words"), hit_words(found).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
@@ -187,7 +197,7 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def removed(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the rows that hold a window of an item."""
-    names, found = [f"`{n}`" for n in documents.columns], free_name(documents, "contamination")
+    names, found = [F.col(quoted(n)) for n in documents.columns], free_name(documents, "contamination")
     return with_matches(documents, benchmark, out_col=found).where(F.size(f"{found}.matches") == 0).select(*names)
 
 

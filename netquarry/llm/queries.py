@@ -14,6 +14,8 @@ from .common import ship
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+#: Turns that the chat query renders in one row (the SQL has the same number).
+CHUNK_TURNS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render(table(spark, sf_dir, "conversations"))
+    return chat.render(table(spark, sf_dir, "conversations"), CHUNK_TURNS)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

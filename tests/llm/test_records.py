@@ -65,14 +65,14 @@ def test_archives():
 def test_chat(spark, clashing):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é"), (2, None, "ann", "first"), (2, 1, "ann", ""), (3, 1, "system", "only"), (None, 1, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(clashing(df)).collect()}
+    got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(clashing(df), chunk_turns=512).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (2, "ann")}
     one = got[(1, "ann")]
     assert one["rendered"] == "<|system|>\nBe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\n<|end|>\n<|user:unknown|>\né<|end|>\n"
     assert [one["rendered"][m["start"] : m["start"] + m["length"]] for m in one["mask"]] == ["hi<|end|>\n"] and one["n_turns"] == 4
     chunks = chat.rotate(df, chunk_turns=2).where("conv_id = 1 AND perspective = 'ann'").orderBy("chunk").collect()
     assert "".join(c["rendered"] for c in chunks) == one["rendered"]
-    assert chat.rotate(df.limit(0)).isEmpty()
+    assert chat.rotate(df.limit(0), chunk_turns=512).isEmpty()
 
 
 def plan_of(df):

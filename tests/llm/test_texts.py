@@ -246,6 +246,33 @@ def test_decontamination(spark, docs, clashing, empty, texts):
     assert decontam.removed(clashing(docs), table).count() == sum(not r["contaminated"] for r in got.values())
     assert decontam.report(empty, table).isEmpty()
     assert decontam.report(docs, table.limit(0)).where("contaminated").isEmpty()
+    named = table.withColumn("item_id", F.concat(F.lit("item-"), F.col("item_id")))
+    assert decontam.report(docs, named).where("contaminated").count() == sum(r["contaminated"] for r in got.values())
+    with pytest.raises(ValueError):
+        decontam.with_matches(docs.withColumn("Contamination", F.lit(1)), table)
+
+
+def test_longest_matches():
+    """Places and lengths of verbatim matches, against a comparison of all places."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdef")
+    for _ in range(40):
+        items = [(str(k), " ".join(word() for _ in range(rng.randrange(1, 9)))) for k in range(4)]
+        texts = [" ".join(rng.choice("abcdefxyz") for _ in range(rng.randrange(40))) for _ in range(5)] + [None]
+        counts, got = decontam.find_matches(texts, decontam.Queries(items, 4))
+        for text, n, found in zip(texts, counts, got, strict=True):
+            d, want = decontam.words_of(text), []
+            assert n == len(d)
+            for name, item in items:
+                q = decontam.words_of(item)
+                for p in range(len(d)):
+                    for i in range(len(q)):
+                        length = 0
+                        while p + length < len(d) and i + length < len(q) and d[p + length] == q[i + length]:
+                            length += 1
+                        if length >= min(4, len(q)) and not (p and i and d[p - 1] == q[i - 1]):
+                            want.append((name, p, i, length))
+            assert found == sorted(want)
 
 
 def test_language(spark, docs, clashing, empty):
@@ -283,6 +310,48 @@ def test_rare_languages(spark):
     assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, 3: False, 4: False}
 
 
+@pytest.mark.parametrize("values", [langid.MAP_VALUES, 0])
+def test_fusion_by_brute_force(spark, monkeypatch, values):
+    """Posteriors from text, declared language, suffix and smoothed host prior, worked out row by row; by a map or by joins."""
+    monkeypatch.setattr(langid, "MAP_VALUES", values)
+    rng = random.Random(10)
+    words = {x: ["".join(rng.choices(a, k=5)) for _ in range(30)] for x, a in (("aa", "abcdef"), ("bb", "efghij"), ("cc", "ijklmn"))}
+    rows = []
+    for k in range(90):
+        x = rng.choice(list(words))
+        text = rng.choice([" ".join(rng.choices(words[x], k=rng.randrange(1, 20))), "12 34", None])
+        rows.append((k, text, rng.choice([x, x, "zz", None]), rng.choice([x[0], "org", None]), rng.choice(["a.x.org", "b.x.org", "c.net", None]), x))
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, lang string")
+    model = langid.fit(df, "lang")
+    got = {r["doc_id"]: r for r in langid.identify(df, model, declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host")).collect()}
+    text = {r["doc_id"]: r["__text"] for r in langid.with_likelihoods(df.select("doc_id", "text"), model, "text").collect()}
+    size = len(model.languages)
+    best = {i: int(np.argmax(x["mean"])) if x["n"] else None for i, x in text.items()}
+    totals = np.bincount([b for b in best.values() if b is not None], minlength=size)
+    overall = (totals + 1) / (totals.sum() + size)
+    parent = {"a.x.org": "x.org", "b.x.org": "x.org", "c.net": "c.net"}
+
+    def shares(keep, above, pull):
+        n = np.bincount([best[r[0]] for r in rows if keep(r) and best[r[0]] is not None], minlength=size)
+        return (n + pull * above) / (n.sum() + pull)
+
+    for r in rows:
+        i, n = r[0], text[r[0]]["n"]
+        score = np.array(text[i]["mean"]) * min(n / 3, langid.EVIDENCE) if n else np.zeros(size)
+        prior = overall
+        if r[4]:
+            up = shares(lambda x, h=r[4]: x[4] and parent[x[4]] == parent[h], overall, langid.PARENT_WEIGHT)
+            prior = shares(lambda x, h=r[4]: x[4] == h, up, langid.HOST_WEIGHT)
+        score = score + np.log(prior)
+        for column in (2, 3):
+            if r[column]:
+                every = {x[column] for x in rows if x[column]}
+                seen = np.bincount([best[x[0]] for x in rows if x[column] == r[column] and best[x[0]] is not None], minlength=size)
+                score = score + np.log((seen + 1) / (totals + len(every) + 1))
+        assert got[i]["language"] == model.languages[int(np.argmax(score))]
+        assert abs(got[i]["posterior"] - 1 / np.exp(score - score.max()).sum()) < 1e-6
+
+
 def test_addresses_and_markup(spark):
     rows = [("https://Www.Beispiel.de/a", '<HTML class=x lang="de-AT">'), ("http://u@x.org:80/fr/page?q", "<html>"), ("bad", None), (None, "<html lang=en>")]
     df = spark.createDataFrame(rows, "url string, html string")
