@@ -29,6 +29,8 @@ from .units import UnitCache
 MAGIC = b"WAVELET1"
 #: Bits between two stored counts of ones.
 STEP = 512
+#: Text that is encoded at once, beside one text: what is cut from it stays in a processor's cache.
+BLOCK_BYTES = 1 << 18
 LINE_END = "\n"
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
@@ -53,6 +55,8 @@ class WaveletMatrix:
             ranks.append(np.concatenate([[0], np.cumsum(ones, dtype=np.int64)]).astype(np.uint32))
             low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
+            if k == 8:  # what is left to tell apart fits in bytes
+                row = row.astype(np.uint8)
             row = np.concatenate([row.take(low), row.take(high)])
         return cls(len(ids), planes, ranks, zeros)
 
@@ -122,8 +126,11 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order, unsigned 32-bit."""
-        row = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for k in range(len(self.planes) - 1, -1, -1):
+        width = len(self.planes)
+        row = np.zeros(self.n, dtype=np.uint8)
+        for k in range(width - 1, -1, -1):
+            if width - 1 - k == 8:  # the ninth bit from the last
+                row = row.astype(np.uint16 if width <= 16 else np.uint32)
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(row)
             up[np.flatnonzero(~bit)] = row[: self.zeros[k]]
@@ -235,7 +242,7 @@ def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
             store[0].move(f"{file}.{TaskContext.get().taskAttemptId()}", file)  # whole files only; a task run again writes the same
             return pa.RecordBatch.from_pydict({"file": [file], "part": [part], "nth": [nth], "n_docs": [len(docs)], "n_tokens": [held]}, schema=schema)
 
-        for block in blocks(batches, "text", 2 << 20):
+        for block in blocks(batches, "text", BLOCK_BYTES):
             for doc, packed in zip(block.column("id").to_pylist(), cache.packed(block.column("text").to_pylist()), strict=True):
                 packed += end
                 if docs and held + len(packed) // 4 > shard_tokens:
@@ -256,9 +263,9 @@ def read_store(manifest: DataFrame, end_id: int | None = None, task_tokens: int
     """doc_id, start (ids of all documents before it), n_tokens and token_ids (binary) of every document in the files.
 
     A shard's ids come out of its planes all at once. With ``end_id``, its rank tables are
-    held against that: the end of each document, found by rank, must be ``end_id``, and
-    select must find each document's end among the places of ``end_id``; else the query
-    fails. A task reads files of about ``task_tokens`` ids.
+    held against that: the id at the end of each document, by access, must be ``end_id``, and
+    its count by rank must be that in the ids; else the query fails. A task reads files of
+    about ``task_tokens`` ids.
     """
     before = Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -277,10 +284,10 @@ def read_store(manifest: DataFrame, end_id: int | None = None, task_tokens: int
                 store, _ = pyarrow.fs.FileSystem.from_uri(row["folder"])
                 with store.open_input_stream(row["file"]) as file:
                     matrix, doc_ids, lengths = from_bytes(file.read())
-                ends = np.cumsum(lengths, dtype=np.int64)
+                ends, ids = np.cumsum(lengths, dtype=np.int64), matrix.ids()
                 if end_id is not None:
-                    check_ends(matrix, ends, end_id)
-                packed = matrix.ids().astype("<u4").tobytes()
+                    check_ends(matrix, ids, ends, end_id)
+                packed = ids.astype("<u4").tobytes()
                 starts = ends - lengths
                 cut = [packed[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + row["start"]), pa.array(lengths.astype(np.int64)), pa.array(cut, pa.binary())], schema=schema)
@@ -288,12 +295,9 @@ def read_store(manifest: DataFrame, end_id: int | None = None, task_tokens: int
     return files.repartition(max(1, -(-total // task_tokens))).mapInArrow(run, "doc_id long, start long, n_tokens long, token_ids binary")
 
 
-def check_ends(matrix: WaveletMatrix, ends: np.ndarray, end_id: int) -> None:
-    """Raises ValueError unless rank (access, count) and select (occurrences) both find ``end_id`` where documents end."""
-    places = matrix.occurrences(end_id)
-    if not len(ends):
-        return
-    if (matrix.access(ends - 1) != end_id).any() or matrix.count(end_id) != len(places) or not np.isin(ends - 1, places).all():
+def check_ends(matrix: WaveletMatrix, ids: np.ndarray, ends: np.ndarray, end_id: int) -> None:
+    """Raises ValueError unless access gives ``end_id`` where documents end, and rank its count in the ids."""
+    if len(ends) and ((matrix.access(ends - 1) != end_id).any() or matrix.count(end_id) != np.count_nonzero(ids == end_id)):
         raise ValueError("a file's rank tables don't lead to its documents' ends")
 
 

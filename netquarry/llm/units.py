@@ -9,6 +9,7 @@ Units repeat a lot more than texts do, so their ids can be looked up.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable
 
@@ -58,6 +59,15 @@ class UnitCache:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself: the collector would only walk the kept units, again and again
+        try:
+            return self._packed(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         if 2 * (len(self.spaced) + len(self.bare)) > self.most:
             self._age()
         spaced: set[str] = set()
@@ -67,18 +77,20 @@ class UnitCache:
             for i, text in enumerate(texts):
                 if added in text:
                     lines[i] = [[""]]
+        starts = []
         for cut in lines:
+            starts.append([parts.pop(0) for parts in cut])
+            bare.update(starts[-1])
             for parts in cut:
-                bare.add(parts[0])
-                spaced.update(parts[1:])
+                spaced.update(parts)
         self._learn(bare, self.bare, "")
         self._learn(spaced, self.spaced, " ")
         first, rest = self.bare.__getitem__, self.spaced.__getitem__
         out: list[bytes] = []
         odd: list[int] = []
-        for i, cut in enumerate(lines):
+        for i, (heads, cut) in enumerate(zip(starts, lines, strict=True)):
             try:
-                out.append(self.line_end.join([first(parts[0]) + b"".join(map(rest, parts[1:])) for parts in cut]))
+                out.append(self.line_end.join([first(head) + b"".join(map(rest, parts)) for head, parts in zip(heads, cut, strict=True)]))
             except TypeError:  # it has a unit that is None
                 out.append(b"")
                 odd.append(i)

@@ -97,8 +97,8 @@ def test_wavelet_matrix():
             assert m.occurrences(token) == np.flatnonzero(ids == token).tolist()
             assert m.count(token, n // 2) == int((ids[: n // 2] == token).sum())
     m = token_store.WaveletMatrix.of(np.array([5, 2, 7, 2], np.uint32))
-    token_store.check_ends(m, np.array([2, 4]), 2)
+    token_store.check_ends(m, m.ids(), np.array([2, 4]), 2)
     with pytest.raises(ValueError):
-        token_store.check_ends(m, np.array([1, 4]), 2)
+        token_store.check_ends(m, m.ids(), np.array([1, 4]), 2)
     with pytest.raises(ValueError):
         token_store.from_bytes(b"nothing of the kind")
