@@ -14,35 +14,66 @@ def _variant(record: Column, path: str) -> Column:
     return F.try_variant_get(record, f"$.{path}", "variant")
 
 
+def text_of(value: Column) -> Column:
+    """A VARIANT as text; '' if it isn't a string."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.lit(""))
+
+
 def text(record: Column, path: str) -> Column:
     """The string at path; '' if there is none or it isn't a string."""
-    return F.when(F.schema_of_variant(_variant(record, path)) == "STRING", F.try_variant_get(record, f"$.{path}", "string")).otherwise(F.lit(""))
+    return text_of(_variant(record, path))
 
 
-def first_text(record: Column, *paths: str) -> Column:
-    """The first string at one of the paths that isn't empty."""
-    return F.coalesce(*[F.nullif(text(record, p), F.lit("")) for p in paths], F.lit(""))
+def first_text(*values: Column) -> Column:
+    """The first of these VARIANTs that is a string and not empty; '' if none is."""
+    return F.coalesce(*[F.nullif(text_of(v), F.lit("")) for v in values], F.lit(""))
 
 
-def number(record: Column, path: str) -> Column:
-    """The number at path cut to a whole one, or a string of digits as one; else 0."""
-    kind, raw = F.schema_of_variant(_variant(record, path)), F.try_variant_get(record, f"$.{path}", "string")
+def number_of(value: Column) -> Column:
+    """A VARIANT's number cut to a whole one, or its string of digits as one; else 0."""
+    kind, raw = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     digits = F.when(raw.rlike("^[0-9]+$"), raw.try_cast("bigint"))
-    whole = F.try_variant_get(record, f"$.{path}", "double").try_cast("bigint")
+    whole = F.try_variant_get(value, "$", "double").try_cast("bigint")
     return F.coalesce(F.when(kind == "STRING", digits).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), whole), F.lit(0).cast("bigint"))
 
 
-def first_number(record: Column, *paths: str) -> Column:
-    """The first number at one of the paths that isn't 0."""
-    return F.coalesce(*[F.nullif(number(record, p), F.lit(0)) for p in paths], F.lit(0).cast("bigint"))
+def number(record: Column, path: str) -> Column:
+    """The number at path cut to a whole one, or a string of digits as one; else 0."""
+    return number_of(_variant(record, path))
+
+
+def first_number(*values: Column) -> Column:
+    """The first of these VARIANTs that is a number other than 0; 0 if none is."""
+    return F.coalesce(*[F.nullif(number_of(v), F.lit(0)) for v in values], F.lit(0).cast("bigint"))
+
+
+def items_of(value: Column) -> Column:
+    """A VARIANT's items, if it is an array; else none."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def tree(paths: list[str]) -> str:
+    """The struct type that takes all values at these dotted paths out of a VARIANT at once, each still a VARIANT."""
+    inner: dict[str, list[str]] = {}
+    for path in sorted(set(paths)):
+        name, _, rest = path.partition(".")
+        inner.setdefault(name, []).append(rest)
+    return f"struct<{','.join(f'{n}:{tree(r) if all(r) else "variant"}' for n, r in inner.items())}>"
+
+
+def at(column: str, path: str, paths: list[str]) -> Column:
+    """The VARIANT at path of a column of type tree(paths): where a shorter path ends on the way, it is looked up from there."""
+    names = path.split(".")
+    for k in range(1, len(names)):
+        if ".".join(names[:k]) in paths:
+            return _variant(F.col(".".join([column, *names[:k]])), ".".join(names[k:]))
+    return F.col(f"{column}.{path}")
 
 
-def texts(record: Column, path: str) -> Column:
-    """The strings of the array at path, or the one string there, as an array."""
-    items = F.coalesce(F.try_variant_get(record, f"$.{path}", "array<variant>"), F.array().cast("array<variant>"))
-    strings = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
-    alone = text(record, path)
-    return F.when(F.schema_of_variant(_variant(record, path)) == "STRING", F.array(alone)).otherwise(strings)
+def texts_of(value: Column) -> Column:
+    """The strings of a VARIANT array, or the one string that it is, as an array."""
+    strings = F.transform(F.filter(items_of(value), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.array(text_of(value))).otherwise(strings)
 
 
 def has(record: Column, path: str) -> Column:
@@ -60,9 +91,8 @@ def timestamp(value: Column) -> Column:
     return F.when(shaped, F.try_to_timestamp(plain, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
 
 
-def vlans(record: Column) -> Column:
-    """Tags of 1 to 4095 in the flat array at ``vlan``."""
-    items = F.coalesce(F.try_variant_get(record, "$.vlan", "array<variant>"), F.array().cast("array<variant>"))
-    numeric = F.filter(items, lambda x: F.schema_of_variant(x).isin("BIGINT", "DOUBLE") | F.schema_of_variant(x).startswith("DECIMAL"))
+def vlans_of(value: Column) -> Column:
+    """Tags of 1 to 4095 in a flat VARIANT array."""
+    numeric = F.filter(items_of(value), lambda x: F.schema_of_variant(x).isin("BIGINT", "DOUBLE") | F.schema_of_variant(x).startswith("DECIMAL"))
     values = F.transform(numeric, lambda x: F.try_variant_get(x, "$", "double"))
     return F.transform(F.filter(values, lambda x: (x > 0) & (x < 4096)), lambda x: x.cast("int"))

@@ -12,11 +12,15 @@ V6 = (
     r"(?i)^(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$)(?:(?:[0-9a-f]{1,4}:)*[0-9a-f]{1,4})?::(?:(?:[0-9a-f]{1,4}:)*[0-9a-f]{1,4})?"
     rf"|(?:[0-9a-f]{{1,4}}:){{6}}{OCTET}(?:\.{OCTET}){{3}}|(?:(?:[0-9a-f]{{1,4}}:)*[0-9a-f]{{1,4}})?::(?:[0-9a-f]{{1,4}}:)*{OCTET}(?:\.{OCTET}){{3}})$"
 )
+#: What may stand before an IPv4 address mapped into IPv6.
+MAPPED = r"(?:0{0,4}:){0,5}:?ffff:"
+#: Loopback, RFC 1918, link-local and link-local multicast addresses of IPv4, mapped or not.
+PRIVATE_V4 = rf"(?i)^(?:{MAPPED})?(?:(?:127|10)(?:\.{OCTET}){{3}}|(?:169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.{OCTET}){{2}}|224\.0\.0\.{OCTET})$"
 
 
 def v4_number(ip: Column) -> Column:
     """A dotted IPv4 address, or one mapped into IPv6, as a number; null for all else."""
-    plain = F.regexp_replace(ip, r"(?i)^(?:0{0,4}:){0,5}:?ffff:(?=[0-9.]+$)", "")
+    plain = F.regexp_replace(ip, rf"(?i)^{MAPPED}(?=[0-9.]+$)", "")
     parts = F.split(plain, r"\.")
     total = F.lit(0).cast("bigint")
     for k in range(4):
@@ -26,11 +30,8 @@ def v4_number(ip: Column) -> Column:
 
 def is_private(ip: Column) -> Column:
     """Loopback, link-local (multicast too), RFC 1918 and unique local addresses; false for what is no address."""
-    n = v4_number(ip)
-    inside = lambda start, bits: F.shiftright(n, 32 - bits) == (start >> (32 - bits))
-    four = inside(0x7F000000, 8) | inside(0xA9FE0000, 16) | inside(0xE0000000, 24) | inside(0x0A000000, 8) | inside(0xAC100000, 12) | inside(0xC0A80000, 16)
     six = ip.rlike(V6) & (ip.rlike(r"(?i)^(?:fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:|ff[0-9a-f]2:)") | ip.rlike(r"^(?:0{1,4}:){7}0{0,3}1$|^(?:(?:0{1,4}:)*0{1,4})?::(?:(?:0{1,4}:)*)0{0,3}1$"))
-    return F.coalesce(F.when(n.isNotNull(), four).otherwise(six), F.lit(False))
+    return F.coalesce(ip.rlike(PRIVATE_V4) | (ip.contains(":") & six), F.lit(False))
 
 
 def ip_key(ip: Column) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark import SparkContext
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def once(build: Callable) -> Callable:
@@ -24,3 +26,14 @@ def once(build: Callable) -> Callable:
         return held[app]
 
     return get
+
+
+_LITERALS: dict = {}
+
+
+def literal(value: str | float | int, name: str) -> Column:
+    """A named literal; the same Column each time in one application, as expressions of many literals take long to make."""
+    key = (id(SparkContext._active_spark_context), type(value), value, name)
+    if key not in _LITERALS:
+        _LITERALS[key] = F.lit(value).alias(name)
+    return _LITERALS[key]

@@ -13,7 +13,8 @@ ord, used as the kind needs:
 * finding: key is the kind, conclusion the severity, value what was seen
 * seen: the device took part; device: it was named by a payload only
 
-ord orders the facts of one event; all facts come from one pass over the events.
+ord orders the facts of one event; all facts come from one pass over the events. Signal
+names, conclusions and weights are fixed values.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import ja4, names, net
-from netquarry.functions.reuse import once
+from netquarry.functions.reuse import literal, once
 
 SCHEMA = "ip string, fact string, key string, value string, conclusion string, weight double, spec int, ord int"
 EXECUTABLE = (".exe", ".dll", ".ps1", ".scr", ".bat", ".jar", ".vbs")
@@ -69,8 +70,9 @@ def _local() -> Column:
 
 
 def fact(when: Column, ip: Column, kind: str, value: Column | str = "", key: Column | str = "", conclusion: Column | str = "", weight: float | Column = 0.0, spec: int = 1, ord: int = 0) -> Column:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    row = F.struct(ip.alias("ip"), F.lit(kind).alias("fact"), as_col(key).alias("key"), as_col(value).alias("value"), as_col(conclusion).alias("conclusion"), as_col(weight).cast("double").alias("weight"), F.lit(spec).alias("spec"), F.lit(ord).alias("ord"))
+    named = lambda x, name: x.alias(name) if isinstance(x, Column) else literal(x, name)
+    weight = weight.cast("double") if isinstance(weight, Column) else float(weight)
+    row = F.struct(named(ip, "ip"), named(kind, "fact"), named(key, "key"), named(value, "value"), named(conclusion, "conclusion"), named(weight, "weight"), named(spec, "spec"), named(ord, "ord"))
     return F.when(when, row)
 
 

@@ -36,7 +36,8 @@ def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
     """Typed events and facts of the ``events`` table, landed once a session: each gold table then is one job over the facts."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _HELD:
-        found = Inventory(landed(lines_of(spark, sf_dir), "lines"), NOW, policy=segmentation.parse_policy(oracle.ZONES))
+        lines = lines_of(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the table is one small file
+        found = Inventory(landed(lines, "lines"), NOW, policy=segmentation.parse_policy(oracle.ZONES))
         found.events = landed(found.events, "events")
         found.facts = landed(found.facts, "facts")
         _HELD[at] = found

@@ -70,21 +70,23 @@ def line_counts(records_: DataFrame) -> DataFrame:
 
 def events(records_: DataFrame) -> DataFrame:
     """Typed events: the columns that every handler needs, and a struct for each kind of payload (see sources.payloads)."""
-    v = F.col("record")
-    rows = records_.where(v.isNotNull()).select(
+    v, head = F.col("record"), lambda name: F.col(f"__head.{name}")
+    names = ["event_type", "timestamp", "src_ip", "dest_ip", "app_proto", "dest_port", "proto", "vlan"]
+    rows = records_.where(v.isNotNull()).select("seq", v, F.try_variant_get(v, "$", access.tree(names)).alias("__head"))
+    rows = rows.select(
         "seq",
         v,
-        access.text(v, "event_type").alias("event_type"),
-        access.timestamp(access.text(v, "timestamp")).alias("ts"),
-        access.text(v, "src_ip").alias("src_ip"),
-        access.text(v, "dest_ip").alias("dest_ip"),
-        access.text(v, "app_proto").alias("app_proto"),
-        access.number(v, "dest_port").alias("dest_port"),
-        F.lower(access.text(v, "proto")).alias("proto"),
-        access.vlans(v).alias("vlans"),
+        access.text_of(head("event_type")).alias("event_type"),
+        access.timestamp(access.text_of(head("timestamp"))).alias("ts"),
+        access.text_of(head("src_ip")).alias("src_ip"),
+        access.text_of(head("dest_ip")).alias("dest_ip"),
+        access.text_of(head("app_proto")).alias("app_proto"),
+        access.number_of(head("dest_port")).alias("dest_port"),
+        F.lower(access.text_of(head("proto"))).alias("proto"),
+        access.vlans_of(head("vlan")).alias("vlans"),
     )
-    rows = rows.withColumns({"src_private": net.is_private(F.col("src_ip")), "dest_private": net.is_private(F.col("dest_ip"))})
-    return rows.withColumns(payloads.columns()).drop("record")
+    rows = rows.withColumns({"src_private": net.is_private(F.col("src_ip")), "dest_private": net.is_private(F.col("dest_ip")), **payloads.raw()}).drop("record")
+    return rows.withColumns(payloads.columns()).drop(*payloads.raw())
 
 
 def in_window(rows: DataFrame, since: dt.datetime | None = None, until: dt.datetime | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """The typed payload of each event type: one struct a type, null in events of other types.
 
-Every field that an operator reads is named here once, with the paths it may stand at.
-Records are parsed into these columns once; what reads them later needs no JSON, and
-columns that a query doesn't use are pruned.
+Every field that an operator reads is named here once, with the paths it may stand at
+(fixed values: the sensor's format). A payload's values are taken out of its record all at
+once, for the type it has only; what reads the columns later needs no JSON, and columns
+that a query doesn't use are pruned.
 """
 
 from __future__ import annotations
@@ -63,34 +64,54 @@ NUMBERS = {
 }
 
 
-def _dns_names(v: Column) -> Column:
+def _dns_names(at) -> Column:
     """ip and name of the flat answer and of each of the list that names a local address."""
-    items = F.coalesce(F.try_variant_get(v, "$.dns.answers", "array<variant>"), F.array().cast("array<variant>"))
-    flat = F.struct(access.text(v, "dns.rdata").alias("ip"), access.text(v, "dns.rrname").alias("name"))
-    pairs = F.concat(F.array(flat), F.transform(items, lambda a: F.struct(access.text(a, "rdata").alias("ip"), access.text(a, "rrname").alias("name"))))
+    flat = F.struct(access.text_of(at("dns.rdata")).alias("ip"), access.text_of(at("dns.rrname")).alias("name"))
+    pairs = F.concat(F.array(flat), F.transform(access.items_of(at("dns.answers")), lambda a: F.struct(access.text(a, "rdata").alias("ip"), access.text(a, "rrname").alias("name"))))
     return F.filter(pairs, lambda p: net.is_private(p["ip"]) & (p["name"] != ""))
 
 
-def _default_communities(v: Column) -> Column:
-    lower = F.transform(access.texts(v, "snmp.community"), lambda c: F.lower(c))
+def _default_communities(at) -> Column:
+    lower = F.transform(access.texts_of(at("snmp.community")), lambda c: F.lower(c))
     return F.filter(lower, lambda c: c.isin("public", "private"))
 
 
-#: Fields that are lists.
-LISTS = {"dns": {"names": _dns_names}, "snmp": {"defaults": _default_communities}}
+#: Fields that are lists, and the paths they are made of.
+LISTS = {"dns": {"names": (_dns_names, ("dns.rdata", "dns.rrname", "dns.answers"))}, "snmp": {"defaults": (_default_communities, ("snmp.community",))}}
+
+
+def paths_of(name: str) -> list[str]:
+    """All paths that a payload's fields may stand at."""
+    found = [p for kind in (TEXTS, NUMBERS) for paths in kind.get(name, {}).values() for p in paths]
+    return found + [p for _, paths in LISTS.get(name, {}).values() for p in paths]
+
+
+def _raw(name: str) -> str:
+    return f"__{name}"
 
 
 @once
-def columns() -> dict[str, Column]:
-    """Payload name: its struct, from the columns record (VARIANT), event_type and app_proto."""
+def raw() -> dict[str, Column]:
+    """Column name: all values of a payload as one struct of VARIANTs, null in events of other types; from the columns record, event_type and app_proto."""
     v, event_type, app_proto = F.col("record"), F.col("event_type"), F.col("app_proto")
     out = {}
     for name, kinds in KINDS.items():
-        fields = [access.first_text(v, *paths).alias(f) for f, paths in TEXTS.get(name, {}).items()]
-        fields += [access.first_number(v, *paths).alias(f) for f, paths in NUMBERS.get(name, {}).items()]
-        fields += [read(v).alias(f) for f, read in LISTS.get(name, {}).items()]
         has = event_type.isin(*kinds)
         if "flow" in kinds:  # flows of an industrial protocol may carry its payload too
             has = (event_type == kinds[0]) | (event_type.isin(*kinds[1:]) & (app_proto == kinds[0]))
-        out[name] = F.when(has, F.struct(*fields))
+        out[_raw(name)] = F.when(has, F.try_variant_get(v, "$", access.tree(paths_of(name))))
+    return out
+
+
+@once
+def columns() -> dict[str, Column]:
+    """Payload name: its struct of typed fields, from the columns of raw()."""
+    out = {}
+    for name in KINDS:
+        column, paths = _raw(name), paths_of(name)
+        at = lambda path, column=column, paths=paths: access.at(column, path, paths)
+        fields = [access.first_text(*map(at, of)).alias(f) for f, of in TEXTS.get(name, {}).items()]
+        fields += [access.first_number(*map(at, of)).alias(f) for f, of in NUMBERS.get(name, {}).items()]
+        fields += [read(at).alias(f) for f, (read, _) in LISTS.get(name, {}).items()]
+        out[name] = F.when(F.col(column).isNotNull(), F.struct(*fields))
     return out

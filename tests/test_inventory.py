@@ -128,8 +128,8 @@ def test_empty_table(lines):
 
 def test_values(spark):
     row = spark.sql("""SELECT parse_json('{"a": {"s": "x", "n": 2.9, "d": "17", "neg": "-1", "list": ["p", 3, "q"], "none": null}}') AS v""")
-    v = F.col("v")
-    got = row.select(access.text(v, "a.s"), access.text(v, "a.n"), access.number(v, "a.n"), access.number(v, "a.d"), access.number(v, "a.neg"), access.texts(v, "a.list"), access.texts(v, "a.s"), access.has(v, "a.none"), access.has(v, "a.s"), access.first_text(v, "a.q", "a.s"), access.first_number(v, "a.neg", "a.d")).first()
+    v, at = F.col("v"), lambda path: F.try_variant_get("v", f"$.{path}", "variant")
+    got = row.select(access.text(v, "a.s"), access.text(v, "a.n"), access.number(v, "a.n"), access.number(v, "a.d"), access.number(v, "a.neg"), access.texts_of(at("a.list")), access.texts_of(at("a.s")), access.has(v, "a.none"), access.has(v, "a.s"), access.first_text(at("a.q"), at("a.s")), access.first_number(at("a.neg"), at("a.d"))).first()
     assert list(got) == ["x", "", 2, 17, 0, ["p", "q"], ["x"], False, True, "x", 17]
 
 
