@@ -42,7 +42,8 @@ def attributes(facts: DataFrame) -> DataFrame:
     """Everything of a device that is a plain aggregate of its facts."""
     seen = F.when(F.col("fact") == "seen", F.col("ts"))
     clean = names.hostname(F.col("value"))
-    certs = F.array_sort(F.collect_list(F.when(F.col("fact") == "cert", F.struct("seq", F.from_json("value", CERT).alias("cert")))))
+    # as sets: a certificate is seen as often as there is traffic
+    certs = F.array_sort(F.collect_set(F.when(F.col("fact") == "cert", F.col("value"))))
     return facts.where(~F.col("fact").isin(*OTHERS)).groupBy("ip").agg(
         _latest("mac").alias("mac"),
         _set("hostname", clean).alias("hostnames"),
@@ -55,7 +56,8 @@ def attributes(facts: DataFrame) -> DataFrame:
         _set("ja4").alias("ja4"),
         _set("vlan", F.col("value").cast("int")).alias("vlans"),
         _set("protocol").alias("protocols"),
-        F.transform(certs, lambda c: c["cert"]).alias("certs"),
+        F.transform(certs, lambda c: F.from_json(c, CERT)).alias("certs"),
+        F.count_if(F.col("fact") == "cert").alias("cert_sightings"),
         _set("share").alias("shares"),
         _number("file").alias("files"),
         F.min(seen).alias("first_seen"),
@@ -78,7 +80,7 @@ def devices(facts: DataFrame, evidence: DataFrame, winners: DataFrame) -> DataFr
         "ip", "mac", net.is_random_mac(F.col("mac")).alias("random_mac"), names.best_hostname(F.col("hostnames")).alias("hostname"), "hostnames", "users",
         F.coalesce("services", empty("array<struct<port:int,proto:string,app_proto:string,hits:bigint>>")).alias("services"),
         F.coalesce("vendor", F.lit("")).alias("vendor"), F.coalesce("class", F.lit("")).alias("class"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("os", F.lit("")).alias("os"),
-        "model", "firmware", "serial", "ot_identifiers", "ja3", "ja4", "vlans", "protocols", "certs", "shares", "files", "first_seen", "last_seen",
+        "model", "firmware", "serial", "ot_identifiers", "ja3", "ja4", "vlans", "protocols", "certs", "cert_sightings", "shares", "files", "first_seen", "last_seen",
         F.coalesce("activity", F.create_map().cast("map<bigint,bigint>")).alias("activity"), "alerts", "drops", "anomalies", "external_dsts",
         F.coalesce("evidence", empty("array<struct<signal:string,value:string,conclusion:string,weight:double>>")).alias("evidence"),
     )

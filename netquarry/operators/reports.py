@@ -122,6 +122,17 @@ def findings_shown(findings: DataFrame, shown: DataFrame) -> DataFrame:
     return findings.join(shown.select(F.col("ip").alias("device")).unionByName(shown.sparkSession.createDataFrame([("sensor",)], "device string")).distinct(), "device", "left_semi")
 
 
+def findings_held(findings: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row: findings that the chosen range doesn't show, and how many of them are critical."""
+    held = findings.where("device <> 'sensor'").join(shown.select(F.col("ip").alias("device")), "device", "left_anti")
+    return held.agg(F.count(F.lit(1)).alias("held"), F.count_if(F.col("severity") == "CRITICAL").alias("held_critical"))
+
+
+def findings_alive(findings: DataFrame, devices: DataFrame, before) -> DataFrame:
+    """Findings of devices seen since ``before``, and the sensor's."""
+    return findings_shown(findings, devices.where(F.col("last_seen") >= F.lit(before)).select("ip"))
+
+
 def presets(hours: int) -> list[tuple[int, bool]]:
     """The ranges offered for a capture of so many hours, and whether each can be chosen: the first that holds it all is the last."""
     out, enough = [], False

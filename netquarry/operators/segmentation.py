@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions import net
+from netquarry.operators.evidence import small
 
 
 class PolicyError(ValueError):
@@ -84,7 +85,7 @@ def _key(ip):
 def zone_of(addresses: DataFrame, zones: DataFrame) -> DataFrame:
     """ip and the zone of its most specific network (the first declared, of equal ones); addresses in no zone are left out."""
     rows = addresses.select("ip").distinct().withColumn("at", _key(F.col("ip"))).withColumn("kind", F.when(net.v4_number(F.col("ip")).isNotNull(), 4).otherwise(6))
-    hits = rows.join(F.broadcast(zones), (F.col("kind") == F.col("family")) & F.col("at").between(F.col("low"), F.col("high")))
+    hits = rows.join(small(zones), (F.col("kind") == F.col("family")) & F.col("at").between(F.col("low"), F.col("high")))
     return hits.groupBy("ip").agg(F.max_by("zone", F.struct("bits", -F.col("ord"))).alias("zone"))
 
 
@@ -95,7 +96,7 @@ def violations(facts: DataFrame, policy: Policy) -> DataFrame:
     zones = zone_of(crossing.select("ip").unionByName(crossing.select(F.col("dest").alias("ip"))), zone_ranges(spark, policy))
     allowed = spark.createDataFrame(sorted(policy.allowed) or [("", "")], "zone_from string, zone_to string")
     rows = crossing.join(zones.withColumnRenamed("zone", "zone_from"), "ip").join(zones.select(F.col("ip").alias("dest"), F.col("zone").alias("zone_to")), "dest")
-    rows = rows.where("zone_from <> zone_to").join(F.broadcast(allowed), ["zone_from", "zone_to"], "left_anti")
+    rows = rows.where("zone_from <> zone_to").join(small(allowed), ["zone_from", "zone_to"], "left_anti")
     where = F.when(F.col("port").cast("bigint") > 0, F.concat_ws(":", "dest", "port")).otherwise(F.col("dest"))
     seen = F.concat(F.col("zone_from"), F.lit(" to "), F.col("zone_to"), F.lit(", first at "), where)
     return rows.select("seq", "ts", "ip", F.lit("finding").alias("fact"), F.concat(F.lit("segmentation-"), "zone_from", F.lit("-to-"), "zone_to").alias("key"), seen.alias("value"), F.lit("HIGH").alias("conclusion"))

@@ -72,7 +72,8 @@ def appeared(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, ip, label, fields (field, from, to, list) of devices that both have and that differ."""
-    old, new = keyed(before), keyed(after)
+    used = list(dict.fromkeys([*SCALARS, "random_mac", "services", *ADDED.values()]))
+    old, new = keyed(before.select(*used)), keyed(after.select(*used))
     rows = old.select("key", F.struct(*[c for c in old.columns if c != "key"]).alias("a")).join(new.select("key", F.struct(*[c for c in new.columns if c != "key"]).alias("b")), "key")
 
     def change(field: str, start: Column, end: Column, when: Column, is_list: bool) -> Column:
@@ -105,6 +106,13 @@ def totals(before: DataFrame, after: DataFrame, found_before: DataFrame, found_a
     return out.withColumn("total", sum((F.col(c) for c in ("disappeared", "changed", "new_findings", "fixed_findings")), F.col("appeared")))
 
 
+def services(ports: Column, most: int = 8) -> Column:
+    """Port and application protocol of the first services, and how many more there are."""
+    shown = F.transform(F.slice(ports, 1, most), lambda s: F.concat(s["port"].cast("string"), F.when(s["app_proto"] != "", F.concat(F.lit("/"), s["app_proto"])).otherwise(F.lit(""))))
+    more = F.when(F.size(ports) > most, F.concat(F.lit(" +"), (F.size(ports) - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return F.concat(F.array_join(shown, ", "), more)
+
+
 def netbox(devices: DataFrame) -> DataFrame:
     """Rows for an address import: address, status, dns_name, description, comments."""
     dns = F.regexp_replace(F.regexp_replace(F.lower(F.trim("hostname")), "[^a-z0-9._-]", ""), r"^[.-]+|[.-]+$", "")

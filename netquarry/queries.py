@@ -301,7 +301,7 @@ def _(spark, d):
 
 @query("a12_counters", oracle.gold("SELECT ip, " + ", ".join(f"count(*) FILTER (WHERE fact = '{k}') AS {k}s" for k in ("file", "alert", "drop")) + ", count(*) FILTER (WHERE fact = 'anomaly') AS anomalies, count(*) FILTER (WHERE fact = 'cert') AS certs FROM f WHERE fact NOT IN ('finding', 'crossing') GROUP BY ip"))
 def _(spark, d):
-    return inventory(spark, d).devices.select("ip", "files", "alerts", "drops", "anomalies", F.size("certs").cast("long").alias("certs"))
+    return inventory(spark, d).devices.select("ip", "files", "alerts", "drops", "anomalies", F.col("cert_sightings").alias("certs"))
 
 
 @query("a13_findings", FI("SELECT device, kind, severity, count, first_seq FROM fi"))
@@ -438,6 +438,60 @@ def _(spark, d):
     return reports.findings_shown(inventory(spark, d).findings, shown(spark, d).select("ip")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("w03_classes_shown", oracle.gold(f"SELECT CASE WHEN {KNOWN} THEN class ELSE 'unknown' END AS class, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM dx JOIN vs USING (ip) GROUP BY 1", f"{oracle.HOSTS}, {DEVICE_SQL}, {SHOWN}"))
+def _(spark, d):
+    return reports.class_counts(shown(spark, d)).withColumn("percent", rounded("percent"))
+
+
+@query("w05_held_critical", oracle.gold("SELECT count(*) AS held, count(*) FILTER (WHERE severity = 'CRITICAL') AS held_critical FROM fi WHERE device <> 'sensor' AND device NOT IN (SELECT ip FROM vs)", f"{oracle.FINDINGS}, {SHOWN}"))
+def _(spark, d):
+    return reports.findings_held(inventory(spark, d).findings, shown(spark, d).select("ip"))
+
+
+@query("w06_presets", f"WITH h AS (SELECT floor(epoch(max(ts)) / 3600)::BIGINT - floor(epoch(min(ts)) / 3600)::BIGINT + 1 AS n FROM events) SELECT p::INT AS hours, coalesce(lag(p) OVER (ORDER BY p) < n, true) AS offered FROM h, (SELECT unnest([24, 72, 168, 336, 720]) AS p)")
+def _(spark, d):
+    hours = inventory(spark, d).extent.select(F.floor(F.unix_timestamp("last_event") / 3600) - F.floor(F.unix_timestamp("first_event") / 3600) + 1).first()[0]
+    return spark.createDataFrame(reports.presets(hours), "hours int, offered boolean")
+
+
+@query("j12_findings_alive", FI("SELECT device, kind, count FROM fi WHERE device = 'sensor' OR device IN (SELECT ip FROM f WHERE fact = 'seen' GROUP BY ip HAVING max(ts) >= TIMESTAMP '2024-01-12 06:30:00')"))
+def _(spark, d):
+    found = inventory(spark, d)
+    return reports.findings_alive(found.findings, found.devices, UNTIL).select("device", "kind", "count")
+
+
+@query("p02_last_span", f"{BASE} SELECT t AS event_type, count(*) AS n FROM e WHERE ts BETWEEN TIMESTAMP '2024-01-10 18:30:00' AND TIMESTAMP '2024-01-12 06:30:00' GROUP BY t")
+def _(spark, d):
+    return devices.event_counts(events.in_window(inventory(spark, d).events, *events.window(UNTIL, last="36h")))
+
+
+@query("p02_since_until", f"{BASE} SELECT t AS event_type, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-10 09:00:00' AND ts < TIMESTAMP '2024-01-13' GROUP BY t")
+def _(spark, d):
+    return devices.event_counts(events.in_window(inventory(spark, d).events, *events.window(NOW, since="2024-01-10T09:00", until="2024-01-12")))
+
+
+@query("o03_snapshot_in_order", devices_sql("SELECT row_number() OVER (ORDER BY ipn) AS place, ip FROM dx"))
+def _(spark, d):
+    return snapshot.exported(inventory(spark, d).devices).select(F.row_number().over(Window.orderBy(net.ip_key(F.col("ip")))).cast("long").alias("place"), "ip")
+
+
+@query("o05_identities_in_order", oracle.gold("SELECT row_number() OVER (ORDER BY count(DISTINCT ip) DESC, value) AS place, value AS \"user\" FROM f WHERE fact = 'user' GROUP BY value"))
+def _(spark, d):
+    return inventory(spark, d).identities.select(F.row_number().over(Window.orderBy(F.desc("n"), "user")).cast("long").alias("place"), "user")
+
+
+@query("o07_classes_in_order", devices_sql(f"SELECT row_number() OVER (ORDER BY count(*) DESC, CASE WHEN {KNOWN} THEN class ELSE 'unknown' END) AS place, CASE WHEN {KNOWN} THEN class ELSE 'unknown' END AS class FROM dx GROUP BY 2"))
+def _(spark, d):
+    return reports.class_counts(inventory(spark, d).devices).select(F.row_number().over(Window.orderBy(F.desc("n"), "class")).cast("long").alias("place"), "class")
+
+
+@query("r25_service_lists", oracle.gold("""SELECT ip, array_to_string(list_transform(s[1:8], lambda x: x.port || CASE WHEN x.app <> '' THEN '/' || x.app ELSE '' END), ', ') || CASE WHEN len(s) > 8 THEN ' +' || (len(s) - 8) || ' more' ELSE '' END AS services
+FROM (SELECT ip, list({'port': port, 'app': app} ORDER BY port) AS s FROM (
+  SELECT ip, key::INT AS port, coalesce(arg_max(conclusion, seq) FILTER (WHERE conclusion NOT IN ('', 'failed', 'unknown')), '') AS app FROM f WHERE fact = 'service' GROUP BY ALL) GROUP BY ip)"""))
+def _(spark, d):
+    return inventory(spark, d).devices.where(F.size("services") > 0).select("ip", snapshot.services(F.col("services")).alias("services"))
+
+
 @query("p10_search", devices_sql("SELECT ip FROM dx WHERE contains(lower(concat_ws(' ', ip, hostname, vendor, os, class, model, firmware, serial, replace(ot_identifiers, ',', ' '), replace(users, ',', ' '))), 'siemens')"))
 def _(spark, d):
     return reports.search(inventory(spark, d).devices, "Siemens").select("ip")
@@ -520,6 +574,12 @@ def _(spark, d):
     return snapshot.findings_only_in(whole.findings, first.findings).select("device", "kind")
 
 
+@query("d06_totals", f"SELECT *, appeared + disappeared + changed + new_findings + fixed_findings AS total FROM (SELECT (SELECT count(*) FROM ({SQL['d01_appeared']})) AS appeared, (SELECT count(*) FROM ({SQL['d01_disappeared']})) AS disappeared, (SELECT count(DISTINCT key) FROM ({SQL['d02_changed_fields']})) AS changed, (SELECT count(*) FROM ({SQL['d05_new_findings']})) AS new_findings, (SELECT count(*) FROM ({OLD_FINDINGS} EXCEPT SELECT device, kind FROM ({FI('SELECT device, kind FROM fi')}))) AS fixed_findings)")
+def _(spark, d):
+    first, whole = halves(spark, d)
+    return snapshot.totals(first.devices, whole.devices, first.findings, whole.findings)
+
+
 @query("r13_hostnames", r"SELECT page_id, CASE WHEN n NOT IN ('', '*') AND NOT regexp_matches(n, '[ \t]') THEN lower(n) END AS hostname FROM (SELECT page_id, regexp_replace('.' || regexp_extract(url, '://([^/]*)', 1) || CASE WHEN page_id % 5 = 0 THEN ' x. ' ELSE '. ' END, '^[. ]+|[. ]+$', '', 'g') AS n FROM pages)")
 def _(spark, d):
     host = F.concat(F.lit("."), F.regexp_extract("url", "://([^/]*)", 1), F.when(F.col("page_id") % 5 == 0, F.lit(" x. ")).otherwise(F.lit(". ")))
