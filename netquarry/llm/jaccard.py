@@ -93,7 +93,7 @@ def short_prefix_size(n: int, t: Fraction) -> int:
 
 
 def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Fraction, verify: bool, earlier: list[set[int]] | None = None, compared: list | None = None) -> list[tuple[int, int]]:
-    """Pairs that pass the length and suffix filters; with verify, only links, and no more than connect what links connect.
+    """With verify, links, no more than connect what links connect; without, each row that passes the length and suffix filters with another, as a pair with itself.
 
     sets: in rare-first order (or only their sizes matter, without verify); parts: the
     counts by part; sides: pairs are of two different sides, or any if there is one side;
@@ -112,7 +112,7 @@ def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Frac
             i = root[i]
         return i
 
-    found = []
+    found, kept = [], np.zeros(len(order), bool)
     plain = [np.sort(sets[i]) for i in order] if verify else []
     where: list[dict[int, int] | None] = [None] * len(order)
     for i in range(len(order) - 1):
@@ -126,14 +126,13 @@ def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Frac
         need = -((-t.numerator * (n + sizes[other])) // (t.numerator + t.denominator))
         apart = np.abs(parts[other] - parts[i]).sum(axis=1)  # suffix filter: the sets differ in so many shingles at least
         other = other[apart <= n + sizes[other] - 2 * need]
-        if earlier and earlier[order[i]]:
-            met = earlier[order[i]]
-            other = np.array([j for j in other.tolist() if met.isdisjoint(earlier[order[j]])], np.int64)
         if not verify:
-            found += [(int(order[i]), int(order[j])) for j in other]
+            if len(other):
+                kept[i] = kept[other] = True
             continue
+        met = earlier[order[i]] if earlier else ()
         for j in other.tolist():
-            if find(i) == find(j):
+            if find(i) == find(j) or (met and not met.isdisjoint(earlier[order[j]])):
                 continue
             need = least_overlap(n, int(sizes[j]), t)
             for x in (i, j):
@@ -151,7 +150,7 @@ def linked(sets: list[np.ndarray], parts: np.ndarray, sides: np.ndarray, t: Frac
             if len(np.intersect1d(plain[i], plain[j], assume_unique=True)) >= need:
                 found.append((int(order[i]), int(order[j])))
                 root[find(j)] = find(i)
-    return found
+    return found if verify else [(x, x) for x in order[kept].tolist()]
 
 
 def _by_text(df: DataFrame, run, kinds: str) -> DataFrame:
@@ -167,8 +166,7 @@ def first_pass(df: DataFrame, k: int) -> DataFrame:
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         for block in blocks(batches, "text", 2 << 20):
             sets, digests = shingle_sets(block.column("text").to_pylist(), k)
-            at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), return_counts=True)
-            total[at.astype(np.int64)] += n.astype(np.uint32)
+            np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
             size = len(sets)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([part_counts(s) for s in sets], pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], schema=schema)
         for at in range(0, len(total), SLICE):
@@ -310,7 +308,7 @@ def candidates(meetings: DataFrame, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _meetings(batches):
             parts = np.frombuffer(b"".join(m["parts"]), np.uint8).reshape(-1, PARTS)
-            kept = sorted({x for pair in linked(m["n"], parts, np.array(m["b"]), t, verify=False, earlier=earlier_leaders(m)) for x in pair})
+            kept = sorted({x for pair in linked(m["n"], parts, np.array(m["b"]), t, verify=False) for x in pair})
             if kept:
                 yield pa.RecordBatch.from_pydict({c: [m[c][i] for i in kept] for c in schema.names}, schema=schema)
 
