@@ -370,7 +370,8 @@ def similar(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     counts = spark.sparkContext.broadcast(bucket_counts(first))
     summary = first.where("at is null").select("id", "digest", "n", "parts")
     reps = written(with_group_min(summary, "digest", "id", "rep").select("id", "digest", "n", "parts", F.coalesce("rep", "id").alias("rep")), "representatives")
-    met = met_by_shingle(prefixes(rows, k, t, counts), t).groupBy("id").agg(F.collect_list("leader").alias("leaders"))
+    prefixed = written(prefixes(rows, k, t, counts), "prefixes")  # read twice
+    met = met_by_shingle(prefixed, t).groupBy("id").agg(F.collect_list("leader").alias("leaders"))
     one = reps.where("digest is not null").select("id", "digest", "n", "parts", "rep").dropDuplicates(["id", "digest"])
     met = met.join(one, "id").groupBy(F.col("rep").alias("id")).agg(F.collect_set(F.struct("digest", "n", "parts")).alias("texts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leaders")))).alias("leaders"))
     met = met.select("id", "leaders", F.explode("texts").alias("text"))  # one, unless an id has several
