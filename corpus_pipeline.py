@@ -1,6 +1,8 @@
 """A corpus pipeline in five stages, each an operator of netquarry.llm, each written as Parquet for the next.
 
-Rows without a doc_id can't be told apart and go with the first stage.
+Rows without a doc_id can't be told apart and go with the first stage. Null and empty
+texts have no letters and go with it too; repeated rows of one id stay or go together;
+extra columns of any name stay until the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: Language identification can't be expressed in SQL; tests hold the stages against brute force.
+#: Language identification can't be expressed in SQL; tests hold each stage's operator against brute force, and the stages' columns and rows.
 ORACLE_SQL = None
 
 
