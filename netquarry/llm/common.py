@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -84,8 +85,16 @@ def with_group_min(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return join_hot(df, least, key, value)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again, and would keep the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux; others have none
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least."""
+    """Cut record batches so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least; freed memory goes back at the end."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = held = 0
@@ -96,6 +105,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    release()
 
 
 def ship(spark: SparkSession) -> None:

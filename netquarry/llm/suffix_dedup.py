@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, MapType, StructField, StructType
 
-from .common import quoted, written
+from .common import quoted, release, written
 from .suffixes import common_prefix, previous_factors, suffix_array
 
 GRAM = 20
@@ -122,6 +122,7 @@ class Shard:
     """The documents of a shard end to end, by id and then text."""
 
     def __init__(self, table: pa.Table):
+        release()  # what the group before left
         ids = table.column("id").to_pylist()
         texts = [x.as_buffer() if x.is_valid else b"" for chunk in table.column("body").chunks for x in chunk]
         texts = [bytes(x) for x in texts]
@@ -224,6 +225,7 @@ def shared_anchors(shards: DataFrame, length: int, buckets: int, many: int = MAN
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([r[1] for r in rows], pa.int64()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
         hashes, several, times = zip(*[unpack(x.as_py()) for x in table.column("data")], strict=True)
         sizes = [len(h) for h in hashes]
         every = np.concatenate([np.cumsum(h) for h in hashes])
@@ -313,6 +315,7 @@ def earlier_frequent(sent: DataFrame, length: int) -> DataFrame:
     """shard, data: spans of the strings sent to cells of which a document of another shard has a smaller id."""
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
         parts = [unpack(x.as_py()) for x in table.column("data")]
         strings, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.lexsort((ids, np.ascontiguousarray(strings).view(f"S{length}").ravel()))
@@ -456,6 +459,7 @@ def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
     left = length - GRAM
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
         parts = [unpack(x.as_py()) for x in table.column("data")]
         short, ids, doc, place, edge, around = (np.concatenate(x) for x in zip(*parts, strict=True))
         shard = np.repeat(table.column("shard").to_numpy(), [len(p[0]) for p in parts])
