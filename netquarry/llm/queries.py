@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, jaccard, langid, quality, suffix_dedup, token_store, toxicity, warc
+from . import bpe, chat, clustering, decontam, jaccard, langid, quality, search, suffix_dedup, token_store, toxicity, warc
 from .common import ship
 
 #: The vocabularies that the queries use; operators take any path.
@@ -63,13 +63,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.summary(spark, table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_weighted_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2 with all its evidence: markup, address and host of ``pages``."""
     return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_warc_zstd, op5_suffix_array_dedup, op6_chat_perspectives, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity, op10_token_store, language_of_pages)
+    found = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_warc_zstd, op5_suffix_array_dedup, op6_chat_perspectives, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity, op10_token_store, op11_tiered_search, op13_weighted_clustering, language_of_pages)
     return {f.__name__: f for f in found}
 
 
@@ -101,4 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_perspectives": chat.ORACLE,
         "op7_ngram_jaccard_join": jaccard.ORACLE,
         "op8_decontamination": decontam.ORACLE,
+        "op11_tiered_search": search.ORACLE,
+        "op13_weighted_clustering": clustering.ORACLE,
     }
