@@ -103,7 +103,8 @@ def cluster(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     distinct = written(kept.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "clustering-distinct")
     final = lloyd(distinct, start, rounds)
     found = written(assigned(distinct, final), "clustering-assigned")
-    return join_hot(kept, found.select("q", "cluster", "distance"), "q", "id").select("id", "cluster", "distance"), final
+    key = F.array_join("q", ",").alias("key")
+    return join_hot(written(kept.select("id", key), "clustering-keys"), found.select(key, "cluster", "distance"), "key", "id").select("id", "cluster", "distance"), final
 
 
 def report(embeddings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, clustering, decontam, jaccard, langid, quality, search, suffix_dedup, token_store, toxicity, warc
+from . import bpe, chat, clustering, decontam, jaccard, langid, neighbours, quality, search, suffix_dedup, token_store, toxicity, warc
 from .common import ship
 
 #: The vocabularies that the queries use; operators take any path.
@@ -67,6 +67,10 @@ def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_weighted_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.report(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_warc_zstd, op5_suffix_array_dedup, op6_chat_perspectives, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity, op10_token_store, op11_tiered_search, op13_weighted_clustering, language_of_pages)
+    found = (op1_byte_bpe, op2_language_id, op3_quality_rules, op4_warc_zstd, op5_suffix_array_dedup, op6_chat_perspectives, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity, op10_token_store, op11_tiered_search, op12_neighbour_votes, op13_weighted_clustering, language_of_pages)
     return {f.__name__: f for f in found}
 
 
