@@ -1,9 +1,9 @@
 """Operator 11: ranked lexical search over a tiered index of the documents.
 
-The index is a table with a row for each shard, a run of documents of a few MB. Of every
-term, a shard holds its postings (document, impact) from the highest impact down in three
-tiers, each in columns of its own, and for each tier the residual bound: the highest impact
-below it. An impact is what one occurrence count adds before it is weighted, so a score is
+The index is a table with a row for each term of each shard, a run of documents of a few MB.
+The row holds the term's postings there (document, impact) from the highest impact down in
+three tiers, each in columns of its own, and for each tier the residual bound: the highest
+impact below it. An impact is what one occurrence count adds before it is weighted, so a score is
 a sum of weights times impacts.
 
 A search reads the first tier of all shards. What it has found are lower bounds of scores,
@@ -23,13 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, quoted, release, written
-from .decontam import TABLE, words_of
+from .decontam import TABLE
 
 #: Text of a shard; the postings of a term in its first tier, and in the first two together.
 SHARD_BYTES, TIERS = 2 << 20, (4, 32)
@@ -43,11 +42,9 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PART = 1 << 20
 
 INTS = pa.list_(pa.int32())
-FIELDS = [("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("df", INTS)]
-FIELDS += [(f"{name}{t}", INTS) for t in (1, 2, 3) for name in ("ends", "docs", "impacts")] + [("rest1", INTS), ("rest2", INTS)]
-SCHEMA = ", ".join(f"{n} {'bigint' if n == 'shard' else 'array<bigint>' if n == 'doc_ids' else 'array<string>' if n == 'terms' else 'array<int>'}" for n, _ in FIELDS)
-#: Columns that a search down to a tier reads.
-COLUMNS = {t: ["shard", "doc_ids", "terms", *[f"{n}{k}" for k in range(1, t + 1) for n in ("ends", "docs", "impacts")], *[f"rest{k}" for k in (1, 2)]] for t in (1, 2, 3)}
+FIELDS = [("shard", pa.int64()), ("term", pa.string()), ("df", pa.int32()), ("ids", pa.list_(pa.int64()))]
+FIELDS += [(f"{name}{t}", INTS) for t in (1, 2, 3) for name in ("docs", "impacts")] + [("rest1", pa.int32()), ("rest2", pa.int32())]
+SCHEMA = ", ".join(f"{n} {pa_type}" for n, pa_type in [("shard", "bigint"), ("term", "string"), ("df", "int"), ("ids", "array<bigint>"), *[(n, "array<int>") for n, kind in FIELDS if kind == INTS], ("rest1", "int"), ("rest2", "int")])
 
 
 class Vocabulary(dict):
@@ -58,15 +55,18 @@ class Vocabulary(dict):
         return code
 
 
-def term_codes(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
-    """The codes of a text's terms, worked out part by part, so that a long text isn't held as words all at once."""
-    data, out, at = (text or "").encode().translate(TABLE), [np.zeros(0, np.int64)], 0
+def term_parts(text: str | None) -> Iterator[list[bytes]]:
+    """A text's terms part by part, so that a long text isn't held as words all at once."""
+    data, at = (text or "").encode().translate(TABLE), 0
     while at < len(data):
         end = data.find(b" ", at + PART)
-        words = data[at : end if end >= 0 else len(data)].split()
-        out.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+        yield data[at : end if end >= 0 else len(data)].split()
         at = end if end >= 0 else len(data)
-    return np.concatenate(out)
+
+
+def term_codes(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
+    """The codes of a text's terms."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)) for words in term_parts(text))])
 
 
 def impact(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) -> np.ndarray:
@@ -75,52 +75,67 @@ def impact(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) -> np.ndar
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
-def shard_row(key: int, ids: list, texts: list, documents: int, terms: int, tiers: tuple[int, int] = TIERS) -> pa.RecordBatch:
-    """One row of the index: the shard's postings by term, each term's from the highest impact down."""
+def shard_rows(key: int, ids: list, texts: list, documents: int, terms: int, tiers: tuple[int, int] = TIERS) -> pa.RecordBatch:
+    """A shard's rows of the index: one without a term that has the ids of its documents, in their order, and one a term."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+    ids = [ids[i] for i in order]
     vocabulary = Vocabulary()
-    codes = [term_codes(t, vocabulary) for t in texts]
-    n = np.array([len(c) for c in codes], np.int64)
-    size = max(1, len(vocabulary))
-    pairs, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + np.concatenate(codes), return_counts=True)
-    doc, code = pairs // size, pairs % size
+    codes = [term_codes(texts[i], vocabulary) for i in order]
+    n, v = np.array([len(c) for c in codes], np.int64), len(vocabulary)
+    pairs, tf = np.unique(np.repeat(np.arange(len(n)), n) * max(1, v) + np.concatenate(codes), return_counts=True)
+    doc, code = pairs // max(1, v), pairs % max(1, v)
     worth = impact(tf, n[doc], documents, terms)
     order = np.lexsort((doc, -worth, code))
     doc, code, worth = doc[order].astype(np.int32), code[order], worth[order].astype(np.int32)
-    df = np.bincount(code, minlength=len(vocabulary))
+    df = np.bincount(code, minlength=v)
     first = np.cumsum(df) - df
     place = np.arange(len(code)) - first[code]
     tier = 1 + (place >= tiers[0]) + (place >= tiers[1])
-    row = {"shard": [key], "doc_ids": [ids], "terms": [[t.decode() for t in vocabulary]], "df": [df.astype(np.int32)]}
+    row = {"shard": pa.array(np.full(v + 1, key)), "term": pa.array(["", *(t.decode() for t in vocabulary)]), "df": pa.array(np.r_[0, df].astype(np.int32)), "ids": pa.array([ids, *[None] * v], pa.list_(pa.int64()))}
     for t in (1, 2, 3):
         own = tier == t
-        row |= {f"ends{t}": [np.cumsum(np.bincount(code[own], minlength=len(vocabulary))).astype(np.int32)], f"docs{t}": [doc[own]], f"impacts{t}": [worth[own]]}
+        ends = np.r_[0, 0, np.cumsum(np.bincount(code[own], minlength=v))].astype(np.int32)
+        row |= {f"docs{t}": pa.ListArray.from_arrays(ends, pa.array(doc[own])), f"impacts{t}": pa.ListArray.from_arrays(ends, pa.array(worth[own]))}
     for t in (1, 2):
-        rest = np.zeros(len(df), np.int32)
+        rest = np.zeros(v + 1, np.int32)
         more = np.flatnonzero(df > tiers[t - 1])
-        rest[more] = worth[first[more] + tiers[t - 1]]
-        row[f"rest{t}"] = [rest]
-    return pa.RecordBatch.from_arrays([pa.array(row[n], kind) for n, kind in FIELDS], schema=pa.schema(FIELDS))
+        rest[more + 1] = worth[first[more] + tiers[t - 1]]
+        row[f"rest{t}"] = pa.array(rest)
+    return pa.RecordBatch.from_arrays([row[n] for n, _ in FIELDS], schema=pa.schema(FIELDS))
 
 
 @dataclass
 class Index:
-    """Documents with a term, the terms of all of them, and the shards' table."""
+    """Documents with a term, the terms of all of them, and the shards' rows."""
 
     documents: int
     terms: int
     shards: DataFrame
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 5_000) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have a term, and how many terms they have."""
+    count = total = 0
+    for block in blocks(batches, "text", SHARD_BYTES):
+        n = [sum(map(len, term_parts(t))) for t in block.column("text").to_pylist()]
+        count, total = count + sum(1 for x in n if x), total + sum(n)
+    yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([total])], names=["documents", "terms"])
+
+
 def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, tiers: tuple[int, int] = TIERS) -> Index:
     """Index all documents: one pass counts terms, one makes shards of whatever documents follow each other.
 
-    Nothing is shuffled. Every row is a document, rows of one id too; null and empty texts
-    have no terms and take part in nothing; ids are whole numbers, or null. Other columns
+    Nothing is shuffled. Every row is a document, rows of one id too; texts without terms,
+    null ones too, are never found; ids are whole numbers, or null. Other columns
     aren't read. A text longer than a shard is a shard by itself.
     """
     rows = documents.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    n = F.regexp_count("text", F.lit(TERM))
-    count, total = rows.agg(F.count_if(n > 0), F.sum(n.cast("long"))).first()
+    count, total = rows.select("text").mapInArrow(_sizes, "documents long, terms long").agg(F.sum("documents"), F.sum("terms")).first()
     count, total = int(count or 0), int(total or 0)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,24 +144,25 @@ def build(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids, texts, size = [], [], 0
         for block in blocks(batches, "text", shard_bytes):
             for i, text in zip(block.column("id").to_pylist(), block.column("text").to_pylist(), strict=True):
+                text = text or ""
                 if size and size + len(text) > shard_bytes:
-                    yield shard_row(start + k, ids, texts, count, total, tiers)
+                    yield from sliced(shard_rows(start + k, ids, texts, count, total, tiers))
                     ids, texts, size, k = [], [], 0, k + 1
                 ids.append(i)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield shard_row(start + k, ids, texts, count, total, tiers)
+            yield from sliced(shard_rows(start + k, ids, texts, count, total, tiers))
         release()
 
-    return Index(count, total, written(rows.where(n > 0).mapInArrow(shards, SCHEMA), "search-index"))
+    return Index(count, total, written(rows.mapInArrow(shards, SCHEMA), "search-index"))
 
 
 @dataclass
 class Block:
     """Items that are searched together, as triples: item, term, and how much an impact of that term counts for that item."""
 
-    vocabulary: list[str]
+    terms: int
     item: np.ndarray
     term: np.ndarray
     weight: np.ndarray
@@ -157,62 +173,82 @@ def weight(documents: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
 
 
-def _document_counts(index: Index, vocabulary: list[str]) -> dict[int, int]:
-    """In how many documents each term stands, by its place in the vocabulary."""
-    shared = index.shards.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, wanted = np.zeros(len(shared.value), np.int64), pa.array(shared.value, pa.string())
-        for batch in batches:
-            for terms, df in zip(batch.column("terms"), batch.column("df"), strict=True):
-                at = pc.index_in(wanted, value_set=terms.values)
-                found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                total[found] += df.values.to_numpy()[at.drop_null().to_numpy()]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
-
-    rows = index.shards.select("terms", "df").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # of the block's terms
-    return {r["term"]: r["n"] for r in rows}
+def _looked_up(index: Index, vocabulary: DataFrame) -> DataFrame:
+    """The rows of a block's terms, by their places in its vocabulary; the ids' rows have -1."""
+    return index.shards.join(F.broadcast(vocabulary), "term")
 
 
-def _block(index: Index, texts: list[str]) -> Block:
-    counts = [Counter(words_of(t)) for t in texts]
-    vocabulary = sorted({w for c in counts for w in c})
-    place, df = {w: k for k, w in enumerate(vocabulary)}, _document_counts(index, [w.decode() for w in vocabulary])
+def _block(index: Index, texts: list[str]) -> tuple[Block, DataFrame]:
+    """The block, and the table of its terms (of items of a bounded size)."""
+    counts = [Counter(w for part in term_parts(t) for w in part) for t in texts]
+    terms = sorted({w for c in counts for w in c})
+    vocabulary = index.shards.sparkSession.createDataFrame([("", -1), *((w.decode(), k) for k, w in enumerate(terms))], "term string, code int")
+    df = {r["code"]: r["df"] for r in _looked_up(index, vocabulary).where("code >= 0").groupBy("code").agg(F.sum("df").alias("df")).collect()}  # a row a term of the block
+    place = {w: k for k, w in enumerate(terms)}
     triples = [(k, place[w], n * weight(index.documents, df[place[w]])) for k, c in enumerate(counts) for w, n in c.items() if place[w] in df]
     item, term, worth = (np.array([t[j] for t in triples], np.int64) for j in range(3))
-    return Block([w.decode() for w in vocabulary], item, term, worth, len(texts))
+    return Block(len(terms), item, term, worth, len(texts)), vocabulary
 
 
-class Shard:
-    """A row of the index, met by a block of items."""
+def _shards(index: Index, vocabulary: DataFrame, depth: int) -> DataFrame:
+    """The block's rows down to a tier, each shard's together in one task."""
+    columns = ["shard", "code", "ids", *[f"{n}{k}" for k in range(1, depth + 1) for n in ("docs", "impacts")], *[f"rest{k}" for k in range(1, min(depth, 2) + 1)]]
+    return _looked_up(index, vocabulary).select(*columns)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard")
 
-    def __init__(self, row: dict, block: Block):
-        self.row = {n: v.values for n, v in row.items() if n not in ("shard", "doc_ids")}
-        self.n = len(row["doc_ids"].values)
-        at = pc.index_in(pa.array(block.vocabulary, pa.string()), value_set=self.row["terms"]).fill_null(-1).to_numpy()[block.term]
+
+class Shard:
+    """A shard's rows, met by a block of items."""
+
+    def __init__(self, rows: pa.Table, block: Block):
+        self.rows, code = rows.combine_chunks(), rows.column("code").to_numpy()
+        self.key = rows.column("shard")[0].as_py()
+        ids = self.rows.column("ids").filter(pa.array(code < 0)).combine_chunks().flatten()
+        self.known, self.ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        self.n = len(self.ids)
+        place = np.full(block.terms + 1, -1)  # the last is of the ids' row
+        place[code] = np.arange(len(code))
+        at = place[block.term]
         here = at >= 0
         self.item, self.term, self.weight = block.item[here], at[here], block.weight[here]
 
     def numbers(self, name: str) -> np.ndarray:
-        return self.row[name].to_numpy()
+        return self.rows.column(name).to_numpy().astype(np.int64)
 
     def add(self, sums: np.ndarray, bounds: np.ndarray, items: np.ndarray, tier: int, rest: np.ndarray) -> None:
         """Add a tier's postings for the chosen items (their rows in sums, or -1), to the sums and to what is known of upper bounds."""
         own = np.flatnonzero(items[self.item] >= 0)
-        ends = self.numbers(f"ends{tier}").astype(np.int64)
-        last = ends[self.term[own]]
-        first = np.where(self.term[own] > 0, ends[self.term[own] - 1], 0)
-        n = last - first
-        pair = np.repeat(np.arange(len(own)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[pair]
-        own = own[pair]
-        place = items[self.item[own]] * self.n + self.numbers(f"docs{tier}")[at]
-        worth = self.numbers(f"impacts{tier}")[at].astype(np.int64)
+        docs, impacts = (self.rows.column(f"{n}{tier}").combine_chunks() for n in ("docs", "impacts"))
+        ends = docs.offsets.to_numpy().astype(np.int64)
+        first = ends[self.term[own]]
+        n = ends[self.term[own] + 1] - first
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+        own = np.repeat(own, n)
+        place = items[self.item[own]] * self.n + docs.values.to_numpy()[at]
+        worth = impacts.values.to_numpy()[impacts.offsets[0].as_py() - docs.offsets[0].as_py() + at].astype(np.int64)
         np.add.at(sums, place, self.weight[own] * worth)
         np.add.at(bounds, place, self.weight[own] * (worth - rest[self.term[own]]))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[Shard]:
+    """Shard after shard of rows that come in their order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and (b > a) and held[0].column("shard")[0].as_py() != shard[a]:
+                yield Shard(pa.Table.from_batches(held), block)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield Shard(pa.Table.from_batches(held), block)
+
+
 def _scored(shard: Shard, block: Block, thresholds: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Some items at a time: their numbers, lower bounds by document, and the highest upper bound of a document that isn't known exactly (-1: all are).
 
@@ -227,7 +263,7 @@ def _scored(shard: Shard, block: Block, thresholds: np.ndarray, depth: int) -> I
             items = np.full(block.size, -1, np.int64)
             items[chosen[open_]] = np.arange(len(open_))
             # bounds are worked out anew from this tier's residual bounds, over the tiers so far
-            rest = shard.numbers(f"rest{tier}").astype(np.int64) if tier < 3 else np.zeros(len(shard.row["terms"]), np.int64)
+            rest = shard.numbers(f"rest{tier}").astype(np.int64) if tier < 3 else np.zeros(shard.rows.num_rows, np.int64)
             own, bounds = np.zeros(len(open_) * shard.n, np.int64), np.zeros(len(open_) * shard.n, np.int64)
             for t in range(1, tier + 1):
                 shard.add(own, bounds, items, t, rest)
@@ -251,26 +287,22 @@ def _highest(values: np.ndarray, top: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - top, axis=1)[:, -top:]
 
 
-def _thresholds(index: Index, shared, before: np.ndarray, depth: int, top: int, spark) -> tuple[np.ndarray, DataFrame]:
+def _thresholds(index: Index, vocabulary: DataFrame, shared, before: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, DataFrame]:
     """For each item the top-th highest of all lower bounds (1 at least), and the written pairs (shard, item, upper bound) that aren't proven by ``before``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         best = np.zeros((block.size, top), np.int64)
-        empty = pa.array([], pa.int64())
-        for batch in batches:
-            for k, row in enumerate(_rows(batch)):
-                shard, key = Shard(row, block), batch.column("shard")[k].as_py()
-                for chosen, sums, most in _scored(shard, block, before, depth):
-                    best[chosen] = _highest(np.c_[best[chosen], _highest(sums, top)], top)
-                    open_ = most >= before[chosen]
-                    n = int(open_.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(chosen[open_]), pa.array(most[open_])], names=["shard", "item", "bound"])
+        for shard in _groups(batches, block):
+            for chosen, sums, most in _scored(shard, block, before, depth):
+                best[chosen] = _highest(np.c_[best[chosen], _highest(sums, top)], top)
+                open_ = most >= before[chosen]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(open_.sum()), shard.key)), pa.array(chosen[open_]), pa.array(most[open_])], names=["shard", "item", "bound"])
         item, _ = np.nonzero(best)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(item), pa.int64()), pa.array(item), pa.array(best[best > 0])], names=["shard", "item", "bound"])
-        yield pa.RecordBatch.from_arrays([empty, empty, empty], names=["shard", "item", "bound"])
+        release()
 
-    rows = written(index.shards.select(*COLUMNS[depth]).mapInArrow(run, "shard long, item long, bound long"), "search-bounds")
+    rows = written(_grouped(_shards(index, vocabulary, depth)).mapInArrow(run, "shard long, item long, bound long"), "search-bounds")
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound")))
     found = rows.where("shard IS NULL").withColumn("place", place).where(F.col("place") == top).select("item", "bound").collect()  # one number an item of the block
     out = np.ones(len(before), np.int64)
@@ -279,12 +311,7 @@ def _thresholds(index: Index, shared, before: np.ndarray, depth: int, top: int,
     return np.maximum(out, before), rows.where("shard IS NOT NULL")
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):
-        yield {n: batch.column(n)[k] for n in batch.schema.names}
-
-
-def _results(shards: DataFrame, shared, thresholds: np.ndarray, depth: int, top: int) -> DataFrame:
+def _results(rows: DataFrame, shared, thresholds: np.ndarray, depth: int, top: int) -> DataFrame:
     """item, doc_id, score: of each task, the top documents of each item that reach its threshold."""
 
     def best_of(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
@@ -298,23 +325,20 @@ def _results(shards: DataFrame, shared, thresholds: np.ndarray, depth: int, top:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, held = shared.value, [], 0
-        for batch in batches:
-            for row in _rows(batch):
-                ids = row["doc_ids"].values
-                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-                for chosen, sums, _ in _scored(Shard(row, block), block, thresholds, depth):
-                    at, doc = np.nonzero(sums >= thresholds[chosen][:, None])
-                    parts.append((chosen[at], known[doc], ids[doc], sums[at, doc]))
-                    held += len(at)
-                    if held > 100_000 and len(parts) > 1:
-                        parts = best_of(parts)
-                        held = len(parts[0][0])
+        for shard in _groups(batches, block):
+            for chosen, sums, _ in _scored(shard, block, thresholds, depth):
+                at, doc = np.nonzero(sums >= thresholds[chosen][:, None])
+                parts.append((chosen[at], shard.known[doc], shard.ids[doc], sums[at, doc]))
+                held += len(at)
+                if held > 100_000 and len(parts) > 1:
+                    parts = best_of(parts)
+                    held = len(parts[0][0])
         if parts:
             item, known, ids, score = best_of(parts)[0]
             yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(ids, mask=~known), pa.array(score)], names=["item", "doc_id", "score"])
         release()
 
-    return shards.select(*COLUMNS[depth]).mapInArrow(run, "item long, doc_id long, score long")
+    return _grouped(rows).mapInArrow(run, "item long, doc_id long, score long")
 
 
 def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: str = "text", top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -346,17 +370,18 @@ def search(index: Index, items: DataFrame, id_col: str = "item_id", text_col: st
 
 
 def _search_block(index: Index, texts: list[str], top: int, spark) -> DataFrame:
-    shared = spark.sparkContext.broadcast(_block(index, texts))  # of one block of items
+    block, vocabulary = _block(index, texts)
+    shared = spark.sparkContext.broadcast(block)  # of one block of items
     thresholds = np.ones(len(texts), np.int64)
     for depth in (1, 2):
-        thresholds, unproven = _thresholds(index, shared, thresholds, depth, top, spark)
+        thresholds, unproven = _thresholds(index, vocabulary, shared, thresholds, depth, top)
     limits = spark.createDataFrame([(i, int(t)) for i, t in enumerate(thresholds)], "item long, least long")
     deep = unproven.join(limits, "item").where("bound >= least").select("shard").distinct()
     if deep.limit(DEEP_SHARDS + 1).count() > DEEP_SHARDS:
-        return _results(index.shards, shared, thresholds, 3, top)
+        return _results(_shards(index, vocabulary, 3), shared, thresholds, 3, top)
     deep = F.broadcast(deep)
-    shallow = _results(index.shards.join(deep, "shard", "left_anti"), shared, thresholds, 2, top)
-    return shallow.unionByName(_results(index.shards.join(deep, "shard", "left_semi"), shared, thresholds, 3, top))
+    shallow = _results(_shards(index, vocabulary, 2).join(deep, "shard", "left_anti"), shared, thresholds, 2, top)
+    return shallow.unionByName(_results(_shards(index, vocabulary, 3).join(deep, "shard", "left_semi"), shared, thresholds, 3, top))
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
