@@ -11,7 +11,6 @@ out block by block, and the labels of the nearest are averaged by similarity.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +32,8 @@ PLACES = SHAPES + WORDS + MARKS
 DIMS, EXTRA, TURNS = 64, 8, 6
 #: Neighbours that vote (and all as near as the last), and the power of the similarity that a vote weighs.
 NEIGHBOURS, POWER = 11, 4
+#: Similarities that differ by less tie: as vectors of four-byte numbers, equal texts differ in the last digits.
+TIE = 1e-4
 #: A mark for each share of words from which on they repeat the one 1, 2 or 3 places before; it counts as so many words.
 SHARES, BEFORE, MARK_COUNT = (0.02, 0.05, 0.1, 0.2, 0.4), (1, 2, 3), 20
 #: Nonzero weights, and texts, that are worked on at once; bytes of a long text.
@@ -42,57 +43,67 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Places(dict):
-    """The two places of a word: its shape's and its own; kept for a bounded number of words."""
+    """Numbers of words; shape and own are the two places of each."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self.shape: list[int] = []
+        self.own: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
         shape = bytearray()
         for b in word.translate(CLASSES):
             if not shape or shape[-1] != b:
                 shape.append(b)
         number = xxhash.xxh3_64_intdigest
-        found = self[word] = (number(bytes(shape)) % SHAPES, SHAPES + number(word.translate(LOWER)) % WORDS)
+        self.shape.append(number(bytes(shape)) % SHAPES)
+        self.own.append(SHAPES + number(word.translate(LOWER)) % WORDS)
+        found = self[word] = len(self.own) - 1
         return found
 
+    def bound(self) -> None:
+        """Forget all words if there are many."""
+        if len(self) > 300_000:
+            self.clear()
+            self.shape.clear()
+            self.own.clear()
+
 
-def counted(text: str | None, places: Places) -> dict[int, int]:
-    """How often each feature stands in a text; a text without words has one of its own."""
-    data, at, n, last = (text or "").encode(), 0, 0, []
-    words: Counter = Counter()
-    same = [0] * len(BEFORE)
-    while at < len(data):  # in parts, so that a long text isn't held as words all at once
+def numbers(text: str | None, places: Places) -> np.ndarray:
+    """The numbers of a text's words, taken part by part, so that a long text isn't held as words all at once."""
+    data, at, out = (text or "").encode(), 0, [np.zeros(0, np.int32)]
+    while at < len(data):
         end = data.find(b" ", at + PART)
         some = data[at : end if end >= 0 else len(data)].split()
-        words.update(some)
-        run = last + some
-        for k, back in enumerate(BEFORE):
-            start = max(0, len(last) - back)
-            same[k] += sum(map(bytes.__eq__, run[start:], run[start + back :]))
-        n, last = n + len(some), run[-BEFORE[-1] :]
+        out.append(np.fromiter(map(places.__getitem__, some), np.int32, len(some)))
         at = end if end >= 0 else len(data)
-    if not n:
-        return {PLACES - 1: 1}
-    out: Counter = Counter()
-    for word, times in words.items():
-        shape, own = places[word]
-        out[shape] += times
-        out[own] += times
-    for k in range(len(BEFORE)):
+    return np.concatenate(out)
+
+
+def counted(texts: list, places: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each feature stands in each text: numbers of features by text, places and counts. A text without words has one of its own."""
+    places.bound()
+    words = [numbers(t, places) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    word, row = np.concatenate([np.zeros(0, np.int32), *words]), np.repeat(np.arange(len(n)), n)
+    keys = [row * PLACES + np.array(p, np.int64)[word] for p in (places.shape, places.own)]
+    found, count = np.unique(np.concatenate(keys), return_counts=True)
+    marks = [np.flatnonzero(n == 0) * PLACES + PLACES - 1]
+    for k, back in enumerate(BEFORE):
+        again = np.bincount(row[back:][(word[back:] == word[:-back]) & (row[back:] == row[:-back])], minlength=len(n))
         for j, share in enumerate(SHARES):
-            if same[k] >= share * n:
-                out[SHAPES + WORDS + k * len(SHARES) + j] = MARK_COUNT
-    return out
+            marks.append(np.flatnonzero((again >= share * n) & (n > 0)) * PLACES + SHAPES + WORDS + k * len(SHARES) + j)
+    marked = np.concatenate(marks)
+    order = np.argsort(every := np.r_[found, marked], kind="stable")
+    count = np.r_[count, np.where(marked % PLACES == PLACES - 1, 1, MARK_COUNT)][order]
+    return np.bincount(every // PLACES, minlength=len(n)), every[order] % PLACES, count
 
 
 def matrix(texts: list, places: Places, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rows' features as a sparse matrix of rows of length 1: sizes of the rows, places and weights."""
-    rows = [counted(t, places) for t in texts]
-    sizes = np.array([len(r) for r in rows], np.int64)
-    at = np.fromiter((k for r in rows for k in r), np.int64, sizes.sum())
-    n = np.fromiter((v for r in rows for v in r.values()), np.float64, sizes.sum())
+    """The texts' features as a sparse matrix of rows of length 1: sizes of the rows, places and weights."""
+    sizes, at, n = counted(texts, places)
     weights = (1 + np.log(n)) * rarity[at]
-    if len(rows):
+    if len(sizes):
         weights /= np.maximum(np.repeat(np.sqrt(np.add.reduceat(weights**2, np.cumsum(sizes) - sizes)), sizes), 1e-9)
     return sizes, at, weights.astype(np.float32)
 
@@ -153,12 +164,13 @@ class Model:
         """The mean label of each vector's nearest neighbours, weighted by similarity; of all labels, where none is similar."""
         if not len(self.labels):
             return np.full(len(vectors), 0.5)
-        near = np.round(vectors @ self.vectors.T, 4)  # so that equal neighbours tie
+        near = vectors @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-        weights = np.where(near >= last[:, None], np.maximum(near, 0), 0).astype(np.float64) ** POWER
-        total = weights.sum(axis=1)
-        return np.where(total > 0, weights @ self.labels / np.maximum(total, 1e-12), self.labels.mean())
+        row, voter = np.nonzero(near >= np.maximum(last - TIE, 0)[:, None])
+        weights = near[row, voter].astype(np.float64) ** POWER
+        total = np.bincount(row, weights, len(near))
+        return np.where(total > 0, np.bincount(row, weights * self.labels[voter], len(near)) / np.maximum(total, 1e-12), self.labels.mean())
 
 
 def _rarity(documents: DataFrame) -> np.ndarray:
@@ -166,10 +178,10 @@ def _rarity(documents: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, places, rows = np.zeros(PLACES, np.int64), Places(), 0
-        for block in blocks(batches, "text"):
-            for text in block.column("text").to_pylist():
-                total[list(counted(text, places))] += 1
-                rows += 1
+        for block in blocks(batches, "text", 1 << 20):
+            _, at, _ = counted(block.column("text").to_pylist(), places)
+            total += np.bincount(at, minlength=PLACES)
+            rows += block.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, total[some]])], names=["place", "n"])
 
