@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import net
+from netquarry.operators.fold import counted
 
 #: Rule tables are small and of a known size; beyond this many rows they are joined without a broadcast.
 BROADCAST_ROWS = 20_000
@@ -16,6 +17,50 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rules
 
 
+#: Characters of the piece by which a rule is found; rules of fewer are found by all they have.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All pieces of so many characters, each once."""
+    if size == 0:
+        return F.array(F.lit(""))
+    piece = lambda letters: lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)])
+    every = lambda letters: F.when(F.size(letters) >= size, F.transform(F.sequence(F.lit(0), F.size(letters) - size), piece(letters))).otherwise(F.array().cast("array<string>"))
+    # a list of the one text's letters, so that it is taken apart once and not once a piece
+    return F.array_distinct(F.flatten(F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), every)))
+
+
+def containing(texts: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
+    """Columns of ``key`` and of rules, for every rule of a text's table whose match stands anywhere in it.
+
+    texts: ``key`` (which tells rows apart), rule_table and lower; rules: rule_table, match
+    and more. Each rule has one piece of its match, the one that fewest rules have; pieces
+    of texts and rules are joined by equality, and only those pairs are looked at whole: a
+    text is gone through once, however many rules there are.
+    """
+    ruled = rules.select(F.struct(*rules.columns).alias("__rule"), "rule_table", F.col("match"), F.least(F.lit(GRAM), F.length("match")).alias("__size"))
+    sizes = sorted(r[0] for r in ruled.select("__size").distinct().collect())  # up to four numbers
+    sized = lambda n: lambda g: F.struct(F.lit(n).alias("__size"), g.alias("__gram"))
+    none = F.array().cast("array<struct<__size:int, __gram:string>>")
+    pieces = lambda text, here: F.flatten(F.array(none, *[F.when(here(n), F.transform(_grams(text, n), sized(n))).otherwise(none) for n in sizes]))
+    own = ruled.select("__rule", "rule_table", "match", F.explode(pieces(F.col("match"), lambda n: F.col("__size") == n)).alias("p")).select("__rule", "rule_table", "match", "p.*")
+    shared = own.groupBy("rule_table", "__size", "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    anchors = own.join(shared, ["rule_table", "__size", "__gram"]).groupBy("__rule").agg(F.min_by(F.struct("rule_table", "match", "__size", "__gram"), F.struct("__n", "__gram")).alias("a")).select("__rule", "a.*")
+    found = texts.select(*key, "rule_table", F.explode(pieces(F.col("lower"), lambda n: F.lit(True))).alias("p")).select(*key, "rule_table", "p.*")
+    pairs = found.join(small(anchors), ["rule_table", "__size", "__gram"]).select(*key, "__rule", "match")
+    hits = pairs.join(texts.select(*key, "lower"), key).where(F.contains("lower", "match"))
+    return hits.select(*key, *[F.col(f"__rule.{c}").alias(c) for c in rules.columns if c not in key])
+
+
+def starting(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """value and the rules' columns, for every rule whose match a value starts with; looked up once for each length of match."""
+    sizes = sorted(r[0] for r in rules.select(F.length("match")).distinct().collect())  # lengths of fingerprints' starts
+    starts = F.array(*[F.substring("value", 1, n) for n in sizes]) if sizes else F.array().cast("array<string>")
+    rows = texts.select("value", F.explode(F.array_distinct(starts)).alias("match"))
+    return rows.join(small(rules), "match")
+
+
 def match_texts(texts: DataFrame, rules: DataFrame, ja4_rules: DataFrame) -> DataFrame:
     """ip, signal, value, conclusion, weight, spec, ord for every rule that a text fact meets.
 
@@ -24,8 +69,8 @@ def match_texts(texts: DataFrame, rules: DataFrame, ja4_rules: DataFrame) -> Dat
     """
     seen = texts.groupBy("ip", "key", "value", "conclusion").agg(F.min("ord").alias("at"))
     distinct = seen.select("value", F.col("conclusion").alias("rule_table")).distinct().withColumn("lower", F.lower("value"))
-    plain = distinct.where("rule_table <> 'ja4'").join(small(rules.withColumnRenamed("rule_table", "t")), (F.col("rule_table") == F.col("t")) & F.col("lower").contains(F.col("match")))
-    starts = distinct.where("rule_table = 'ja4'").join(small(ja4_rules), F.col("value").startswith(F.col("match")))
+    plain = containing(distinct.where("rule_table <> 'ja4'"), rules, ["value", "rule_table"])
+    starts = starting(distinct.where("rule_table = 'ja4'"), ja4_rules).withColumn("rule_table", F.lit("ja4"))
     columns = ["value", "rule_table", "rule", F.col("conclusion").alias("concluded"), "weight", "spec"]
     hits = plain.select(*columns).unionByName(starts.select(*columns))
     joined = seen.withColumnRenamed("conclusion", "rule_table").join(hits, ["value", "rule_table"])
@@ -48,6 +93,7 @@ def evidence(facts: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
 
     rules: text, port, proto, ja4, registry, curated.
     """
+    facts = counted(facts)
     kind = lambda name: facts.where(F.col("fact") == name)
     columns = ["ip", "signal", "value", "conclusion", "weight", "spec", "ord"]
     notes = kind("note").select("ip", F.col("key").alias("signal"), "value", "conclusion", "weight", "spec", "ord")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions import access, net
+from netquarry.operators import ordering
+from netquarry.operators.fold import counted
 
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 #: Kind: title, detail and advice; {} is what was seen.
@@ -53,18 +55,17 @@ def certificate_findings(facts: DataFrame, now: dt.datetime) -> DataFrame:
     """Findings on certificates that have run out a day ago or earlier, or will in 30 days; whole days count, cut towards 0."""
     end = certificate_end(F.from_json("value", "not_after string")["not_after"])
     days = ((end.cast("double") - F.lit(now).cast("timestamp").cast("double")) / 86400).cast("int")
-    rows = facts.where("fact = 'cert'").select("seq", "ts", "ip", end.alias("end"), days.alias("days")).where(F.col("end").isNotNull() & (F.col("days") <= 30))
+    rows = counted(facts).where("fact = 'cert'").select(F.col("first_seq").alias("seq"), "n", "ip", end.alias("end"), days.alias("days")).where(F.col("end").isNotNull() & (F.col("days") <= 30))
     late = F.col("days") < 0
-    return rows.select("seq", "ts", "ip", F.lit("finding").alias("fact"), F.when(late, F.lit("cert-expired")).otherwise(F.lit("cert-expiring")).alias("key"), F.date_format("end", "yyyy-MM-dd").alias("value"), F.when(late, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("conclusion"))
+    return rows.select("seq", "n", "ip", F.lit("finding").alias("fact"), F.when(late, F.lit("cert-expired")).otherwise(F.lit("cert-expiring")).alias("key"), F.date_format("end", "yyyy-MM-dd").alias("value"), F.when(late, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("conclusion"))
 
 
 def sensor_counters(events: DataFrame) -> DataFrame:
     """seq, uptime, captured, dropped of each stats event, each counter the last one over 0 so far."""
     stats = events.where("event_type = 'stats'")
     rows = stats.select("seq", "ts", *[F.when(F.col(f"stats.{n}") > 0, F.col(f"stats.{n}")).alias(n) for n in ("uptime", "captured", "dropped")])
-    # one sensor writes a few of these a minute: they are the one sequence that is read in order
-    so_far = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seq", "ts", *[F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(0)).alias(c) for c in ("uptime", "captured", "dropped")])
+    counters = ordering.carried(rows, F.col("seq"), "uptime", "captured", "dropped")
+    return counters.select("seq", "ts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("uptime", "captured", "dropped")])
 
 
 def sensor_health(events: DataFrame) -> DataFrame:
@@ -77,13 +78,13 @@ def sensor_health(events: DataFrame) -> DataFrame:
 def sensor_findings(events: DataFrame) -> DataFrame:
     """A finding for each stats event at which over 1 % of the packets were lost."""
     rows = sensor_counters(events).where("captured > 0 AND 100.0D * dropped / captured > 1")
-    return rows.select("seq", "ts", F.lit("sensor").alias("ip"), F.lit("finding").alias("fact"), F.lit("sensor-packet-loss").alias("key"), F.lit("").alias("value"), F.lit("MEDIUM").alias("conclusion"))
+    return rows.select("seq", F.lit(1).cast("bigint").alias("n"), F.lit("sensor").alias("ip"), F.lit("finding").alias("fact"), F.lit("sensor-packet-loss").alias("key"), F.lit("").alias("value"), F.lit("MEDIUM").alias("conclusion"))
 
 
 def grouped(raw: DataFrame) -> DataFrame:
-    """device, kind, f (conclusion and value of the first sighting), count, first_seq of finding facts."""
+    """device, kind, f (conclusion and value of the first sighting), count, first_seq of finding facts (n each)."""
     rows = raw.where("fact = 'finding' AND ip <> ''").groupBy(F.col("ip").alias("device"), F.col("key").alias("kind"))
-    return rows.agg(F.min_by(F.struct("conclusion", "value"), "seq").alias("f"), F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"))
+    return rows.agg(F.min_by(F.struct("conclusion", "value"), "seq").alias("f"), F.sum("n").alias("count"), F.min("seq").alias("first_seq"))
 
 
 def findings(raw: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import ipaddress
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions import net
 from netquarry.operators.evidence import small
+from netquarry.operators.fold import counted
 
 
 class PolicyError(ValueError):
@@ -82,21 +83,42 @@ def _key(ip):
     return F.when(net.v4_number(ip).isNotNull(), four).when(ip.rlike(net.V6) & ~ip.contains("."), six)
 
 
+HEX = "0123456789abcdef"
+
+
+def _network(at: Column, family: int, bits: int) -> Column:
+    """The first address of the network of so many bits that an address is in."""
+    whole, more = divmod(bits + (96 if family == 4 else 0), 4)
+    parts = [F.substring(at, 1, whole)]
+    if more:
+        step = 1 << (4 - more)
+        parts.append(F.translate(F.substring(at, whole + 1, 1), HEX, "".join(HEX[d - d % step] for d in range(16))))
+    return F.concat(*parts, F.lit("0" * (32 - whole - bool(more))))
+
+
 def zone_of(addresses: DataFrame, zones: DataFrame) -> DataFrame:
-    """ip and the zone of its most specific network (the first declared, of equal ones); addresses in no zone are left out."""
-    rows = addresses.select("ip").distinct().withColumn("at", _key(F.col("ip"))).withColumn("kind", F.when(net.v4_number(F.col("ip")).isNotNull(), 4).otherwise(6))
-    hits = rows.join(small(zones), (F.col("kind") == F.col("family")) & F.col("at").between(F.col("low"), F.col("high")))
+    """ip and the zone of its most specific network (the first declared, of equal ones); addresses in no zone are left out.
+
+    An address is looked up once for each length of prefix that any network has (162 at
+    most): networks are joined by equality, however many there are.
+    """
+    rows = addresses.select("ip").distinct().withColumn("at", _key(F.col("ip"))).withColumn("family", F.when(net.v4_number(F.col("ip")).isNotNull(), 4).otherwise(6)).where("at IS NOT NULL")
+    lengths = sorted(map(tuple, zones.select("family", "bits").distinct().collect()))
+    tried = [F.when(F.col("family") == f, F.struct(F.lit(b).alias("bits"), _network(F.col("at"), f, b).alias("low"))) for f, b in lengths]
+    none = F.array().cast("array<struct<bits:int, low:string>>")
+    rows = rows.select("ip", "family", F.explode(F.array_compact(F.array(*tried)) if tried else none).alias("n")).select("ip", "family", "n.*")
+    hits = rows.join(zones.select("family", "bits", "low", "zone", "ord"), ["family", "bits", "low"])
     return hits.groupBy("ip").agg(F.max_by("zone", F.struct("bits", -F.col("ord"))).alias("zone"))
 
 
 def violations(facts: DataFrame, policy: Policy) -> DataFrame:
     """Finding facts on the source of each conversation between zones that the policy has no route for."""
     spark = facts.sparkSession
-    crossing = facts.where("fact = 'crossing'").select("seq", "ts", "ip", F.col("value").alias("dest"), F.col("key").alias("port"))
+    crossing = counted(facts).where("fact = 'crossing'").select(F.col("first_seq").alias("seq"), "n", "ip", F.col("value").alias("dest"), F.col("key").alias("port"))
     zones = zone_of(crossing.select("ip").unionByName(crossing.select(F.col("dest").alias("ip"))), zone_ranges(spark, policy))
     allowed = spark.createDataFrame(sorted(policy.allowed) or [("", "")], "zone_from string, zone_to string")
     rows = crossing.join(zones.withColumnRenamed("zone", "zone_from"), "ip").join(zones.select(F.col("ip").alias("dest"), F.col("zone").alias("zone_to")), "dest")
     rows = rows.where("zone_from <> zone_to").join(small(allowed), ["zone_from", "zone_to"], "left_anti")
     where = F.when(F.col("port").cast("bigint") > 0, F.concat_ws(":", "dest", "port")).otherwise(F.col("dest"))
     seen = F.concat(F.col("zone_from"), F.lit(" to "), F.col("zone_to"), F.lit(", first at "), where)
-    return rows.select("seq", "ts", "ip", F.lit("finding").alias("fact"), F.concat(F.lit("segmentation-"), "zone_from", F.lit("-to-"), "zone_to").alias("key"), seen.alias("value"), F.lit("HIGH").alias("conclusion"))
+    return rows.select("seq", "n", "ip", F.lit("finding").alias("fact"), F.concat(F.lit("segmentation-"), "zone_from", F.lit("-to-"), "zone_to").alias("key"), seen.alias("value"), F.lit("HIGH").alias("conclusion"))

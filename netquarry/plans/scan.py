@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netquarry.operators import devices, evidence, findings, handlers, segmentation
+from netquarry.operators import devices, evidence, findings, fold, handlers, segmentation
 from netquarry.sources import events, rules
 
 
@@ -30,7 +30,7 @@ class Inventory:
 
     @property
     def spark(self) -> SparkSession:
-        return (self.lines if self.lines is not None else self.facts).sparkSession
+        return (self.lines if self.lines is not None else self.folded).sparkSession
 
     @cached_property
     def rules(self) -> dict[str, DataFrame]:
@@ -48,12 +48,17 @@ class Inventory:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Of all events, those without a use here dropped; everything below reads only this."""
+        """Of all events, those without a use here dropped."""
         return handlers.facts(self.events)
 
+    @cached_property
+    def folded(self) -> DataFrame:
+        """The facts by what they say, with how often; everything below reads only this."""
+        return fold.fold(self.facts)
+
     @cached_property
     def evidence(self) -> DataFrame:
-        return evidence.evidence(self.facts, self.rules)
+        return evidence.evidence(self.folded, self.rules)
 
     @cached_property
     def conclusions(self) -> DataFrame:
@@ -65,20 +70,20 @@ class Inventory:
 
     @cached_property
     def devices(self) -> DataFrame:
-        return devices.devices(self.facts, self.evidence, self.winners)
+        return devices.devices(self.folded, self.evidence, self.winners)
 
     @cached_property
     def identities(self) -> DataFrame:
-        return devices.identities(self.facts)
+        return devices.identities(self.folded)
 
     @cached_property
     def raw_findings(self) -> DataFrame:
-        columns = ["seq", "ip", "fact", "key", "value", "conclusion"]
-        out = self.facts.where("fact = 'finding'").select(*columns)
-        out = out.unionByName(findings.certificate_findings(self.facts, self.now).select(*columns))
+        columns = ["seq", "n", "ip", "fact", "key", "value", "conclusion"]
+        out = self.folded.where("fact = 'finding'").withColumnRenamed("first_seq", "seq").select(*columns)
+        out = out.unionByName(findings.certificate_findings(self.folded, self.now).select(*columns))
         out = out.unionByName(findings.sensor_findings(self.events).select(*columns))
         if self.policy is not None:
-            out = out.unionByName(segmentation.violations(self.facts, self.policy).select(*columns))
+            out = out.unionByName(segmentation.violations(self.folded, self.policy).select(*columns))
         return out
 
     @cached_property
@@ -102,8 +107,8 @@ class Inventory:
         return events.line_counts(self.records)
 
     def keep_facts(self, path: str) -> Inventory:
-        """Write typed events and facts once, so that the gold tables don't parse the records again."""
-        for name in ("events", "facts"):
+        """Write typed events, facts and what they fold to once, so that the gold tables don't parse the records again."""
+        for name in ("events", "facts", "folded"):
             table = getattr(self, name)
             table.write.mode("overwrite").parquet(f"{path}/{name}")
             setattr(self, name, self.spark.read.schema(table.schema).parquet(f"{path}/{name}"))

@@ -5,20 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry import oracle
 from netquarry.functions import access, ja4, names, net
-from netquarry.operators import devices, evidence, findings, handlers, reports, segmentation, snapshot
+from netquarry.operators import devices, evidence, findings, fold, handlers, ordering, reports, segmentation, snapshot
 from netquarry.plans.scan import Inventory
 from netquarry.sources import adapter, events, registry, rules
 from netquarry.sources.landing import landed
-from netquarry.streaming import watch
 
 NOW = dt.datetime(2025, 6, 1, 12, tzinfo=dt.UTC)
 SINCE, UNTIL = dt.datetime(2024, 1, 10, tzinfo=dt.UTC), dt.datetime(2024, 1, 12, 6, 30, tzinfo=dt.UTC)
-_HELD: dict[tuple[str, str], Inventory] = {}
+_HELD: dict[tuple[str, ...], Inventory] = {}
 #: Query and its SQL by name; filled by the functions below.
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,25 +31,50 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.lines(table(spark, sf_dir, "events"))
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
-    """Typed events and facts of the ``events`` table, landed once a session: each gold table then is one job over the facts."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+def _held(spark: SparkSession, sf_dir: str, part: str, make: Callable[[], Inventory]) -> Inventory:
+    """What was landed before in this session of the same file."""
+    changed = table(spark, sf_dir, "events").select(F.max("_metadata.file_modification_time")).first()[0]
+    at = (spark.sparkContext.applicationId, sf_dir, str(changed), part)
     if at not in _HELD:
+        _HELD[at] = make()
+    return _HELD[at]
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> Inventory:
+    """Typed events, facts and folded facts of the ``events`` table, landed once a session: each gold table then is one job over the folded facts."""
+
+    def make() -> Inventory:
         lines = lines_of(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the table is one small file
         found = Inventory(landed(lines, "lines"), NOW, policy=segmentation.parse_policy(oracle.ZONES))
         found.events = landed(found.events, "events")
         found.facts = landed(found.facts, "facts")
-        _HELD[at] = found
-    return _HELD[at]
+        found.folded = landed(found.folded, "folded")
+        return found
+
+    return _held(spark, sf_dir, "whole", make)
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[Inventory, Inventory]:
-    """The inventory of the first half of the events (by id), and that of all of them."""
+    """The inventory of the first half of the events (by id), and that of all of them: the first half's folded facts merged with the second's.
+
+    What a comparison reads of both, devices and findings, is landed once a session.
+    """
     whole = inventory(spark, sf_dir)
+
+    def part(name: str, make: Callable[[], tuple[DataFrame, DataFrame]]) -> Inventory:
+        def landed_part() -> Inventory:
+            found = Inventory(whole.lines, NOW, policy=whole.policy)
+            found.events, found.folded = make()
+            found.devices, found.findings = landed(found.devices, "devices"), landed(found.findings, "findings")
+            return found
+
+        return _held(spark, sf_dir, name, landed_part)
+
     middle = table(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
-    first = Inventory(whole.lines, NOW, policy=whole.policy)
-    first.events, first.facts = whole.events.where(F.col("seq") <= middle), whole.facts.where(F.col("seq") <= middle)
-    return first, whole
+    early = F.col("seq") <= middle
+    first = part("first half", lambda: (whole.events.where(early), landed(fold.fold(whole.facts.where(early)), "folded")))
+    both = part("both halves", lambda: (whole.events, landed(fold.merged(first.folded.unionByName(fold.fold(whole.facts.where(~early)))), "folded")))
+    return first, both
 
 
 def query(name: str, sql: str | None = None):
@@ -171,7 +195,8 @@ def _(spark, d):
     """Every rule against every distinct text of ``part``, found anywhere in it in any case."""
     value = F.concat_ws(" ", "p_name", "p_type", F.lit("cisco printer"))
     parts = table(spark, d, "part").select(F.lower(value).alias("lower"), F.concat_ws("/", "p_name", "p_type").alias("value")).distinct()
-    hits = parts.join(evidence.small(rules.text_rules(spark)), F.col("lower").contains(F.col("match")))
+    every = rules.text_rules(spark)
+    hits = evidence.containing(parts.join(every.select("rule_table").distinct()), every, ["value", "lower", "rule_table"])
     return hits.groupBy("rule_table", "rule", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -274,7 +299,7 @@ def _(spark, d):
 
 @query("a08_activity", oracle.gold("SELECT ip, floor(epoch(ts) / 3600)::BIGINT AS hour, count(*) AS n FROM f WHERE fact = 'seen' GROUP BY ALL"))
 def _(spark, d):
-    return devices.activity(inventory(spark, d).facts)
+    return devices.activity(inventory(spark, d).folded)
 
 
 GOOD = "conclusion NOT IN ('', 'failed', 'unknown')"
@@ -282,7 +307,7 @@ GOOD = "conclusion NOT IN ('', 'failed', 'unknown')"
 
 @query("a09_services", oracle.gold(f"SELECT ip, key::INT AS port, arg_min(value, seq) AS proto, coalesce(arg_max(conclusion, seq) FILTER (WHERE {GOOD}), '') AS app_proto, count(*) AS hits FROM f WHERE fact = 'service' GROUP BY ip, key"))
 def _(spark, d):
-    return devices.services(inventory(spark, d).facts)
+    return devices.services(inventory(spark, d).folded)
 
 
 SETS = oracle.sets("user:users", "ot:ot_identifiers", "ja3:ja3", "ja4:ja4", "protocol:protocols", "share:shares", "external:external_dsts")
@@ -290,8 +315,10 @@ SETS = oracle.sets("user:users", "ot:ot_identifiers", "ja3:ja3", "ja4:ja4", "pro
 
 @query("a10_sets", oracle.gold(f"SELECT f.ip, {SETS}, coalesce(any_value(hostnames), '') AS hostnames, coalesce(any_value(h.hostname), '') AS hostname, coalesce((SELECT string_agg(v::VARCHAR, ',' ORDER BY v) FROM (SELECT DISTINCT value::INT AS v FROM f g WHERE g.fact = 'vlan' AND g.ip = f.ip)), '') AS vlans FROM f LEFT JOIN h USING (ip) WHERE fact NOT IN ('finding', 'crossing') GROUP BY f.ip", oracle.HOSTS))
 def _(spark, d):
-    lists = ("users", "ot_identifiers", "ja3", "ja4", "protocols", "shares", "external_dsts", "hostnames", "vlans")
-    return inventory(spark, d).devices.select("ip", "hostname", *[text(F.col(c)).alias(c) for c in lists])
+    lists, found = ("users", "ot_identifiers", "ja3", "ja4", "protocols", "shares", "hostnames", "vlans"), inventory(spark, d)
+    outside = devices.values(found.folded, "external").groupBy("ip").agg(text(F.array_sort(F.collect_list("value"))).alias("external_dsts"))
+    rows = found.devices.select("ip", "hostname", *[text(F.col(c)).alias(c) for c in lists])
+    return rows.join(outside, "ip", "left").fillna("", ["external_dsts"])
 
 
 @query("a11_latest_values", oracle.gold("SELECT ip, " + ", ".join(oracle.LATEST.format(k) for k in ("mac", "model", "firmware", "serial")) + " FROM f WHERE fact NOT IN ('finding', 'crossing') GROUP BY ip"))
@@ -369,7 +396,7 @@ sz AS (SELECT *, (high - low + 1 + step - 1) // step AS bars FROM sc)"""
 @query("a19_timeline", oracle.gold("SELECT bar, hour, n, round(CASE WHEN max(n) OVER () > 0 THEN sqrt(n / max(n) OVER ()) * 100 ELSE 0 END, 6) AS height FROM (SELECT i AS bar, low + i * step AS hour, coalesce((SELECT sum(n) FROM ac WHERE (hour - low) // step = i), 0)::BIGINT AS n FROM (SELECT *, unnest(range(0, bars)) AS i FROM sz))", HOURS))
 def _(spark, d):
     found = inventory(spark, d)
-    return reports.timeline(devices.activity(found.facts), found.extent).select("bar", "hour", "n", rounded("height").alias("height"))
+    return reports.timeline(devices.activity(found.folded), found.extent).select("bar", "hour", "n", rounded("height").alias("height"))
 
 
 BUCKETS = """bk AS (SELECT ip, bars, (hour - low) // step AS bar, sum(n) AS n FROM ac, sz GROUP BY ALL),
@@ -382,7 +409,7 @@ bs AS (
 @query("a20_bucket_strings", oracle.gold("SELECT * FROM bs", f"{HOURS}, {BUCKETS}"))
 def _(spark, d):
     found = inventory(spark, d)
-    return reports.bucket_strings(devices.activity(found.facts), found.extent)
+    return reports.bucket_strings(devices.activity(found.folded), found.extent)
 
 
 @query("a21_sparklines", oracle.gold("""SELECT p.ip, string_agg(format('{:.2f}', i * (100.0::DOUBLE / (p.points - 1))) || ',' || format('{:.2f}', 19 - sqrt(coalesce(b.n, 0) / peak) * 18), ' ' ORDER BY i) AS spark
@@ -390,12 +417,12 @@ def _(spark, d):
 sp AS (SELECT ip, points, (hour - low) // wide AS point, sum(n)::DOUBLE AS n FROM ac, sw WHERE (hour - low) // wide < points GROUP BY ALL)"""))
 def _(spark, d):
     found = inventory(spark, d)
-    return reports.sparklines(devices.activity(found.facts), found.extent)
+    return reports.sparklines(devices.activity(found.folded), found.extent)
 
 
 @query("a22_external_counts", oracle.gold("SELECT ip, count(DISTINCT value)::INT AS n FROM f WHERE fact = 'external' GROUP BY ip"))
 def _(spark, d):
-    return inventory(spark, d).devices.select("ip", F.size("external_dsts").alias("n")).where("n > 0")
+    return devices.external_counts(inventory(spark, d).folded).select("ip", F.col("n").cast("int").alias("n"))
 
 
 SHOWN = f"""{HOURS}, {BUCKETS}, sh AS (
@@ -405,7 +432,7 @@ SHOWN = f"""{HOURS}, {BUCKETS}, sh AS (
 
 def shown(spark: SparkSession, d: str) -> DataFrame:
     found = inventory(spark, d)
-    return reports.visible(found.devices, reports.bucket_strings(devices.activity(found.facts), found.extent), 10, 30)
+    return reports.visible(found.devices, reports.bucket_strings(devices.activity(found.folded), found.extent), 10, 30)
 
 
 @query("a23_talkers", oracle.gold("SELECT ip, CASE WHEN shown = whole THEN tot ELSE floor(tot * shown / whole + 0.5) END::BIGINT AS volume FROM vs ORDER BY volume DESC, list_transform(string_split(ip, '.'), lambda x: x::INT) LIMIT 6", SHOWN))
@@ -472,17 +499,17 @@ def _(spark, d):
 
 @query("o03_snapshot_in_order", devices_sql("SELECT row_number() OVER (ORDER BY ipn) AS place, ip FROM dx"))
 def _(spark, d):
-    return snapshot.exported(inventory(spark, d).devices).select(F.row_number().over(Window.orderBy(net.ip_key(F.col("ip")))).cast("long").alias("place"), "ip")
+    return ordering.with_place(snapshot.exported(inventory(spark, d).devices).select("ip"), net.ip_key(F.col("ip")))
 
 
 @query("o05_identities_in_order", oracle.gold("SELECT row_number() OVER (ORDER BY count(DISTINCT ip) DESC, value) AS place, value AS \"user\" FROM f WHERE fact = 'user' GROUP BY value"))
 def _(spark, d):
-    return inventory(spark, d).identities.select(F.row_number().over(Window.orderBy(F.desc("n"), "user")).cast("long").alias("place"), "user")
+    return ordering.with_place(inventory(spark, d).identities, F.desc("n"), F.col("user")).select("place", "user")
 
 
 @query("o07_classes_in_order", devices_sql(f"SELECT row_number() OVER (ORDER BY count(*) DESC, CASE WHEN {KNOWN} THEN class ELSE 'unknown' END) AS place, CASE WHEN {KNOWN} THEN class ELSE 'unknown' END AS class FROM dx GROUP BY 2"))
 def _(spark, d):
-    return reports.class_counts(inventory(spark, d).devices).select(F.row_number().over(Window.orderBy(F.desc("n"), "class")).cast("long").alias("place"), "class")
+    return ordering.with_place(reports.class_counts(inventory(spark, d).devices), F.desc("n"), F.col("class")).select("place", "class")
 
 
 @query("r25_service_lists", oracle.gold("""SELECT ip, array_to_string(list_transform(s[1:8], lambda x: x.port || CASE WHEN x.app <> '' THEN '/' || x.app ELSE '' END), ', ') || CASE WHEN len(s) > 8 THEN ' +' || (len(s) - 8) || ' more' ELSE '' END AS services
@@ -505,12 +532,12 @@ def _(spark, d):
 @query("o01_devices_in_order", devices_sql("SELECT row_number() OVER (ORDER BY round(confidence, 6) DESC, ipn) AS place, ip FROM dx"))
 def _(spark, d):
     rows = inventory(spark, d).devices.withColumn("confidence", rounded("confidence"))
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("confidence"), net.ip_key(F.col("ip")))).cast("long").alias("place"), "ip")
+    return ordering.with_place(rows.select("ip", "confidence"), F.desc("confidence"), net.ip_key(F.col("ip"))).select("place", "ip")
 
 
 @query("o02_findings_in_order", FI(f"SELECT row_number() OVER (ORDER BY {RANK} DESC, device = 'sensor', CASE WHEN device <> 'sensor' THEN list_transform(string_split(device, '.'), lambda x: x::INT) END, first_seq, kind) AS place, device, kind FROM fi"))
 def _(spark, d):
-    return inventory(spark, d).findings.select(F.row_number().over(Window.orderBy(F.desc("severity_rank"), net.ip_key(F.col("device")), "first_seq", "kind")).cast("long").alias("place"), "device", "kind")
+    return ordering.with_place(inventory(spark, d).findings, F.desc("severity_rank"), net.ip_key(F.col("device")), F.col("first_seq"), F.col("kind")).select("place", "device", "kind")
 
 
 @query("sk02_snapshot_devices", devices_sql(f"SELECT ip, mac, random AS random_mac, hostname, class, floor(confidence * 1000 + 0.5) / 1000 AS confidence, vendor, os, model, firmware, serial, ports, replace(protocols, ',', ', ') AS protocols, replace(users, ',', ', ') AS users, {sql_moment('first_seen')} AS first_seen FROM dx"))
@@ -574,7 +601,14 @@ def _(spark, d):
     return snapshot.findings_only_in(whole.findings, first.findings).select("device", "kind")
 
 
-@query("d06_totals", f"SELECT *, appeared + disappeared + changed + new_findings + fixed_findings AS total FROM (SELECT (SELECT count(*) FROM ({SQL['d01_appeared']})) AS appeared, (SELECT count(*) FROM ({SQL['d01_disappeared']})) AS disappeared, (SELECT count(DISTINCT key) FROM ({SQL['d02_changed_fields']})) AS changed, (SELECT count(*) FROM ({SQL['d05_new_findings']})) AS new_findings, (SELECT count(*) FROM ({OLD_FINDINGS} EXCEPT SELECT device, kind FROM ({FI('SELECT device, kind FROM fi')}))) AS fixed_findings)")
+TOTALS = f"""WITH o AS MATERIALIZED {OLD}, n AS MATERIALIZED {NEW}, fo AS MATERIALIZED ({OLD_FINDINGS}), fn AS MATERIALIZED ({FI('SELECT device, kind FROM fi')}),
+a AS ({KEYED.format('o')}), b AS ({KEYED.format('n')}), ab AS MATERIALIZED (SELECT key, a.x AS o, b.x AS n FROM a JOIN b USING (key)),
+t AS (SELECT (SELECT count(*) FROM n WHERE key NOT IN (SELECT key FROM o)) AS appeared, (SELECT count(*) FROM o WHERE key NOT IN (SELECT key FROM n)) AS disappeared,
+  (SELECT count(DISTINCT key) FROM ({CHANGES})) AS changed, (SELECT count(*) FROM (SELECT * FROM fn EXCEPT SELECT * FROM fo)) AS new_findings, (SELECT count(*) FROM (SELECT * FROM fo EXCEPT SELECT * FROM fn)) AS fixed_findings)
+SELECT *, appeared + disappeared + changed + new_findings + fixed_findings AS total FROM t"""
+
+
+@query("d06_totals", TOTALS)
 def _(spark, d):
     first, whole = halves(spark, d)
     return snapshot.totals(first.devices, whole.devices, first.findings, whole.findings)
@@ -620,7 +654,7 @@ def _(spark, d):
 
 @query("r17_addresses_in_order", devices_sql("SELECT row_number() OVER (ORDER BY ipn) AS place, ip FROM dx"))
 def _(spark, d):
-    return inventory(spark, d).devices.select(F.row_number().over(Window.orderBy(net.ip_key(F.col("ip")))).cast("long").alias("place"), "ip")
+    return ordering.with_place(inventory(spark, d).devices.select("ip"), net.ip_key(F.col("ip")))
 
 
 @query("r21_keys_and_labels", devices_sql("SELECT ip, key, label, detail FROM dx"))
@@ -653,9 +687,8 @@ RULE_TABLES = ("vendor_class", "dhcp_vendor_class", "dhcp_vendor_class_secondary
 
 def rule_hits(spark: SparkSession, d: str, name: str) -> DataFrame:
     """How many of the pages each rule of a table is found in."""
-    pages = table(spark, d, "pages").select("page_id", F.lower("html").alias("lower"))
-    own = rules.text_rules(spark).where(F.col("rule_table") == name)
-    hits = pages.join(evidence.small(own), F.col("lower").contains(F.col("match")))
+    pages = table(spark, d, "pages").select("page_id", F.lower("html").alias("lower"), F.lit(name).alias("rule_table"))
+    hits = evidence.containing(pages, rules.text_rules(spark).where(F.col("rule_table") == name), ["page_id"])
     return hits.groupBy("rule", "match", "conclusion").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -665,8 +698,8 @@ for _n, _table in enumerate(RULE_TABLES, 1):
 
 @query("st03_retained_facts", oracle.gold("SELECT f.ip, fact, count(*) AS n FROM f JOIN (SELECT ip FROM f WHERE fact = 'seen' GROUP BY ip HAVING max(ts) >= TIMESTAMP '2024-01-30') USING (ip) WHERE NOT (fact = 'seen' AND ts < TIMESTAMP '2024-01-30') GROUP BY f.ip, fact"))
 def _(spark, d):
-    kept = watch.pruned(inventory(spark, d).facts, dt.datetime(2024, 1, 30, tzinfo=dt.UTC))
-    return kept.groupBy("ip", "fact").agg(F.count(F.lit(1)).alias("n"))
+    kept = fold.retained(inventory(spark, d).folded, dt.datetime(2024, 1, 30, tzinfo=dt.UTC)).where("fact <> 'since'")
+    return kept.groupBy("ip", "fact").agg(F.sum("n").alias("n"))
 
 
 FORMS = "[' Co., Ltd.', ' Inc.', ' GmbH', ', LLC', '', ' Corporation Ltd', ' Private']"

@@ -28,7 +28,7 @@ text.oninput=range.onchange=show;show();
 def page(found: Inventory, title: str = "Network inventory", refresh: int = 0) -> str:
     """The whole report; with ``refresh``, a page that loads itself anew after so many seconds."""
     e = lambda x: html.escape(str(x))
-    activity = devices.activity(found.facts)
+    activity = devices.activity(found.folded)
     scale = reports.scale(found.extent).first()
     buckets = {r["ip"]: r["buckets"] for r in rows(reports.bucket_strings(activity, found.extent))} if scale else {}
     sparks = {r["ip"]: r["spark"] for r in rows(reports.sparklines(activity, found.extent))} if scale else {}

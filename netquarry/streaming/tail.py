@@ -1,9 +1,11 @@
 """Following a growing log file, through rotation and truncation, as a streaming source.
 
 Spark's own file stream takes each file once and whole. This source reads what is
-appended to one file, in order, up to the last line end. Its offset says where in which
-file it stands; a file is known by a digest of its first bytes, so that reading goes on
-in the renamed file and a restarted query reads every line once.
+appended to one file, up to the last line end. Its offset lists the files there are, oldest
+first, and how far each can be read; a file is known by a digest of its first bytes, so that
+reading goes on in the renamed file and a restarted query reads every line once. What lies
+between two offsets is planned as ranges of bytes that end at line ends; executors read
+them, from a folder that they share with the driver. No line passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,19 +13,21 @@ from __future__ import annotations
 import glob
 import gzip
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 HEAD_BYTES = 256
 #: Longer lines are dropped.
 LINE_BYTES = 8 << 20
-#: Bytes of a micro-batch, and rotated files taken up in one.
-BATCH_BYTES, ROTATIONS = 64 << 20, 16
+#: Bytes that one task reads.
+RANGE_BYTES = 8 << 20
 
 
 def opened(path: str):
@@ -76,120 +80,180 @@ def siblings(path: str) -> list[str]:
     return sorted(found, key=lambda p: (os.path.getmtime(p), p))
 
 
-def find(path: str, sign: str, at: int) -> str | None:
+def is_it(path: str, sign: str, head: int, at: int) -> bool:
+    """Whether a file starts with the bytes of that digest and has so many bytes at least."""
+    return os.path.exists(path) and signature(path, head) == sign and (at <= head or length(path) >= at)
+
+
+def find(path: str, sign: str, head: int, at: int) -> str | None:
     """Where the file with this start now is: under its own name or that of a rotated one; None if it is gone or shorter."""
-    for p in (path, *reversed(siblings(path))):
-        if p.endswith(".gz") and not at:
-            continue
-        if os.path.exists(p) and signature(p, at) == sign and length(p) >= at:
-            return p
-    return None
+    return next((p for p in (path, *reversed(siblings(path))) if is_it(p, sign, head, at)), None)
 
 
-def lines_between(path: str, start: int, end: int) -> Iterator[str]:
-    """Whole lines of a stretch that ends at a line end (or at a rotated file's end)."""
+def lines_between(path: str, start: int, end: int) -> Iterator[tuple[str, int]]:
+    """Whole lines, and where they start, of a stretch that ends at a line end or at the file's end (-1)."""
     with opened(path) as file:
         file.seek(start)
-        left = end - start
-        while left > 0:
-            line = file.readline(min(left, LINE_BYTES + 1))
+        at = start
+        while end < 0 or at < end:
+            most = LINE_BYTES + 1 if end < 0 else min(end - at, LINE_BYTES + 1)
+            line, began = file.readline(most), at
             if not line:
                 return
-            left -= len(line)
+            at += len(line)
             if len(line) <= LINE_BYTES:
-                yield line.rstrip(b"\r\n").decode("utf-8", "replace")
+                yield line.rstrip(b"\r\n").decode("utf-8", "replace"), began
                 continue
-            while line and left > 0 and not line.endswith(b"\n"):
-                line = file.readline(min(left, LINE_BYTES))
-                left -= len(line)
+            while line and not line.endswith(b"\n") and (end < 0 or at < end):
+                line = file.readline(LINE_BYTES if end < 0 else min(end - at, LINE_BYTES))
+                at += len(line)
 
 
-def last_line_end(path: str, start: int, end: int) -> int:
-    """The place behind the last line end in a stretch, or its start."""
+def last_line_end(path: str, end: int) -> int:
+    """The place behind the last line end before a place; 0 for none."""
     at = end
     with opened(path) as file:
-        while at > start:
-            low = max(start, at - 65_536)
+        while at > 0:
+            low = max(0, at - 65_536)
             file.seek(low)
             k = file.read(at - low).rfind(b"\n")
             if k >= 0:
                 return low + k + 1
             at = low
-    return start
+    return 0
 
 
-def next_line_end(path: str, at: int) -> int | None:
-    """The place behind the first line end from a place on; None for none."""
+def next_line_end(path: str, at: int, end: int) -> int:
+    """The place behind the first line end from a place on; the end for none before it."""
     with opened(path) as file:
         file.seek(at)
-        while part := file.read(65_536):
+        while at < end:
+            part = file.read(min(65_536, end - at))
             k = part.find(b"\n")
             if k >= 0:
                 return at + k + 1
+            if not part:
+                break
             at += len(part)
-    return None
-
-
-def stretches(path: str, sign: str, at: int, most: int = BATCH_BYTES) -> tuple[list[dict], str, int]:
-    """What can be read now: stretches (sign and size that tell the file, start, end), and then the file's sign and place."""
-    out: list[dict] = []
-    here = find(path, sign, at)
-    if here is None:  # gone, or cut off: what is there now is read from its start
-        if not os.path.exists(path):
-            return out, sign, at
-        here, at = path, 0
-    start = at
-    for _ in range(ROTATIONS):
-        size = length(here)
-        end = min(size, start + most)
-        if here == path or end < size:
-            end = last_line_end(here, start, end)
-            if end == start and size - start > most and not out:  # a line that is longer than a batch makes one
-                end = next_line_end(here, start + most) or (start if here == path else size)
-        if end > start:
-            sign, at = signature(here, end), end
-            out.append({"sign": sign, "start": start, "end": end})
-            most -= end - start
-        if here == path or end < size or most <= 0:
-            break
-        # the renamed file is read to its end: the next is the one that came after it; what doesn't fit of that is read later
-        later = [p for p in siblings(path) if os.path.getmtime(p) > os.path.getmtime(here) and length(p) > 0]
-        following = later[0] if later else path
-        if not os.path.exists(following):
-            break
-        here, start = following, 0
-    return out, sign, at
-
-
-class TailReader(SimpleDataSourceStreamReader):
+    return end
+
+
+def entry(path: str, live: bool) -> dict | None:
+    """What an offset says of a file: the digest of its start, of how many bytes that is, how far it can be read, and its number in the file system.
+
+    A compressed file is read to its end (-1); what can't be read yet is left out.
+    """
+    try:
+        at = os.stat(path)
+        if path.endswith(".gz"):
+            head = HEAD_BYTES
+            while head and not signature(path, head):
+                head //= 2
+            return {"sign": signature(path, head), "head": head, "end": -1, "node": at.st_ino} if head and length(path) > 0 else None
+        head = min(HEAD_BYTES, at.st_size)
+        end = last_line_end(path, at.st_size) if live else at.st_size
+        return {"sign": signature(path, head), "head": head, "end": end, "node": at.st_ino} if live or at.st_size else None
+    except FileNotFoundError:  # renamed meanwhile: seen the next time
+        return None
+
+
+def ranges(path: str, start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """A stretch cut at line ends into ranges of about so many bytes; a compressed file can't be cut."""
+    while end >= 0 and end - start > size and not path.endswith(".gz"):
+        cut = next_line_end(path, start + size, end)
+        yield start, cut
+        start = cut
+    if end < 0 or end > start:
+        yield start, end
+
+
+def standing(offset: dict) -> dict | None:
+    """The last file of an offset that something had been written to: all after it is unread."""
+    return next((f for f in reversed(offset["files"]) if f["head"]), None)
+
+
+def between(path: str, start: dict, end: dict) -> list[tuple[dict, int]]:
+    """The files to read between two offsets, and from which place each."""
+    if not end["files"] or start == end:
+        return []
+    stood = standing(start)
+    if stood:
+        for k in range(len(end["files"]) - 1, -1, -1):
+            f = end["files"][k]
+            if 0 <= f["end"] < stood["end"] or f["head"] < stood["head"]:
+                continue
+            here = find(path, f["sign"], f["head"], max(f["end"], 0))
+            if here and is_it(here, stood["sign"], stood["head"], stood["end"]):
+                return [(f, stood["end"]), *((later, 0) for later in end["files"][k + 1 :])]
+    return [(end["files"][-1], 0)]  # gone, or cut off: what is there now is read from its start
+
+
+def turns(start: dict, end: dict) -> tuple[int, int]:
+    """How often the file was renamed away, and whether it was cut off in place, between two offsets."""
+    old = standing(start)
+    if not old or not end["files"]:
+        return 0, 0
+    new = end["files"][-1]
+    if old["node"] == new["node"]:
+        other = old["head"] == new["head"] and old["sign"] != new["sign"]
+        return 0, int(new["end"] < old["end"] or other)
+    after = [k for k, f in enumerate(end["files"]) if f["node"] == old["node"]]
+    return (len(end["files"]) - 1 - after[-1] if after else 1), 0
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes of a file that one task reads; number gives their order."""
+
+    sign: str
+    head: int
+    least: int
+    start: int
+    end: int
+    number: int
+
+
+class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("maxbytespertrigger", BATCH_BYTES))
+        self.path, self.size = options["path"], int(options.get("rangebytes", RANGE_BYTES))
+        self.begin = json.loads(options["begin"]) if options.get("begin") else None
+        self.last: dict = {"files": []}
 
     def initialOffset(self) -> dict:
-        return {"sign": "", "at": 0, "line": 0, "read": []}
-
-    def _rows(self, read: list[dict], line: int) -> Iterator[tuple]:
-        for part in read:
-            here = find(self.path, part["sign"], part["end"])
+        """The start of the file as it is now, or where ``begin`` says."""
+        if self.begin is None:
+            now = entry(self.path, live=True)
+            self.begin = {"files": [now | {"end": 0}] if now else []}
+        self.last = self.begin
+        return self.begin
+
+    def latestOffset(self) -> dict:
+        files = [f for p in siblings(self.path) if (f := entry(p, live=False))]
+        now = entry(self.path, live=True)
+        files += [now] if now else []
+        if files:
+            self.last = {"files": files}
+        return self.last
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out: list[Range] = []
+        for f, at in between(self.path, start, end):
+            here = find(self.path, f["sign"], f["head"], max(f["end"], 0))
             if here is None:
-                raise FileNotFoundError(f"the file that bytes {part['start']} to {part['end']} were read from is gone")
-            for text in lines_between(here, part["start"], part["end"]):
-                yield text, line
-                line += 1
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        read, sign, at = stretches(self.path, start["sign"], start["at"], self.most)
-        rows = list(self._rows(read, start["line"]))
-        if not read:
-            return iter([]), start
-        return iter(rows), {"sign": sign, "at": at, "line": start["line"] + len(rows), "read": read}
+                raise FileNotFoundError(f"the file that was to be read from byte {at} to {f['end']} is gone")
+            out += [Range(f["sign"], f["head"], max(f["end"], 0), a, b, len(out) + k) for k, (a, b) in enumerate(ranges(here, at, f["end"], self.size))]
+        return out
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(end["read"], start["line"])
+    def read(self, partition: Range) -> Iterator[tuple]:
+        here = find(self.path, partition.sign, partition.head, partition.least)
+        if here is None:
+            raise FileNotFoundError(f"the file that bytes {partition.start} to {partition.end} are to be read from is gone")
+        for text, at in lines_between(here, partition.start, partition.end):
+            yield text, (partition.number << 40) + at
 
 
 class TailSource(DataSource):
-    """Format ``netquarry_tail``; options path and maxBytesPerTrigger; columns line and seq (the line's number)."""
+    """Format ``netquarry_tail``; options path, rangeBytes and begin (an offset); columns line and seq (its place in the batch, not dense)."""
 
     @classmethod
     def name(cls) -> str:
@@ -198,11 +262,17 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return "line string, seq bigint"
 
-    def simpleStreamReader(self, schema) -> TailReader:
+    def streamReader(self, schema) -> TailReader:
         return TailReader({k.lower(): v for k, v in self.options.items()})
 
 
-def follow(spark: SparkSession, path: str, most: int = BATCH_BYTES):
-    """A streaming DataFrame of line and seq."""
+def begin(path: str) -> dict:
+    """The offset before the first byte of the file as it is now."""
+    return TailReader({"path": path}).initialOffset()
+
+
+def follow(spark: SparkSession, path: str, start: dict | None = None, size: int = RANGE_BYTES):
+    """A streaming DataFrame of line and seq, from ``start`` or the start of the file."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("netquarry_tail").option("path", path).option("maxBytesPerTrigger", str(most)).load()
+    reader = spark.readStream.format("netquarry_tail").option("path", path).option("rangeBytes", str(size))
+    return (reader.option("begin", json.dumps(start)) if start else reader).load()
