@@ -214,13 +214,14 @@ def _apply(sample: DataFrame, model: Model) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression with a small ridge, by Newton's steps."""
+    """Logistic regression with a small ridge, by Newton's steps; the rarer label counts more, by the root of how rare it is."""
     a = np.c_[np.ones(len(x)), x]
     w = np.zeros(a.shape[1])
+    share = np.sqrt(len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y <= 0).sum())))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        slope = a.T @ (p - y) + 1e-2 * w
-        bend = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        slope = a.T @ (share * (p - y)) + 1e-2 * w
+        bend = (a * (share * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
         w = w - np.linalg.solve(bend, slope)
     return tuple(float(v) for v in w)
 
