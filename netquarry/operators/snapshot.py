@@ -119,7 +119,8 @@ def netbox(devices: DataFrame) -> DataFrame:
     named = F.concat_ws(" · ", *[F.when(F.col(c) != "", F.col(c)) for c in ("vendor", "model", "class", "os")])
     percent = F.floor(F.col("confidence") * 100).cast("int").cast("string")
     line = F.concat(F.when(named == "", F.lit("unidentified device")).otherwise(named), F.lit(" (passive inventory, "), percent, F.lit("% confidence)"))
-    cut = F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, 200).cast("string"))
+    # at most 200 bytes of whole characters: what a cut leaves of the last one goes
+    cut = F.when(F.octet_length(line) <= 200, line).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(line, "UTF-8"), 1, 200).cast("string")), "\uFFFD+$", ""))
     items = [
         F.when(F.col("mac") != "", F.concat(F.lit("- MAC: `"), "mac", F.lit("`"), F.when(F.col("random_mac"), F.lit(" (random, no lasting identity)")).otherwise(F.lit("")))),
         F.when(F.col("firmware") != "", F.concat(F.lit("- Firmware: "), "firmware")),

@@ -556,6 +556,18 @@ def _(spark, d):
     return snapshot.netbox(inventory(spark, d).devices).drop("comments")
 
 
+COMMENTS = """'Found by listening to the network; not checked by a scan.' || chr(10) || chr(10) || concat_ws(chr(10),
+  CASE WHEN mac <> '' THEN '- MAC: `' || mac || '`' || CASE WHEN random THEN ' (random, no lasting identity)' ELSE '' END END,
+  '- Firmware: ' || nullif(firmware, ''), '- Serial: ' || nullif(serial, ''), '- VLANs: ' || nullif(vlans, ''), '- Open ports: ' || nullif(ports, ''),
+  '- Protocols: ' || nullif(replace(protocols, ',', ', '), ''), '- OT identifiers: ' || nullif(replace(ot_identifiers, ',', ', '), ''),
+  '- First seen: ' || strftime(first_seen, '%Y-%m-%d %H:%M') || ' UTC', '- Last seen: ' || strftime(last_seen, '%Y-%m-%d %H:%M') || ' UTC')"""
+
+
+@query("r23_netbox_comments", devices_sql(f"SELECT ip || '/32' AS address, {COMMENTS} AS comments FROM dx"))
+def _(spark, d):
+    return snapshot.netbox(inventory(spark, d).devices).select("address", "comments")
+
+
 HALF = "event_id <= (SELECT max(event_id) // 2 FROM events)"
 OLD = f"({devices_sql('SELECT * FROM dx', HALF.replace('FROM events)', 'FROM events )'))})"
 NEW = f"({devices_sql('SELECT * FROM dx')})"
@@ -601,6 +613,18 @@ def _(spark, d):
     return snapshot.findings_only_in(whole.findings, first.findings).select("device", "kind")
 
 
+@query("d05_fixed_findings", f"SELECT device, kind FROM ({OLD_FINDINGS}) EXCEPT SELECT device, kind FROM ({FI('SELECT device, kind FROM fi')})")
+def _(spark, d):
+    first, whole = halves(spark, d)
+    return snapshot.findings_only_in(first.findings, whole.findings).select("device", "kind")
+
+
+@query("o06_appeared_in_order", f"SELECT row_number() OVER (ORDER BY ipn, key) AS place, ip, label FROM (SELECT n.ipn, n.key, n.ip, n.label FROM {NEW} n WHERE n.key NOT IN (SELECT key FROM {OLD} o))")
+def _(spark, d):
+    first, whole = halves(spark, d)
+    return ordering.with_place(snapshot.appeared(first.devices, whole.devices), net.ip_key(F.col("ip")), F.col("key")).select("place", "ip", "label")
+
+
 TOTALS = f"""WITH o AS MATERIALIZED {OLD}, n AS MATERIALIZED {NEW}, fo AS MATERIALIZED ({OLD_FINDINGS}), fn AS MATERIALIZED ({FI('SELECT device, kind FROM fi')}),
 a AS ({KEYED.format('o')}), b AS ({KEYED.format('n')}), ab AS MATERIALIZED (SELECT key, a.x AS o, b.x AS n FROM a JOIN b USING (key)),
 t AS (SELECT (SELECT count(*) FROM n WHERE key NOT IN (SELECT key FROM o)) AS appeared, (SELECT count(*) FROM o WHERE key NOT IN (SELECT key FROM n)) AS disappeared,

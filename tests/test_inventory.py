@@ -196,3 +196,13 @@ def test_rule_tables(spark):
 def test_activity_of_devices_without_time(lines):
     out = kept(Inventory(lines(record("flow", "10.0.0.1", "10.0.0.2", ts="bad", dest_port=22)), NOW, since=NOW))
     assert out.event_counts.count() == 1 and devices.activity(out.facts).isEmpty()
+
+
+def test_description_is_cut_between_characters(spark):
+    """200 bytes at most, and no part of a character."""
+    empty = dict.fromkeys(("hostname", "class", "os", "mac", "firmware", "serial"), "") | {"random_mac": False, "confidence": 0.5, "ip": "10.0.0.1"}
+    for n in range(60, 75):
+        row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in empty.items()], F.lit("é" * n).alias("vendor"), F.lit("日" * 30).alias("model"), *[F.array().cast("array<string>").alias(c) for c in ("vlans", "protocols", "ot_identifiers")], F.array().cast("array<struct<port:int,app_proto:string>>").alias("services"), F.lit(None).cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"))
+        got = snapshot.netbox(row).first()["description"]
+        whole = f"{'é' * n} · {'日' * 30} (passive inventory, 50% confidence)"
+        assert whole.startswith(got) and 197 < len(got.encode()) <= 200
