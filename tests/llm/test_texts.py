@@ -1,6 +1,7 @@
 """Operators 2, 3, 5, 7, 8 and 9 against brute force, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -426,6 +427,34 @@ def test_log_odds_by_brute_force(spark):
     want = {w: tuple(sum(1 for t, v, _ in before if (t, v) == (k, w)) for k in (0, 1)) for _, w, _ in before}
     counts = toxicity._contexts(sample)
     assert {r["word"]: (r["n0"], r["n1"]) for r in counts.collect()} == want
+    rng = random.Random(7)
+    table = [(f"w{k}", rng.choice([5, 400, 3_000]), rng.choice([5, 400, 3_000])) for k in range(60)]
+    total = [sum(r[j] for r in table) for j in (1, 2)]
+    made = {}
+    for w, a, b in table:
+        prior = toxicity.PRIOR_WORDS * (a + b) / sum(total) + toxicity.PRIOR_EACH
+        odds = [math.log((c + prior) / (t + toxicity.PRIOR_WORDS - c - prior)) for c, t in zip((a, b), total, strict=True)]
+        z = (odds[1] - odds[0]) / math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        if abs(z) >= toxicity.MIN_Z and abs(odds[1] - odds[0]) >= toxicity.MIN_ODDS:
+            made[w] = (odds[1] - odds[0], z)
+    got = {r["word"]: (r["s"], r["z"]) for r in toxicity._log_odds(spark.createDataFrame(table, "word string, n0 long, n1 long"), *total).collect()}
+    assert got.keys() == made.keys() and made and all(np.allclose(got[w], made[w]) for w in made)
+
+
+def test_calibration_by_brute_force():
+    """The curve's weights are where the weighted likelihood, with its ridge, has no slope."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    y = (x @ [1.5, 0.7] + rng.normal(size=300) > 1.5).astype(int)
+    w = toxicity._logistic(x, y)
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+        share = np.where(y > 0, math.sqrt(len(y) / (2 * y.sum())), math.sqrt(len(y) / (2 * (1 - y).sum())))
+        return -(share * np.log(np.where(y > 0, p, 1 - p))).sum() + 0.005 * (np.array(w) ** 2).sum()
+
+    best = loss(np.array(w))
+    assert all(loss(np.array(w) + step) >= best - 1e-9 for step in np.vstack([np.eye(3), -np.eye(3)]) * 1e-3)
 
 
 def test_fit_is_the_mean_and_the_root(spark):
@@ -441,3 +470,29 @@ def test_fit_is_the_mean_and_the_root(spark):
         if not toxic and found:
             best.append(max(s for _, _, s in found) + model.log_k)
     assert abs(np.mean([x for x in best if x > -10]) - 0.5772 - model.log_k) < 0.05
+    counts = toxicity._contexts(toxicity._labelled(docs, labels, toxicity.MAX_LABELLED).where("not calibrates")).collect()
+    total = sum(r["n0"] for r in counts)
+    shares = [(r["n0"] / total, model.scores[r["word"].encode()][0]) for r in counts if r["word"].encode() in model.scores]
+    chance = (1 - sum(p for p, _ in shares)) * math.exp(model.rate * model.drift) + sum(p * math.exp(model.rate * s) for p, s in shares)
+    assert abs(chance - 1) < 1e-6
+
+
+def test_languages_of_pages(spark, clashing):
+    """Every page once, by text without tags, markup, address and host; odd pages too; as the operator gives for what was taken out of them."""
+    rng = random.Random(14)
+    words = {x: ["".join(rng.choices(a, k=5)) for _ in range(30)] for x, a in (("en", "abcdef"), ("de", "efghij"))}
+    text = lambda x: " ".join(rng.choices(words[x], k=40))
+    docs = spark.createDataFrame([(k, text(x), x) for k in range(60) for x in ("en", "de")], "doc_id long, text string, lang string")
+    kinds = [("http://a.org/x", "<html lang='de'><script>var en</script><p>{}&nbsp;</p>", "de"), ("https://u@b.net/en/y?z", "<HTML data-x=1 lang=EN><!-- de --><b>{}</b>", "en"), ("http://c.de", "{}", "de")]
+    rows = [(k, url, html.format(text(x)), x) for k in range(30) for url, html, x in [kinds[k % 3]]] + [(90, None, None, ""), (91, "x", "", ""), (91, "x", "", ""), (None, "http://a.org", "<p>1 2</p>", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = langid.identify_pages(clashing(pages), docs).collect()
+    assert len(got) == len(rows)
+    of = {r["page_id"]: r for r in got}
+    assert all(of[i]["language"] == x and of[i]["kept"] and of[i]["text_language"] == x for i, _, _, x in rows[:30])
+    assert not any(of[i]["kept"] or of[i]["n_trigrams"] for i in (90, 91, None))
+    taken = [(i, re.sub(r"(?s)<[^>]*>|&#?\w+;", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")), d, s, h) for (i, _, html, _), (d, s, h) in zip(rows, [(("de", "org", "a.org"), ("en", "en", "b.net"), (None, "de", "c.de"))[k % 3] for k in range(30)] + [(None, None, None)] * 3 + [(None, "org", "a.org")], strict=True)]
+    same = langid.identify(spark.createDataFrame(taken, "page_id long, text string, d string, s string, h string"), langid.fit(docs, "lang"), "page_id", "text", F.col("d"), F.col("s"), F.col("h")).collect()
+    near = lambda rows: sorted((str(r["page_id"]), r["language"], round(r["posterior"], 9), str(r["text_language"]), r["n_trigrams"], r["kept"]) for r in rows)
+    assert near(same) == near(got)
+    assert langid.identify_pages(pages.limit(0), docs).isEmpty()
