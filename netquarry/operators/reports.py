@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import net
+from netquarry.operators.findings import worst
 
 #: Event types that a full report and a short one look for.
 WANTED = ("dhcp", "arp", "dns", "tls", "http", "flow", "smb", "krb5", "ssh", "snmp")
 WANTED_SHORT = ("dhcp", "dns", "tls", "http", "flow", "smb", "krb5", "ssh")
 BARS, POINTS = 90, 60
+#: Hours back from the end of a capture that can be chosen.
+RANGES = (24, 72, 168, 336, 720)
+#: What a search looks at, beside identifiers and accounts.
+SEARCHED = ("ip", "hostname", "vendor", "os", "class", "model", "firmware", "serial")
 
 
 def coverage(event_counts: DataFrame, wanted: tuple[str, ...] = WANTED) -> DataFrame:
@@ -93,7 +98,7 @@ def active_between(devices: DataFrame, since=None, until=None) -> DataFrame:
 
 def search(devices: DataFrame, text: str) -> DataFrame:
     """Devices with the text in what names them, in any case."""
-    return devices.where(F.lower(F.concat_ws(" ", "ip", "hostname", "vendor", "os", "class", "model", "firmware", "serial", F.array_join("ot_identifiers", " "), F.array_join("users", " "))).contains(text.lower()))
+    return devices.where(F.lower(F.concat_ws(" ", *SEARCHED, F.array_join("ot_identifiers", " "), F.array_join("users", " "))).contains(text.lower()))
 
 
 def visible(devices: DataFrame, buckets: DataFrame, low: int, high: int) -> DataFrame:
@@ -117,6 +122,11 @@ def most_common(shown: DataFrame, column: str, n: int = 6) -> DataFrame:
     return shown.select("ip", F.explode(F.array_distinct(column)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
+def severities(shown: DataFrame, findings: DataFrame) -> DataFrame:
+    """severity, n: the devices shown by their worst finding."""
+    return shown.select("ip").join(worst(findings).withColumnRenamed("device", "ip"), "ip").groupBy(F.col("worst").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def findings_shown(findings: DataFrame, shown: DataFrame) -> DataFrame:
     """Findings of the devices shown, and the sensor's."""
     return findings.join(shown.select(F.col("ip").alias("device")).unionByName(shown.sparkSession.createDataFrame([("sensor",)], "device string")).distinct(), "device", "left_semi")
@@ -133,10 +143,8 @@ def findings_alive(findings: DataFrame, devices: DataFrame, before) -> DataFrame
     return findings_shown(findings, devices.where(F.col("last_seen") >= F.lit(before)).select("ip"))
 
 
-def presets(hours: int) -> list[tuple[int, bool]]:
-    """The ranges offered for a capture of so many hours, and whether each can be chosen: the first that holds it all is the last."""
-    out, enough = [], False
-    for p in (24, 72, 168, 336, 720):
-        out.append((p, not enough))
-        enough = enough or p >= hours
-    return out
+def presets(extent: DataFrame) -> DataFrame:
+    """hours, offered: the ranges for a capture, and whether each can be chosen; the first that holds it all is the last. Without a span, only the first."""
+    hours = F.coalesce(F.floor(F.unix_timestamp("last_event") / 3600) - F.floor(F.unix_timestamp("first_event") / 3600) + 1, F.lit(0))
+    choices = [F.struct(F.lit(p).alias("hours"), (F.lit(before) < hours if before else F.lit(True)).alias("offered")) for before, p in zip((0, *RANGES), RANGES, strict=False)]
+    return extent.select(F.explode(F.array(*choices)).alias("p")).select("p.*")

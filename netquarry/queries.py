@@ -465,6 +465,11 @@ def _(spark, d):
     return reports.findings_shown(inventory(spark, d).findings, shown(spark, d).select("ip")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("w03_severities_shown", oracle.gold("SELECT severity, count(*) AS n FROM (SELECT device, arg_min(severity, list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO'], severity)) AS severity FROM fi WHERE device IN (SELECT ip FROM vs) GROUP BY device) GROUP BY severity", f"{oracle.FINDINGS}, {SHOWN}"))
+def _(spark, d):
+    return reports.severities(shown(spark, d), inventory(spark, d).findings)
+
+
 @query("w03_classes_shown", oracle.gold(f"SELECT CASE WHEN {KNOWN} THEN class ELSE 'unknown' END AS class, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM dx JOIN vs USING (ip) GROUP BY 1", f"{oracle.HOSTS}, {DEVICE_SQL}, {SHOWN}"))
 def _(spark, d):
     return reports.class_counts(shown(spark, d)).withColumn("percent", rounded("percent"))
@@ -477,8 +482,7 @@ def _(spark, d):
 
 @query("w06_presets", f"WITH h AS (SELECT floor(epoch(max(ts)) / 3600)::BIGINT - floor(epoch(min(ts)) / 3600)::BIGINT + 1 AS n FROM events) SELECT p::INT AS hours, coalesce(lag(p) OVER (ORDER BY p) < n, true) AS offered FROM h, (SELECT unnest([24, 72, 168, 336, 720]) AS p)")
 def _(spark, d):
-    hours = inventory(spark, d).extent.select(F.floor(F.unix_timestamp("last_event") / 3600) - F.floor(F.unix_timestamp("first_event") / 3600) + 1).first()[0]
-    return spark.createDataFrame(reports.presets(hours), "hours int, offered boolean")
+    return reports.presets(inventory(spark, d).extent)
 
 
 @query("j12_findings_alive", FI("SELECT device, kind, count FROM fi WHERE device = 'sensor' OR device IN (SELECT ip FROM f WHERE fact = 'seen' GROUP BY ip HAVING max(ts) >= TIMESTAMP '2024-01-12 06:30:00')"))

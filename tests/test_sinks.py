@@ -5,12 +5,15 @@ import datetime as dt
 import gzip
 import json
 import os
+import shutil
+import subprocess
 
 import pytest
 
 from netquarry.__main__ import run
-from netquarry.operators import reports
-from netquarry.sinks import files, text
+from netquarry.operators import devices, findings, reports
+from netquarry.plans.scan import scan
+from netquarry.sinks import files, html, text
 from netquarry.sources import events, registry
 
 
@@ -84,3 +87,45 @@ def test_registry(spark, tmp_path):
 
 def test_coverage_of_nothing(spark):
     assert reports.coverage(spark.createDataFrame([], "event_type string, n bigint")).where("present").isEmpty()
+
+
+def test_page_panels(spark, tmp_path):
+    """What the page's script counts for a range is what the tables say."""
+    records = []
+    for k in range(60):
+        at, ip = f"2026-07-{28 + k // 20}T{k % 20:02d}:10:00Z", f"10.0.{k % 3}.{k % 7}"
+        records.append({"timestamp": at, "event_type": "tftp", "src_ip": ip, "dest_ip": f"10.1.0.{k % 4}"})
+        records.append({"timestamp": at, "event_type": "smb", "app_proto": "smb", "src_ip": ip, "dest_ip": "10.1.0.1", "dest_port": 445, "smb": {"dialect": "NT LM 0.12" if k % 5 else "3.11", "ntlmssp": {"user": f"</script>u{k % 4}", "host": f"pc{k % 7}"}}})
+    early = {"timestamp": "2026-07-28T00:00:00Z", "src_ip": "10.9.9.9", "dest_ip": "10.9.9.8"}  # silent afterwards, with findings
+    records += [early | {"event_type": "tftp"}, early | {"event_type": "smb", "smb": {"dialect": "NT LM 0.12"}}]
+    put(str(tmp_path / "eve.json"), *records)
+    found = scan(spark, [str(tmp_path / "eve.json")], dt.datetime(2026, 8, 1, tzinfo=dt.UTC)).keep_facts(str(tmp_path / "kept"))
+    for name in ("devices", "findings"):
+        getattr(found, name).write.parquet(str(tmp_path / name))
+        setattr(found, name, spark.read.parquet(str(tmp_path / name)))
+    page = html.page(found, refresh=30)
+    assert page.count("</script>") == 1 and "value=24 selected" in page and "value=168 disabled" in page and ">last 72 h" in page
+    assert [tuple(r) for r in reports.presets(found.extent).collect()] == [(24, True), (72, True), (168, False), (336, False), (720, False)]
+    script = page.split("<script>")[1].split("</script>")[0]
+    data = json.loads(script[len("const DATA=") : script.index("\nconst total") - 1])
+    assert data["refresh"] == 30 and len(data["findings"]) == found.findings.count() and {d["kind"] for d in data["devices"]} >= {r["class"] or "other" for r in reports.class_counts(found.devices).collect()}
+    if not shutil.which("node"):
+        pytest.skip("nothing here runs the page's script")
+    (tmp_path / "whole.js").write_text(script)
+    assert subprocess.run(["node", "--check", str(tmp_path / "whole.js")], check=False).returncode == 0
+    said = html.PANELS + f"const d={html.embedded(data)};console.log(JSON.stringify([panels(d,[30,40],''),panels(d,null,'PC3'),panels(d,null,'')]))"
+    part, named, whole = json.loads(subprocess.run(["node", "-e", said], capture_output=True, text=True, check=True).stdout)
+    shown = reports.visible(found.devices, reports.bucket_strings(devices.activity(found.folded), found.extent), 30, 40)
+    pairs = lambda df: [list(r) for r in df.collect()]
+    assert sorted(part["shown"]) == sorted(r["ip"] for r in shown.collect()) and 0 < part["devices"] < whole["devices"]
+    one = reports.summary(shown).first()
+    assert (part["devices"], part["identified"], part["named"]) == (one["devices"], one["identified"], one["named"])
+    assert part["protocols"] == pairs(reports.most_common(shown, "protocols")) and part["users"] == pairs(reports.most_common(shown, "users"))
+    assert dict(map(tuple, part["classes"])) == {r["class"] or "other": r["n"] for r in reports.class_counts(shown).collect()}
+    volumes = reports.talkers(shown, 1000).collect()
+    assert [t[1] for t in part["talkers"]] == [r["volume"] for r in volumes][:6] and {tuple(t) for t in part["talkers"]} <= {tuple(r) for r in volumes}
+    assert dict(map(tuple, part["severities"])) == {r["severity"]: r["n"] for r in reports.severities(shown, found.findings).collect() if r["severity"] != "INFO"}
+    held = reports.findings_held(found.findings, shown).first()
+    assert (part["held"], part["heldCritical"]) == (held["held"], held["held_critical"]) and held["held"] > 0 and part["findings"] == reports.findings_shown(found.findings, shown).count()
+    assert sorted(named["shown"]) == sorted(r["ip"] for r in reports.search(found.devices, "PC3").collect()) and named["held"] == 0
+    assert findings.worst(found.findings).where("worst = 'INFO'").isEmpty()
