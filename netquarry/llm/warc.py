@@ -99,20 +99,39 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:-4]
 
 
-def check_record(headers: dict[str, str], block: bytes) -> dict:
-    """What is read of a response or revisit; raises ValueError if its payload isn't what the headers say."""
+#: Types of records that hold no page.
+OTHER_TYPES = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
+
+
+def _number(headers: dict[str, str], name: str) -> int | None:
+    value = headers.get(name)
+    if value is not None and not value.removeprefix("-").isdecimal():
+        raise ValueError(f"{name} is no number: {value[:60]!r}")
+    return None if value is None else int(value)
+
+
+def check_record(headers: dict[str, str], block: bytes) -> dict | None:
+    """What is read of a response or revisit, None for other types; raises ValueError if its payload isn't what the headers say.
+
+    A record written elsewhere may lack a page id (null), the payload's length (a response's
+    is counted, a revisit's is null) and its digest (likewise); what it has must be right.
+    """
     kind = headers["warc-type"]
+    if kind in OTHER_TYPES:
+        return None
     head, gap, payload = block.partition(b"\r\n\r\n")
-    algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    size = int(headers["x-payload-length"])
+    algorithm, _, digest = headers.get("warc-payload-digest", "sha1:").partition(":")
+    size, page, refers = (_number(headers, n) for n in ("x-payload-length", "x-page-id", "x-refers-to-page-id"))
     if not gap or not head.startswith(b"HTTP/") or algorithm != "sha1" or kind not in ("response", "revisit"):
         raise ValueError("not a response or revisit with an HTTP head and a SHA-1")
-    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError("a response's payload has another length or digest than its header says")
-    if kind == "revisit" and (payload or headers.get("warc-profile") != PROFILE or "warc-refers-to" not in headers):
+    if kind == "response":
+        counted = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if size not in (None, len(payload)) or digest not in ("", counted):
+            raise ValueError("a response's payload has another length or digest than its header says")
+        size, digest = len(payload), counted
+    elif payload or headers.get("warc-profile") != PROFILE or "warc-refers-to" not in headers:
         raise ValueError("a revisit with a payload, without its profile, or without what it refers to")
-    refers = headers.get("x-refers-to-page-id")
-    return {"page_id": int(headers["x-page-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None, "payload": payload if kind == "response" else None}
+    return {"page_id": page, "payload_bytes": size, "payload_digest": digest or None, "record_type": kind, "refers_to": refers, "payload": payload if kind == "response" else None}
 
 
 class ArchiveWriter:
@@ -176,7 +195,10 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(typed: DataFrame, dictionary: bytes, archive_bytes: int = 8 << 20) -> tuple[str, DataFrame]:
-    """Write the rows of with_types() as archives of about archive_bytes in the shared folder; returns it and their list."""
+    """Write the rows of with_types() as archives of about archive_bytes in the shared folder; returns it and their list.
+
+    Each attempt of a task has files of its own; only those of attempts that ended are in the list.
+    """
     folder = shared_dir(typed.sparkSession, "warc")
     shared = typed.sparkSession.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     schema = pa.schema([("file", pa.string()), ("records", pa.int64())])
@@ -187,11 +209,9 @@ def write_archives(typed: DataFrame, dictionary: bytes, archive_bytes: int = 8 <
         part, nth, archive, n = TaskContext.get().partitionId(), 0, ArchiveWriter(shared.value), 0
 
         def flush() -> pa.RecordBatch:
-            file = f"{path}/part-{part:07d}-{nth:05d}.warc.zst"
-            own = f"{path}/_{part}-{nth}-{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(own) as out:
+            file = f"{path}/part-{part:07d}-{nth:05d}-{TaskContext.get().taskAttemptId()}.warc.zst"
+            with store.open_output_stream(file) as out:
                 out.write(archive.data())
-            store.move(own, file)  # whole archives only; a task run again writes the same
             return pa.RecordBatch.from_pydict({"file": [file], "records": [n]}, schema=schema)
 
         for batch in batches:
@@ -207,29 +227,55 @@ def write_archives(typed: DataFrame, dictionary: bytes, archive_bytes: int = 8 <
     return folder, written(typed.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "file string, records long"), "warc-list")
 
 
+NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+SCHEMA = pa.schema(zip(NAMES, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()], strict=True))
+ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def rows_of(content: bytes, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """An archive's responses and revisits, in batches of about batch_bytes."""
+    rows, size = [], 0
+    for data in read_archive(content):
+        row = check_record(*parse_record(data))
+        if row is not None:
+            rows.append(row)
+            size += len(data)
+        if size > batch_bytes:
+            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+
+
 def read_archives(spark, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of every record in the folder.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of every response and revisit in the folder.
 
     An archive that isn't well formed, or a payload that isn't what its headers say, fails the query.
     """
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    schema = pa.schema(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows, size = [], 0
-                for data in read_archive(content.as_buffer().to_pybytes()):
-                    rows.append(check_record(*parse_record(data)))
-                    size += len(data)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield from rows_of(content.as_buffer().to_pybytes())
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(run, ROW)
+
+
+def read_listed(folder: str, files: DataFrame, a_task: int = 4) -> DataFrame:
+    """The same of the archives in a list that write_archives() returned, and no other file in the folder; so many archives a task."""
+    spark = files.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-files.count() // a_task))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                with store.open_input_stream(file) as archive:
+                    content = archive.read()
+                yield from rows_of(content)
+
+    return files.select("file").repartition(parts, "file").mapInArrow(run, ROW)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -237,14 +283,15 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload, a null url an empty address; rows without a page_id
     are left out. Rows of one page_id and
-    equal payloads are each a response of their own (none is smaller). An empty table
-    gives no archives and no rows.
+    equal payloads are each a response of their own (none is smaller). A payload of any
+    length is one record, of an archive as long as it takes. Extra columns are ignored. An
+    empty table gives no archives and no rows.
     """
     spark = pages.sparkSession
     folder, files = write_archives(with_types(pages, least_bytes), train(pages))
     if files.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, folder).drop("payload")
+    return read_listed(folder, files).drop("payload")
 
 
 ORACLE = r"""

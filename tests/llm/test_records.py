@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import struct
 
 import duckdb
@@ -62,6 +63,36 @@ def test_archives():
         warc.check_record(*warc.parse_record(record.replace(b"<p>a", b"<p>b")))
 
 
+def test_records_from_elsewhere():
+    """Records of other types hold no page; headers of our own may be missing, and what is there must be right."""
+    record = next(iter(warc.read_archive(archive())))
+    own = (b"X-Page-ID", b"X-Payload-Length", b"WARC-Payload-Digest")
+    bare = b"\r\n".join(line for line in record.split(b"\r\n") if not line.startswith(own))
+    full, got = (warc.check_record(*warc.parse_record(r)) for r in (record, bare))
+    assert got == full | {"page_id": None}
+    for kind in warc.OTHER_TYPES:
+        assert warc.check_record(*warc.parse_record(record.replace(b"WARC-Type: response", b"WARC-Type: " + kind.encode()))) is None
+    for wrong in (b"X-Payload-Length: x", b"X-Payload-Length: 1" + b"0" * 9):
+        with pytest.raises(ValueError):
+            warc.check_record(*warc.parse_record(re.sub(rb"X-Payload-Length: \d+", wrong, record)))
+    with pytest.raises(ValueError):
+        warc.check_record(*warc.parse_record(record.replace(b"WARC-Type: response", b"WARC-Type: other")))
+
+
+def test_listed_archives(spark):
+    """Many small archives, a payload over an archive's size; what an attempt that was lost has left isn't read."""
+    rows = [(k, f"http://a/{k}", "x" * 3 + str(k) * (200_000 if k == 7 else k % 5)) for k in range(40)]
+    typed = warc.with_types(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    folder, files = warc.write_archives(typed, b"", archive_bytes=400)
+    path = folder.removeprefix("file://")
+    with open(f"{path}/part-0000000-00000-999999.warc.zst", "wb") as file:
+        file.write(b"cut off")
+    assert files.count() > 8
+    got = {r["page_id"]: r for r in warc.read_listed(folder, files, a_task=3).collect()}
+    assert len(got) == 40 and all(bytes(got[k]["payload"]).decode() == text for k, _, text in rows if got[k]["record_type"] == "response")
+    assert got[5]["refers_to"] == 0 and got[7]["payload_bytes"] == 200_003 and warc.read_listed(folder, files).count() == 40
+
+
 def test_chat(spark, clashing):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "é"), (2, None, "ann", "first"), (2, 1, "ann", ""), (3, 1, "system", "only"), (None, 1, "x", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
