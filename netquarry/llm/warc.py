@@ -31,9 +31,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """Base32 of the SHA-1: each 40 bits are ten hex digits and eight letters."""
-    digits = F.sha1(payload)
+def sha1_base32(digits: Column) -> Column:
+    """Base32 of a SHA-1 in hex: each 40 bits are ten hex digits and eight letters."""
     letters = []
     for k in range(4):
         number = F.conv(F.substring(digits, 10 * k + 1, 10), 16, 10).cast("long")
@@ -186,12 +185,13 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html (never null), digest, refers_to: the smallest page_id of an equal payload of least_bytes or more, if another."""
     pages = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", "html")
     html = F.coalesce("html", F.lit(""))
-    slim = written(pages.select("page_id", sha1_base32(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size")), "payload-digests")
-    key = F.when(F.col("size") >= least_bytes, F.col("digest"))
-    first = with_group_min(slim.withColumn("key", key), "key", "page_id", "first")
-    types = first.select(F.col("page_id").alias("p"), "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
-    full = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
-    return full.join(types.dropDuplicates(["p", "digest"]), (F.col("page_id") == F.col("p")) & (sha1_base32(F.encode("html", "UTF-8")) == F.col("digest")), "left").drop("p")
+    sha1 = F.sha1(F.encode(html, "UTF-8"))
+    slim = written(pages.select("page_id", sha1.alias("sha1"), F.octet_length(html).alias("size")), "payload-digests")
+    first = with_group_min(slim.withColumn("key", F.when(F.col("size") >= least_bytes, F.col("sha1"))), "key", "page_id", "first")
+    types = first.select(F.col("page_id").alias("p"), F.col("sha1").alias("of"), F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to")).dropDuplicates(["p", "of"])
+    full = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), sha1.alias("sha1"))
+    joined = full.join(types, (F.col("page_id") == F.col("p")) & (F.col("sha1") == F.col("of")), "left")
+    return joined.select("page_id", "url", "html", sha1_base32(F.col("sha1")).alias("digest"), "refers_to")
 
 
 def write_archives(typed: DataFrame, dictionary: bytes, archive_bytes: int = 8 << 20) -> tuple[str, DataFrame]:
