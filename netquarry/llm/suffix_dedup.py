@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, MapType, StructField, StructType
 
-from .common import quoted, release, written
+from .common import quoted, release
 from .suffixes import common_prefix, previous_factors, suffix_array
 
 GRAM = 20
@@ -311,28 +311,27 @@ def frequent_strings(shard: Shard, place: np.ndarray, doc: np.ndarray, length: i
     return rows
 
 
-def earlier_frequent(sent: DataFrame, length: int) -> DataFrame:
-    """shard, data: spans of the strings sent to cells of which a document of another shard has a smaller id."""
+def earlier_frequent(table: pa.Table, length: int) -> pa.Table:
+    """shard, data: spans of the strings sent to one cell of which a document of another shard has a smaller id."""
+    parts = [unpack(x.as_py()) for x in table.column("data")]
+    strings, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((ids, np.ascontiguousarray(strings).view(f"S{length}").ravel()))
+    head = np.r_[True, (strings[order][1:] != strings[order][:-1]).any(axis=1)]
+    least = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    gone = np.zeros(len(order), bool)
+    gone[order] = ids[order] > ids[least]
+    rows, base = [], 0
+    for shard, (_, own, index, doc, start) in zip(table.column("shard").to_pylist(), parts, strict=True):
+        x = np.flatnonzero(gone[base + index.astype(np.int64)])
+        base += len(own)
+        if len(x):
+            x = x[np.lexsort((start[x], doc[x]))]
+            rows.append((shard, pack(*_runs(doc[x].astype(np.int64), start[x].astype(np.int64), length))))
+    return _spans(rows)
 
-    def meet(table: pa.Table) -> pa.Table:
-        release()
-        parts = [unpack(x.as_py()) for x in table.column("data")]
-        strings, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((ids, np.ascontiguousarray(strings).view(f"S{length}").ravel()))
-        head = np.r_[True, (strings[order][1:] != strings[order][:-1]).any(axis=1)]
-        least = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        gone = np.zeros(len(order), bool)
-        gone[order] = ids[order] > ids[least]
-        rows, base = [], 0
-        for shard, (_, own, index, doc, start) in zip(table.column("shard").to_pylist(), parts, strict=True):
-            x = np.flatnonzero(gone[base + index.astype(np.int64)])
-            base += len(own)
-            if len(x):
-                x = x[np.lexsort((start[x], doc[x]))]
-                rows.append((shard, pack(*_runs(doc[x].astype(np.int64), start[x].astype(np.int64), length))))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
-
-    return sent.where("bucket < -1").groupBy("bucket").applyInArrow(meet, "shard long, data binary")
+
+def _spans(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def contexts(shards: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -454,41 +453,54 @@ def met_factors(short: np.ndarray, ids: np.ndarray, edge: np.ndarray, around: np
     return np.where((ids > ids[head_of])[:, None] & inside, bounds[:, 1:] + length - start, factors)
 
 
-def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
-    """shard, data: spans to remove, as document (its place in the shard), start and end."""
+def met_spans(table: pa.Table, length: int) -> pa.Table:
+    """shard, data: spans to remove of the rows that meet in one bucket."""
     left = length - GRAM
+    parts = [unpack(x.as_py()) for x in table.column("data")]
+    short, ids, doc, place, edge, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+    shard = np.repeat(table.column("shard").to_numpy(), [len(p[0]) for p in parts])
+    del parts
+    slices = -(-len(short) // ROWS)
+    found: list[tuple[np.ndarray, ...]] = []
+    turn = mixed(short.copy()) % np.uint64(slices)
+    for q in range(slices):  # all rows of an anchor hash are in one slice
+        some = np.flatnonzero(turn == q)
+        if not len(some):
+            continue
+        at, k = np.nonzero(met_factors(short[some], ids[some], edge[some], around[some], length) >= length)
+        # starts next to each other are one span
+        new = np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1] + 1)] if len(at) else np.zeros(0, bool)
+        first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(at)] - 1
+        x = some[at[first]]
+        begin = place[x].astype(np.int64) - left
+        found.append((shard[x], doc[x], (begin + k[first]).astype(np.uint32), (begin + k[last] + length).astype(np.uint32)))
+    rows = []
+    if found:
+        of, d, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
+            x = by[a:b]
+            rows.append((int(of[x[0]]), pack(d[x], begin[x], end[x])))
+    return _spans(rows)
 
-    def meet(table: pa.Table) -> pa.Table:
+
+def earlier_spans(sent: DataFrame, length: int) -> DataFrame:
+    """shard, data: spans to remove, as document (its place in the shard), start and end.
+
+    All that contexts() sent goes through one exchange: it is on disk once, and neither it
+    nor the documents' exchange is made anew for each kind of row.
+    """
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         release()
-        parts = [unpack(x.as_py()) for x in table.column("data")]
-        short, ids, doc, place, edge, around = (np.concatenate(x) for x in zip(*parts, strict=True))
-        shard = np.repeat(table.column("shard").to_numpy(), [len(p[0]) for p in parts])
-        del parts
-        slices = -(-len(short) // ROWS)
-        found: list[tuple[np.ndarray, ...]] = []
-        turn = mixed(short.copy()) % np.uint64(slices)
-        for q in range(slices):  # all rows of an anchor hash are in one slice
-            some = np.flatnonzero(turn == q)
-            if not len(some):
-                continue
-            at, k = np.nonzero(met_factors(short[some], ids[some], edge[some], around[some], length) >= length)
-            # starts next to each other are one span
-            new = np.r_[True, (at[1:] != at[:-1]) | (k[1:] != k[:-1] + 1)] if len(at) else np.zeros(0, bool)
-            first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(at)] - 1
-            x = some[at[first]]
-            begin = place[x].astype(np.int64) - left
-            found.append((shard[x], doc[x], (begin + k[first]).astype(np.uint32), (begin + k[last] + length).astype(np.uint32)))
-        rows = []
-        if found:
-            of, d, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.argsort(of, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]]) if len(by) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=False):
-                x = by[a:b]
-                rows.append((int(of[x[0]]), pack(d[x], begin[x], end[x])))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
-
-    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "shard long, data binary")
+        bucket = key[0].as_py()
+        if bucket == -1:
+            return table.select(["shard", "data"])
+        return met_spans(table, length) if bucket >= 0 else earlier_frequent(table, length)
+
+    apart = F.when(F.col("bucket") == -1, F.col("shard")).otherwise(F.lit(0).cast("long"))  # spans known to go needn't meet
+    return sent.withColumn("apart", apart).groupBy("bucket", "apart").applyInArrow(meet, "shard long, data binary")
 
 
 def nullable(kind: pa.DataType) -> pa.DataType:
@@ -579,8 +591,7 @@ def repeats_removed(df: DataFrame, length: int = 50, id_col: str = "doc_id", tex
     ).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(count)).cast("long"))
     buckets = max(8, count // 2)
     shared = shared_anchors(shards, length, buckets, many)
-    sent = written(contexts(shards, shared, length, buckets), "surroundings")
-    spans = earlier_spans(sent, length).unionByName(earlier_frequent(sent, length)).unionByName(sent.where("bucket = -1").select("shard", "data"))
+    spans = earlier_spans(contexts(shards, shared, length, buckets), length)
     return cut_texts(shards, spans, whole).drop("shard", "id")
 
 
