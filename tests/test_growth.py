@@ -33,6 +33,17 @@ def test_parts_grow_with_the_events(spark, monkeypatch):
     assert len(found.lines.inputFiles()) == max(spark.sparkContext.defaultParallelism, -(-queries.table(spark, DATA, "events").count() // 100))
 
 
+def test_a_query_lands_only_what_it_reads(spark, monkeypatch):
+    names = []
+    keep = queries.landed
+    monkeypatch.setattr(queries, "landed", lambda df, name: (names.append(name), keep(df, name))[1])
+    monkeypatch.setattr(queries, "_HELD", {})
+    for query, more in (("a01_event_counts", ["lines", "events"]), ("a08_activity", ["facts", "folded"]), ("d05_fixed_findings", ["folded", "folded", "findings", "findings"])):
+        queries.FOUND[query](spark, DATA)
+        assert names == more
+        names.clear()
+
+
 def test_times_and_addresses_by_place(spark):
     times = {"2024-01-02T03:04:05.5Z": "03:04:05.500000", "2024-01-02T03:04:05,1234567-0130": "04:34:05.123456", "2024-01-02T03:04:05+05:30": "21:34:05.000000", "2024-01-02T03:04:05Z\n": None}
     rows = spark.createDataFrame(list(times.items()), "text string, wanted string").select("wanted", F.date_format(access.timestamp(F.col("text")), "HH:mm:ss.SSSSSS").alias("found")).collect()
