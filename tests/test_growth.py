@@ -20,6 +20,28 @@ def test_a_record_is_parsed_once(lines):
     assert [r["event_type"] for r in found.orderBy("seq").collect()] == ["tls", "", ""]
 
 
+def test_a_line_is_parsed_once_for_size_and_item(lines):
+    raw = events.records(lines({"event_type": "tls"}, ' {"event_type":"dns"} ', "{}, {}", "null"))
+    assert plan(raw).count('{"x":[') == 1
+    assert [r["record"] is None for r in raw.orderBy("seq").select(F.to_json("record").alias("record")).collect()] == [False, False, True, False]
+
+
+def test_texts_are_read_without_their_types(lines):
+    found = events.events(events.records(lines({"event_type": "tls", "tls": {"sni": 5, "ja4": {"hash": "x"}, "ja3": {"hash": "y"}, "version": ["z"]}}, {"event_type": 7, "src_ip": True})))
+    head = found.select("event_type", "src_ip", "tls.sni", "tls.ja3", "tls.version")
+    assert "schemaofvariant" not in plan(head).lower().replace("_", "")
+    assert [tuple(r) for r in found.orderBy("seq").select("event_type", "src_ip", "tls.sni", "tls.ja4", "tls.ja3", "tls.version").collect()] == [("tls", "", "", "x", "y", ""), ("", "", None, None, None, None)]
+
+
+def test_lines_are_dealt_before_they_are_made(spark, monkeypatch):
+    made = []
+    keep = queries.landed
+    monkeypatch.setattr(queries, "landed", lambda df, name: (made.append(plan(df)), keep(df, name))[1])
+    monkeypatch.setattr(queries, "_HELD", {})
+    queries.inventory(spark, DATA)
+    assert 0 <= made[0].find("StructsToJson") < made[0].find("Repartition")
+
+
 def test_facts_are_made_once(lines):
     found = handlers.shared_facts(events.events(events.records(lines({"event_type": "doh2", "src_ip": "10.0.0.1"}, {"event_type": "doh2", "src_ip": "8.8.8.8"}))))
     assert plan(found).count("size(concat(") == 0
