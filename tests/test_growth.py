@@ -2,7 +2,7 @@
 
 from netquarry import queries
 from netquarry.functions import access, net
-from netquarry.operators import handlers
+from netquarry.operators import fold, handlers, snapshot
 from netquarry.sources import events
 from pyspark.sql import functions as F
 
@@ -42,6 +42,16 @@ def test_lines_are_dealt_before_they_are_made(spark, monkeypatch):
     assert 0 <= made[0].find("StructsToJson") < made[0].find("Repartition")
 
 
+def test_a_comparison_folds_each_half_once_and_lands_what_it_reads(spark, monkeypatch):
+    folds = []
+    keep = fold.fold
+    monkeypatch.setattr(fold, "fold", lambda facts: (folds.append(1), keep(facts))[1])
+    monkeypatch.setattr(queries, "_HELD", {})
+    first, both = queries.halves(spark, DATA)
+    assert len(folds) == 1
+    assert both.devices.columns == list(snapshot.COMPARED)
+
+
 def test_facts_are_made_once(lines):
     found = handlers.shared_facts(events.events(events.records(lines({"event_type": "doh2", "src_ip": "10.0.0.1"}, {"event_type": "doh2", "src_ip": "8.8.8.8"}))))
     assert plan(found).count("size(concat(") == 0
