@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -24,16 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, shared_dir, written
-from .units import UnitCache
+from .units import UnitTable
 
 MAGIC = b"WAVELET1"
 #: Bits between two stored counts of ones.
 STEP = 512
-#: Text that is encoded at once, beside one text: what is cut from it stays in a processor's cache.
-BLOCK_BYTES = 1 << 18
-LINE_END = "\n"
-#: How byte-level vocabularies write a space.
-SPACE = "\u0120"
+#: Text that is encoded at once, beside one text; units that a worker keeps, and that are encoded as one text.
+BLOCK_BYTES, KEPT_UNITS, UNITS = 8 << 20, 1_000_000, 5_000
 
 
 class WaveletMatrix:
@@ -171,43 +169,37 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
 
 
 @lru_cache(maxsize=2)
-def _cache(path: str) -> UnitCache:
+def _table(path: str) -> UnitTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    added = tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
-    line_end = tokenizer.encode(LINE_END, add_special_tokens=False).ids
-    if len(line_end) != 1:
-        raise ValueError("this vocabulary has no single token for a line end")
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     vocabulary = tokenizer.get_vocab()
-    opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a space, as byte-level vocabularies write it
-    opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-
-    def encode(units: list[str]) -> list[bytes]:
-        """Units have no white space inside, so many are encoded as one text and parted at its spaces, or else at line ends."""
-        out: list[bytes] = []
-        for i in range(0, len(units), 1000):
-            part = units[i : i + 1000]
-            spaced = all(u[:1] == " " for u in part)
-            if LINE_END in part:
-                out += whole(part)
-                continue
-            ids = np.array(tokenizer.encode_batch_fast(["".join(part) if spaced else LINE_END.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            found = np.flatnonzero(opens[ids] if spaced else ids == line_end[0])
-            if len(found) != len(part) - (not spaced):
-                out += whole(part)
-                continue
-            packed, at = ids.tobytes(), found.tolist()
-            starts, ends = (at, [*at[1:], len(ids)]) if spaced else ([0, *[e + 1 for e in at]], [*at, len(ids)])
-            out += [packed[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-        return out
-
-    return UnitCache(encode, whole, added=added)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: byte-level vocabularies write a letter for each
+    sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Many units are encoded as one text, and its ids parted where the bytes of their tokens come to a unit's end."""
+        ends = np.cumsum(pc.binary_length(units).to_numpy(), dtype=np.int64)
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(units), UNITS):
+            part, size = units[i : i + UNITS], ends[i : i + UNITS] - (ends[i - 1] if i else 0)
+            (row,) = whole([b"".join(part.to_pylist()).decode()])
+            held = np.cumsum(sizes[row])
+            at = np.searchsorted(held, size)
+            if at[-1] == len(row) - 1 and (held[at] == size).all():
+                ids.append(row)
+                counts.append(np.diff(at, prepend=-1))
+            else:
+                apart = whole([x.decode() for x in part.to_pylist()])
+                ids += apart
+                counts.append(np.array([len(x) for x in apart]))
+        return np.concatenate(ids), np.concatenate(counts, dtype=np.int32, casting="unsafe")
+
+    return UnitTable(encode, whole, KEPT_UNITS, tuple(x.content for x in tokenizer.get_added_tokens_decoder().values()))
 
 
 def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 20, task_bytes: int = 32 << 20) -> DataFrame:
@@ -227,14 +219,14 @@ def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
     schema = pa.schema([("file", pa.string()), ("part", pa.int64()), ("nth", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, store = _cache(path), pyarrow.fs.FileSystem.from_uri(folder)
+        table, store = _table(path), pyarrow.fs.FileSystem.from_uri(folder)
         part, nth, held = TaskContext.get().partitionId(), 0, 0
-        end = struct.pack("<I", end_id)
         docs: list[int | None] = []
-        ids: list[bytes] = []
+        lengths: list[int] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            data = to_bytes(WaveletMatrix.of(np.frombuffer(b"".join(ids), "<u4")), docs, [len(x) // 4 for x in ids])
+            data = to_bytes(WaveletMatrix.of(np.concatenate(ids)), docs, lengths)
             file = f"{store[1]}/shard-{part:07d}-{nth:05d}.wm"
             store[0].create_dir(store[1], recursive=True)
             with store[0].open_output_stream(f"{file}.{TaskContext.get().taskAttemptId()}") as out:
@@ -243,14 +235,18 @@ def write_store(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id
             return pa.RecordBatch.from_pydict({"file": [file], "part": [part], "nth": [nth], "n_docs": [len(docs)], "n_tokens": [held]}, schema=schema)
 
         for block in blocks(batches, "text", BLOCK_BYTES):
-            for doc, packed in zip(block.column("id").to_pylist(), cache.packed(block.column("text").to_pylist()), strict=True):
-                packed += end
-                if docs and held + len(packed) // 4 > shard_tokens:
+            row, counts = table.packed(block.column("text"), end_id)
+            begin = end = 0
+            for doc, n in zip(block.column("id").to_pylist(), counts.tolist(), strict=True):
+                if docs and held + n > shard_tokens:
+                    ids.append(row[begin:end])
                     yield flush()
-                    docs, ids, held, nth = [], [], 0, nth + 1
+                    docs, lengths, ids, held, nth, begin = [], [], [], 0, nth + 1, end
                 docs.append(doc)
-                ids.append(packed)
-                held += len(packed) // 4
+                lengths.append(n)
+                held += n
+                end += n
+            ids.append(row[begin:])
         if docs:
             yield flush()
 

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -84,6 +86,35 @@ def test_token_store_of_added_tokens(spark):
     assert sorted(map(tuple, token_store.summary(spark, df, TOKENIZER).collect())) == want
 
 
+def test_units_are_encoded_once():
+    """Words that were met before are looked up, whatever white space stands around them; kept units don't change ids."""
+    t, table = Tokenizer.from_file(TOKENIZER), token_store._table.__wrapped__(TOKENIZER)
+    given, encode, whole = [], table.encode, table.whole
+    table.encode = lambda units: given.extend(units.to_pylist()) or encode(units)
+    table.whole = lambda texts: given.extend(texts) or whole(texts)
+
+    def check(texts):
+        ids, counts = table.packed(pa.array(texts), 2)
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+
+    check(["zwölf blue, größe green\nred"])
+    assert sorted(x.decode() for x in given) == ["\nred", "\nzwölf", " blue", " green", " größe"]
+    given.clear()
+    check(["zwölf green, blue! größe.", "red größe,\nred blue", "zwölf"])
+    assert given == []
+    check(["zwölf\t blue  green\r\nred größe", "red\n\nzwölf \u3000 green? "])
+    assert not {b" blue", b" green", b" gr\xc3\xb6\xc3\x9fe", b"\nred"} & {*given}
+    rng, bits = random.Random(5), [*ODD, *"a ß × ÷ é ª . , ! 's ' - 12 ² 日本 “ ¿ _ ſ Ġ".split(), *" \n\t\x0b\x1c\x85\xa0\u2003\u2028\u200b\u3000", " ", " ", "  ", "\n\n"]
+    for most in (1_000_000, 30):
+        table.most = most
+        for _ in range(4):
+            check([None, *("".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(150))])
+    assert len(table.units) < 3_000 and max(map(len, table.units.to_pylist())) <= table.LONGEST
+    small = pa.chunked_array([["b c", "a"]], pa.large_string()).chunk(0)
+    assert table.packed(small.slice(1), 2)[0].tolist() == [*t.encode("a", add_special_tokens=False).ids, 2]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (1000, 3), (5000, 50_000), (513, 70_000)):
